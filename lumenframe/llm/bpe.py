@@ -12,6 +12,8 @@ special strings inside a text are single tokens, as the vocabulary file's librar
 from __future__ import annotations
 
 import json
+import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,9 +25,13 @@ from pyspark.sql import functions as F
 NONE = 1 << 62
 #: Fixed value: the byte-level pre-token pattern that belongs to such vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Encoded pre-tokens that a Python worker remembers (two generations of this many), and
+#: The same on texts below U+0250, where letters, numbers and white space are these.
+LETTERS, NUMBERS, SPACES = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be", "\t-\r \u0085\u00a0"
+PLAIN_PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^{SPACES}{LETTERS}{NUMBERS}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+"
+#: Encoded pre-tokens that a Python worker remembers (two generations of this many,
+#: and as many chunks), and
 #: the longest pre-token, in characters, that it remembers.
-REMEMBERED, LONGEST_REMEMBERED = 120_000, 48
+REMEMBERED, LONGEST_REMEMBERED = 100_000, 48
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -50,19 +56,27 @@ class Bpe:
         pairs = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
         self.rank = {(vocab[a] << 32) | vocab[b]: r for r, (a, b) in enumerate(pairs)}
         self.made = [vocab[a + b] for a, b in pairs]
-        self.pieces = regex.compile(PATTERN).findall
+        self.full = regex.compile(PATTERN).findall
+        self.plain = re.compile(PLAIN_PATTERN).findall
+        self.foreign = re.compile("[^\x00-\u024f]").search
+        #: A space at an end or beside other white space: such a part isn't cut at its spaces.
+        self.loose = re.compile(rf" [{SPACES}]|[{SPACES}] |^ | $").search
         self.cut = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.specials, key=len, reverse=True)) + ")") if self.specials else None
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.chunks: dict[str, bytes] = {}
+        self.old_chunks: dict[str, bytes] = {}
 
     def merge(self, raw: bytes) -> list[int]:
         """Token ids of one pre-token, merged until no pair of it has a rank."""
-        ids = [self.of_byte[b] for b in raw]
+        of_byte, rank, made = self.of_byte, self.rank.get, self.made
+        ids = [of_byte[b] for b in raw]
         n = len(ids)
         if n < 2:
             return ids
-        rank, made = self.rank.get, self.made
-        size = 1 << (n - 2).bit_length() if n > 2 else 1
+        size = 1
+        while size < n - 1:
+            size *= 2
         tree = [NONE] * (2 * size)
         for i in range(n - 1):
             r = rank((ids[i] << 32) | ids[i + 1])
@@ -71,61 +85,82 @@ class Bpe:
         for i in range(size - 1, 0, -1):
             a, b = tree[2 * i], tree[2 * i + 1]
             tree[i] = a if a < b else b
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-
-        def put(leaf: int, value: int) -> None:
-            i = size + leaf
-            tree[i] = value
-            i >>= 1
-            while i:
-                a, b = tree[2 * i], tree[2 * i + 1]
-                least = a if a < b else b
-                if tree[i] == least:
-                    return
-                tree[i] = least
-                i >>= 1
-
-        def pair(leaf: int) -> int:
-            r = rank((ids[leaf] << 32) | ids[after[leaf]]) if after[leaf] < n else None
-            return NONE if r is None else (r << 32) | leaf
-
+        if tree[1] == NONE:
+            return ids
+        after, before = list(range(1, n + 2)), list(range(-1, n))
         while (top := tree[1]) != NONE:
             i = top & 0xFFFFFFFF
             gone = after[i]
-            ids[i] = made[top >> 32]
-            after[i] = after[gone]
-            if after[gone] < n:
-                before[after[gone]] = i
+            right, left = after[gone], before[i]
+            ids[i] = token = made[top >> 32]
             ids[gone] = -1
-            if gone < n - 1:
-                put(gone, NONE)
-            if i < n - 1:
-                put(i, pair(i))
-            if before[i] >= 0:
-                put(before[i], pair(before[i]))
+            after[i] = right
+            before[right] = i
+            changed = [(gone, NONE)] if right <= n - 1 else []
+            r = rank((token << 32) | ids[right]) if right < n else None
+            changed.append((i, NONE if r is None else (r << 32) | i))
+            if left >= 0:
+                r = rank((ids[left] << 32) | token)
+                changed.append((left, NONE if r is None else (r << 32) | left))
+            for leaf, value in changed:
+                leaf += size
+                if tree[leaf] != value:
+                    tree[leaf] = value
+                    while leaf > 1:  # up to the root, or to where nothing changes
+                        other = tree[leaf ^ 1]
+                        leaf >>= 1
+                        if other < value:
+                            value = other
+                        if tree[leaf] == value:
+                            break
+                        tree[leaf] = value
         return [t for t in ids if t >= 0]
 
     def piece(self, text: str) -> bytes:
         """Packed ids of one pre-token, remembered."""
-        got = self.old.get(text)
+        got = self.young.get(text)
+        if got is None:
+            got = self.old.get(text)
+            if got is None:
+                ids = self.merge(text.encode())
+                got = struct.pack(f"<{len(ids)}I", *ids)
+            if len(text) <= LONGEST_REMEMBERED:
+                if len(self.young) >= REMEMBERED:
+                    self.old, self.young = self.young, {}
+                self.young[text] = got
+        return got
+
+    def pieces(self, text: str) -> list[str]:
+        """Pre-tokens; the plain pattern is the same as the full one on the scripts it knows."""
+        return self.full(text) if self.foreign(text) else self.plain(text)
+
+    def chunk(self, text: str) -> bytes:
+        """Packed ids of what stands between two single spaces, remembered."""
+        got = self.old_chunks.get(text)
         if got is None:
-            got = np.array(self.merge(text.encode()), dtype="<u4").tobytes()
+            got = b"".join([self.piece(p) for p in self.pieces(text)])
         if len(text) <= LONGEST_REMEMBERED:
-            if len(self.young) >= REMEMBERED:
-                self.old, self.young = self.young, {}
-            self.young[text] = got
+            if len(self.chunks) >= REMEMBERED:
+                self.old_chunks, self.chunks = self.chunks, {}
+            self.chunks[text] = got
         return got
 
     def encode(self, text: str) -> bytes:
         """Token ids of a text as little-endian unsigned 32-bit integers."""
         out: list[bytes] = []
-        parts = self.cut.split(text) if self.cut else [text]
-        for part in parts:
+        for part in self.cut.split(text) if self.cut else [text]:
             if part in self.specials:
                 out.append(self.specials[part].to_bytes(4, "little"))
-                continue
-            for p in self.pieces(part):
-                out.append(self.young.get(p) or self.piece(p))
+            elif self.loose(part):
+                out += [self.piece(p) for p in self.pieces(part)]
+            elif part:
+                # A space between two other characters always begins a pre-token, so what
+                # stands from one such space to the next encodes by itself.
+                first, *rest = part.split(" ")
+                out.append(self.chunk(first))
+                for word in rest:
+                    word = " " + word
+                    out.append(self.chunks.get(word) or self.chunk(word))
         return b"".join(out)
 
     def decode(self, packed: bytes) -> str:
