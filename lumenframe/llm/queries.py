@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, simhash, tokencount
+from . import bpe, decontam, linededup, simhash, tokencount
 from .common import table
 
 
@@ -26,6 +26,14 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.with_counts(docs, tokenizer_path()).drop("text")
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.without_duplicate_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), removed="n_removed")
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = simhash.near_duplicates(docs)
@@ -35,7 +43,23 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_bpe": op2_bpe,
     "op5_token_counts": op5_token_counts,
+    "op6_line_dedup": op6_line_dedup,
+    "op8_decontamination": op8_decontamination,
     "op10_simhash": op10_simhash,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+def _words_sql(text: str) -> str:
+    return rf"[x FOR x IN regexp_split_to_array(lower(coalesce({text}, '')), '[^\p{{L}}\p{{N}}]+') IF x <> '']"
+
+
+ORACLE_SQL: dict[str, str] = {
+    "op8_decontamination": f"""
+WITH d AS (SELECT doc_id, {_words_sql("text")} AS w FROM documents WHERE doc_id IS NOT NULL),
+i AS (SELECT item_id, {_words_sql("text")} AS w FROM benchmark WHERE item_id IS NOT NULL),
+s AS (SELECT DISTINCT item_id, unnest([array_to_string(w[k:k+4], ' ') FOR k IN range(1, len(w) - 3)]) AS g FROM i WHERE len(w) >= 5),
+t AS (SELECT DISTINCT doc_id, unnest([array_to_string(w[k:k+4], ' ') FOR k IN range(1, len(w) - 3)]) AS g FROM d WHERE len(w) >= 5),
+n AS (SELECT item_id, count(*) AS item_size FROM s GROUP BY item_id)
+SELECT t.doc_id, s.item_id, count(*) AS shared, any_value(n.item_size) AS item_size
+FROM t JOIN s USING (g) JOIN n USING (item_id)
+GROUP BY t.doc_id, s.item_id HAVING count(*) >= 0.8 * any_value(n.item_size) - 1e-9""",
+}
