@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, linededup, simhash, tokencount
-from .common import table
+from . import bpe, decontam, html, language, linededup, pii, quality, simhash, tokencount, vafile
+from .common import crc_bucket, table
+
+QUALITY_THRESHOLD = 0.3
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -15,6 +17,44 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def may_learn_quality(key: str = "doc_id") -> Column:
+    """Labels of a fifth of the keys are held out."""
+    return crc_bucket(F.col(key), 5) != 0
+
+
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.with_spans(table(spark, sf_dir, "documents").select("doc_id", "text"), spans="found")
+    base = F.filter("found", lambda s: s["kind"].isin(*pii.KINDS))
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+    counts = [count(k) for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(pii.joined_spans(base), 256).alias("base_sha256"), pii.joined_spans(F.col("found")).alias("spans"))
+
+
+def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vafile.top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 100 == 0)
+
+
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", crc_bucket(F.col("doc_id"), 4) == 2)
+    net = language.fit(docs, learn_from=~F.col("held_out"))
+    return language.with_language(docs.drop("lang"), net).drop("text")
+
+
+def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html.with_main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), learn_from=may_learn_quality())
+    scored = quality.with_scores(docs.withColumn("held_out", crc_bucket(F.col("doc_id"), 5) == 0), model)
+    return scored.select("doc_id", "held_out", "score", F.when(F.col("score") >= QUALITY_THRESHOLD, 1).otherwise(0).alias("predicted"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     coded = bpe.with_tokens(docs, tokenizer_path())
@@ -41,10 +81,15 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_pii": op1_pii,
     "op2_bpe": op2_bpe,
+    "op3_topk": op3_topk,
+    "op4_language": op4_language,
     "op5_token_counts": op5_token_counts,
     "op6_line_dedup": op6_line_dedup,
+    "op7_html": op7_html,
     "op8_decontamination": op8_decontamination,
+    "op9_quality": op9_quality,
     "op10_simhash": op10_simhash,
 }
 
@@ -53,6 +98,13 @@ def _words_sql(text: str) -> str:
 
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_topk": """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: coalesce(isfinite(x) AND abs(x) < 16384, false))) = len(embedding)),
+q AS (SELECT DISTINCT vec_id, v FROM v WHERE vec_id % 100 = 0),
+s AS (SELECT q.vec_id AS query_id, v.vec_id, list_inner_product(q.v, v.v)::BIGINT AS score FROM q JOIN v ON v.vec_id <> q.vec_id AND len(v.v) = len(q.v)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
     "op8_decontamination": f"""
 WITH d AS (SELECT doc_id, {_words_sql("text")} AS w FROM documents WHERE doc_id IS NOT NULL),
 i AS (SELECT item_id, {_words_sql("text")} AS w FROM benchmark WHERE item_id IS NOT NULL),
