@@ -39,7 +39,7 @@ HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9][ -]?[0-9]", "phone"
 WORD = r"[\p{L}\p{N}]+"
 
 NEAR = 8
-CONTEXTS = 3.0
+CONTEXTS = 5.0
 GENERALISE, REMOVE = 0.8, 0.95
 #: A table of terms up to this many rows is broadcast, a larger one joined by shuffling.
 BROADCAST_ROWS = 200_000
@@ -172,6 +172,7 @@ def with_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", spans:
     hit_key, version, found = (fresh(docs, x) for x in ("hit_key", "hit_version", "hit_terms"))
     words = docs.select(F.col(f"`{key}`").alias(hit_key), F.xxhash64(t).alias(version), F.explode(F.array_distinct(_words(t))).alias("term"))
     hits = words.join(_small(terms, broadcast_rows), "term").groupBy(hit_key, version).agg(F.collect_set(F.struct("term", "action")).alias(found))
+    hits = _small(durable(hits, "hits"), broadcast_rows)  # else the texts are shuffled to meet them
     joined = docs.join(hits, docs[key].eqNullSafe(hits[hit_key]) & (F.xxhash64(t) == hits[version]), "left")
     base = fresh(docs, "base_found")
     joined = joined.withColumn(base, base_spans(t))
