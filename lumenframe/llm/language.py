@@ -181,6 +181,10 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", learn_from: Col
     rows = rows.filter(F.col(f"`{lang}`").isNotNull() & t.rlike(r"\p{L}")).select(F.col(f"`{lang}`").cast("string").alias("lang"), t.alias("t"), F.xxhash64(t).alias("h"))
     begin = F.pmod("h", F.greatest(F.length("t") - SNIPPET, F.lit(1))) + 1
     rows = rows.select("h", "lang", F.substring(F.col("t"), begin.cast("int"), F.lit(SNIPPET)).alias("t"))
+    # About four times the sample pass this threshold, whatever the size of the table; the
+    # texts' own hashes decide, so copies of a text are in or out together.
+    share = min(1.0, 4 * sample_rows / max(1, docs.count()))
+    rows = rows.filter(F.pmod("h", F.lit(1 << 30)) < int(share * (1 << 30)) + 1)
     got = rows.orderBy(F.xxhash64("h"), "lang", "t").limit(sample_rows).collect()
     return train([(r["lang"], r["t"].encode()) for r in got])
 
