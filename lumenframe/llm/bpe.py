@@ -1,7 +1,7 @@
 """Byte-level BPE: encoding and decoding with a given vocabulary.
 
 A pre-token's merges are chosen by a segment tree over the ranks of its adjacent pairs. A
-leaf holds ``rank << 32 | position`` (or NONE where the pair can't merge), an inner node the
+leaf holds ``rank << 32 | position`` (NONE or more where the pair can't merge), an inner node the
 smaller of its children: the root is the leftmost pair of lowest rank. A merge changes three
 leaves, each a walk to the root, so a pre-token of n bytes takes O(n log n).
 
@@ -13,10 +13,9 @@ from __future__ import annotations
 
 import json
 import re
-import struct
+from array import array
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -31,7 +30,7 @@ PLAIN_PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^{SP
 #: Encoded pre-tokens that a Python worker remembers (two generations of this many,
 #: and as many chunks), and
 #: the longest pre-token, in characters, that it remembers.
-REMEMBERED, LONGEST_REMEMBERED = 100_000, 48
+REMEMBERED, LONGEST_REMEMBERED = 250_000, 48
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -54,7 +53,10 @@ class Bpe:
         self.table |= {i: s.encode() for s, i in self.specials.items()}
         self.of_byte = [vocab[c] for c, _ in sorted(of_char.items(), key=lambda x: x[1])]
         pairs = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
-        self.rank = {(vocab[a] << 32) | vocab[b]: r for r, (a, b) in enumerate(pairs)}
+        #: By pair: its rank, shifted to leave room for a position.
+        self.rank = {(vocab[a] << 32) | vocab[b]: r << 32 for r, (a, b) in enumerate(pairs)}
+        #: The same by two bytes, for the pairs that a pre-token begins with.
+        self.first = [self.rank.get((x << 32) | y, NONE) for x in self.of_byte for y in self.of_byte]
         self.made = [vocab[a + b] for a, b in pairs]
         self.full = regex.compile(PATTERN).findall
         self.plain = re.compile(PLAIN_PATTERN).findall
@@ -69,61 +71,63 @@ class Bpe:
 
     def merge(self, raw: bytes) -> list[int]:
         """Token ids of one pre-token, merged until no pair of it has a rank."""
-        of_byte, rank, made = self.of_byte, self.rank.get, self.made
-        ids = [of_byte[b] for b in raw]
+        ids = list(map(self.of_byte.__getitem__, raw))
         n = len(ids)
         if n < 2:
             return ids
-        size = 1
-        while size < n - 1:
-            size *= 2
-        tree = [NONE] * (2 * size)
-        for i in range(n - 1):
-            r = rank((ids[i] << 32) | ids[i + 1])
-            if r is not None:
-                tree[size + i] = (r << 32) | i
+        size = 1 << (n - 2).bit_length()
+        first = self.first
+        tree = [NONE] * size
+        tree += [first[a << 8 | b] + i for i, (a, b) in enumerate(zip(raw, raw[1:]))]
+        tree += [NONE] * (2 * size - len(tree))
         for i in range(size - 1, 0, -1):
-            a, b = tree[2 * i], tree[2 * i + 1]
-            tree[i] = a if a < b else b
-        if tree[1] == NONE:
+            x, y = tree[2 * i], tree[2 * i + 1]
+            tree[i] = x if x < y else y
+        if tree[1] >= NONE:
             return ids
-        after, before = list(range(1, n + 2)), list(range(-1, n))
-        while (top := tree[1]) != NONE:
+        rank, made = self.rank.get, self.made
+        after, before = list(range(1, n + 1)), list(range(-1, n))
+        while (top := tree[1]) < NONE:
             i = top & 0xFFFFFFFF
-            gone = after[i]
-            right, left = after[gone], before[i]
+            gone, left = after[i], before[i]
+            right = after[gone]
             ids[i] = token = made[top >> 32]
             ids[gone] = -1
             after[i] = right
             before[right] = i
-            changed = [(gone, NONE)] if right <= n - 1 else []
-            r = rank((token << 32) | ids[right]) if right < n else None
-            changed.append((i, NONE if r is None else (r << 32) | i))
+            c = size + gone
+            tree[c if c < 2 * size else size + i] = NONE  # the last position begins no pair
+            b = size + i
+            tree[b] = rank(token << 32 | ids[right], NONE) + i if right < n else NONE
             if left >= 0:
-                r = rank((ids[left] << 32) | token)
-                changed.append((left, NONE if r is None else (r << 32) | left))
-            for leaf, value in changed:
-                leaf += size
-                if tree[leaf] != value:
-                    tree[leaf] = value
-                    while leaf > 1:  # up to the root, or to where nothing changes
-                        other = tree[leaf ^ 1]
-                        leaf >>= 1
-                        if other < value:
-                            value = other
-                        if tree[leaf] == value:
-                            break
-                        tree[leaf] = value
+                a = size + left
+                tree[a] = rank(ids[left] << 32 | token, NONE) + left
+            else:
+                a = b
+            if c >= 2 * size:
+                c = b
+            while b > 1:  # the three walks to the root go together where they meet
+                a, b, c = a >> 1, b >> 1, c >> 1
+                x, y = tree[2 * b], tree[2 * b + 1]
+                tree[b] = x if x < y else y
+                if a != b:
+                    x, y = tree[2 * a], tree[2 * a + 1]
+                    tree[a] = x if x < y else y
+                if c != b:
+                    x, y = tree[2 * c], tree[2 * c + 1]
+                    tree[c] = x if x < y else y
         return [t for t in ids if t >= 0]
 
+    def packed(self, text: str) -> bytes:
+        return array("I", self.merge(text.encode())).tobytes()
+
     def piece(self, text: str) -> bytes:
         """Packed ids of one pre-token, remembered."""
         got = self.young.get(text)
         if got is None:
             got = self.old.get(text)
             if got is None:
-                ids = self.merge(text.encode())
-                got = struct.pack(f"<{len(ids)}I", *ids)
+                got = self.packed(text)
             if len(text) <= LONGEST_REMEMBERED:
                 if len(self.young) >= REMEMBERED:
                     self.old, self.young = self.young, {}
@@ -134,15 +138,18 @@ class Bpe:
         """Pre-tokens; the plain pattern is the same as the full one on the scripts it knows."""
         return self.full(text) if self.foreign(text) else self.plain(text)
 
-    def chunk(self, text: str) -> bytes:
-        """Packed ids of what stands between two single spaces, remembered."""
-        got = self.old_chunks.get(text)
+    def chunk(self, word: str) -> bytes:
+        """Packed ids of a single space and what stands to the next, remembered by the latter."""
+        got = self.old_chunks.get(word)
         if got is None:
-            got = b"".join([self.piece(p) for p in self.pieces(text)])
-        if len(text) <= LONGEST_REMEMBERED:
+            pieces = self.pieces(" " + word)
+            # what is remembered here need not be remembered as a pre-token too
+            got = self.packed(pieces[0]) if len(pieces) == 1 else b"".join([self.piece(p) for p in pieces])
+        if len(word) < LONGEST_REMEMBERED:
             if len(self.chunks) >= REMEMBERED:
-                self.old_chunks, self.chunks = self.chunks, {}
-            self.chunks[text] = got
+                self.old_chunks = dict(self.chunks)
+                self.chunks.clear()
+            self.chunks[word] = got
         return got
 
     def encode(self, text: str) -> bytes:
@@ -157,15 +164,13 @@ class Bpe:
                 # A space between two other characters always begins a pre-token, so what
                 # stands from one such space to the next encodes by itself.
                 first, *rest = part.split(" ")
-                out.append(self.chunk(first))
-                for word in rest:
-                    word = " " + word
-                    out.append(self.chunks.get(word) or self.chunk(word))
+                out.append(b"".join([self.piece(p) for p in self.pieces(first)]))
+                known, chunk = self.chunks.get, self.chunk
+                out += [known(word) or chunk(word) for word in rest]
         return b"".join(out)
 
     def decode(self, packed: bytes) -> str:
-        ids = np.frombuffer(packed, dtype="<u4").tolist()
-        return b"".join(map(self.table.__getitem__, ids)).decode("utf-8", errors="replace")
+        return b"".join(map(self.table.__getitem__, array("I", packed))).decode("utf-8", errors="replace")
 
 
 _loaded: dict[int, Bpe] = {}
