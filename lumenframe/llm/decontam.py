@@ -20,12 +20,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh
+from .common import durable, fresh
 
 THRESHOLD = 0.8
 WORDS = 5
 #: A sketch table up to this many bytes is broadcast; a larger one is joined by shuffling.
 BROADCAST_BYTES = 32 << 20
+#: So many keys of contaminated documents are broadcast; more are joined by shuffling.
+BROADCAST_KEYS = 1_000_000
 
 
 def words(text: Column) -> Column:
@@ -88,5 +90,7 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
 def clean(docs: DataFrame, items: DataFrame, key: str = "doc_id", **options) -> DataFrame:
     """The rows of ``docs`` that contaminate no item."""
     bad = fresh(docs, "bad")
-    found = contaminated(docs, items, key, **options).select(F.col(key).alias(bad)).distinct()
+    found = durable(contaminated(docs, items, key, **options).select(F.col(key).alias(bad)).distinct(), "contaminated")
+    if found.count() <= BROADCAST_KEYS:  # else the texts are shuffled to meet the keys
+        found = F.broadcast(found)
     return docs.join(found, docs[key] == found[bad], "left_anti")
