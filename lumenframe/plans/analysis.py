@@ -45,7 +45,7 @@ def events_of(df: DataFrame, key: str, numeric: list[str], order: str, config: C
 
 
 def suspicious(df: DataFrame, key: str, numeric: list[str], order: str | None = None, contexts: list[str] | None = None, coordinates: tuple[str, str] | None = None, config: Config = DEFAULT, top_n: int | None = None) -> DataFrame:
-    """``key``, ``score``, ``severity``, ``category``, ``types``, ``action``, ``record`` (JSON) of the
+    """``key``, ``score``, ``severity``, ``category``, ``types``, ``affected`` (columns), ``action``, ``record`` (JSON) of the
     suspicious rows, most suspicious first, ``top_n`` of them (config.top_n; 0: all)."""
     data = scored(df, key, numeric, config)
     marks = [data.filter("point").select(F.col(key), F.lit("point").alias("type")), data.filter("multivariate").select(F.col(key), F.lit("multivariate").alias("type"))]
@@ -65,9 +65,13 @@ def suspicious(df: DataFrame, key: str, numeric: list[str], order: str | None =
     ordered = F.filter(F.array(*[F.lit(t) for t in TYPES]), lambda t: F.array_contains("found", t))
     category = F.coalesce(*[F.when(F.arrays_overlap(F.array(*map(F.lit, of)), "found"), name) for name, of in CATEGORIES.items()])
     action = F.coalesce(*[F.when(F.array_contains("found", t), text) for t, text in ACTIONS.items()])
+    flagged = [F.when(F.col(f"iqr_{i}") | F.col(f"z_{i}"), F.lit(c)) for i, c in enumerate(numeric)]
+    highest = F.array_max(F.array(*[F.struct(F.col(f"zs_{i}").alias("z"), F.lit(c).alias("c")) for i, c in enumerate(numeric)]))["c"]
+    affected = F.array_compact(F.array(*flagged))
+    affected = F.when(F.size(affected) > 0, affected).otherwise(F.array(highest))  # else the column farthest out
     seen = (F.col("severity") != "low") | (F.size(F.array_except("found", F.array(F.lit("point")))) > 0)
-    rows = rows.withColumns({"types": ordered, "category": category, "action": action, "score": F.round("score", 4)}).filter(seen)
-    out = rows.select(key, "score", "severity", "category", F.array_join("types", ",").alias("types"), "action", F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])).alias("record"))
+    rows = rows.withColumns({"types": ordered, "category": category, "action": action, "affected": affected, "score": F.round("score", 4)}).filter(seen)
+    out = rows.select(key, "score", "severity", "category", F.array_join("types", ",").alias("types"), "affected", "action", F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])).alias("record"))
     n = config.top_n if top_n is None else top_n
     out = out.orderBy(F.desc("score"), F.desc(F.size(F.split("types", ","))), key)
     return out.limit(n) if n else out
