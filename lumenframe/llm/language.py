@@ -25,6 +25,7 @@ HIDDEN = 8
 BATCH = 2048
 SAMPLE_ROWS = 3000
 SNIPPET = 384
+LEAST_STEPS = 600
 #: Texts are labelled in lots of about this many bytes.
 LOT = 4 << 20
 
@@ -151,6 +152,7 @@ def train(snippets: list[tuple[str, bytes]], epochs: int = 8, batch: int = 128,
     if not windows:
         return None
     net = BiGru(languages)
+    epochs = max(epochs, -(-LEAST_STEPS // -(-len(labels) // batch)))  # a small sample is seen more often
     codes, y = np.stack(windows), np.array(labels)
     rng = np.random.default_rng(seed)
     m = {k: np.zeros_like(v) for k, v in net.p.items()}
