@@ -39,7 +39,7 @@ HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9][ -]?[0-9]", "phone"
 WORD = r"[\p{L}\p{N}]+"
 
 NEAR = 8
-CONTEXTS = 5.0
+CONTEXTS = 3.0
 GENERALISE, REMOVE = 0.8, 0.95
 #: A table of terms up to this many rows is broadcast, a larger one joined by shuffling.
 BROADCAST_ROWS = 200_000
