@@ -197,6 +197,14 @@ def test_lines_lose_near_copies(spark, odd, none):
     assert linededup.without_duplicate_lines(odd).count() == len(ODD) and linededup.without_duplicate_lines(none).count() == 0
 
 
+def test_long_lines_are_cut_at_any_white_space(spark):
+    words = [f"w{i * i % 977}x{i}" for i in range(300)]
+    tabs, spaces = "\t".join(words), " ".join(words)
+    rows = [(1, tabs), (2, "kept line\n" + spaces), (3, spaces + " and a tail")]
+    got = {r["doc_id"]: (r["text"], r["gone"]) for r in linededup.without_duplicate_lines(spark.createDataFrame(rows, "doc_id int, text string"), removed="gone").collect()}
+    assert got[1] == (tabs, 0) and got[2] == ("kept line", 3) and got[3][0].endswith("and a tail") and got[3][1] >= 2
+
+
 def test_benchmark_items_are_found(spark, odd, none):
     items = spark.createDataFrame([(1, PROSE), (2, "too short"), (3, None), (None, PROSE), (4, PROSE + " and a tail of other words that no document holds at all")], "item_id int, text string")
     for size in (decontam.BROADCAST_BYTES, 0):
