@@ -205,6 +205,39 @@ def test_long_lines_are_cut_at_any_white_space(spark):
     assert got[1] == (tabs, 0) and got[2] == ("kept line", 3) and got[3][0].endswith("and a tail") and got[3][1] >= 2
 
 
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_lines_within_the_edit_similarity_meet(spark):
+    rng = np.random.default_rng(6)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(3, 9)))
+    words, lines = [word() for _ in range(150)], []
+    for n in (2, 4, 8, 10, 14, 20, 40):
+        for _ in range(4):
+            base = list(rng.choice(words, n))
+            lines.append(" ".join(base))
+            for changes in (1, max(1, n // 8)):
+                other = list(base)
+                for at in rng.choice(n, changes, replace=False):
+                    other[at] = other[at][:1] + "x" + other[at][2:] if n < 8 else word()
+                lines.append(" ".join(other))
+    near = [(i, j) for j in range(len(lines)) for i in range(j) if abs(len(lines[i]) - len(lines[j])) <= 0.2 * max(len(lines[i]), len(lines[j])) and i // 3 == j // 3 and edit_distance(lines[i], lines[j]) <= 0.2 * max(len(lines[i]), len(lines[j])) + 1e-9]
+    first = list(range(len(lines)))
+    for _ in lines:
+        for i, j in near:
+            first[i] = first[j] = min(first[i], first[j])
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id int, text string")
+    stay = {r["doc_id"] for r in linededup.without_duplicate_lines(df).collect() if r["text"]}
+    want = {i for i in range(len(lines)) if first[i] == i}
+    assert len(near) >= 60 and want - stay == set() and len(stay - want) <= 0.02 * len(near)
+
+
 def test_benchmark_items_are_found(spark, odd, none):
     items = spark.createDataFrame([(1, PROSE), (2, "too short"), (3, None), (None, PROSE), (4, PROSE + " and a tail of other words that no document holds at all")], "item_id int, text string")
     for size in (decontam.BROADCAST_BYTES, 0):
