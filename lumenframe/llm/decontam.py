@@ -87,10 +87,13 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
     return found.select(F.col("doc").alias(key), F.col("item").alias(item_key), "shared", "item_size")
 
 
-def clean(docs: DataFrame, items: DataFrame, key: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs`` that contaminate no item."""
+def clean(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` that contaminate no item. Each row is judged by its own text,
+    whatever its ``key``, also if that is null."""
     bad = fresh(docs, "bad")
-    found = durable(contaminated(docs, items, key, **options).select(F.col(key).alias(bad)).distinct(), "contaminated")
+    version = F.xxhash64(F.col(text).cast("string"))
+    texts = docs.select(version.alias("version"), F.col(text).alias("text"))
+    found = durable(contaminated(texts, items, "version", "text", **options).select(F.col("version").alias(bad)).distinct(), "contaminated")
     if found.count() <= BROADCAST_KEYS:  # else the texts are shuffled to meet the keys
         found = F.broadcast(found)
-    return docs.join(found, docs[key] == found[bad], "left_anti")
+    return docs.join(found, version == found[bad], "left_anti")

@@ -126,10 +126,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ra
 
 
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose key is their component's smallest, one row for a key that
-    repeats. Rows with a null key can't be told apart by it, and stay."""
-    row = fresh(docs, "rid")
-    found = near_duplicates(docs, key, text)
-    kept = found.filter(F.col(key) == F.col("component_id")).select(F.col(key).alias(row)).distinct()
-    once = docs.filter(F.col(key).isNotNull()).dropDuplicates([key])
-    return once.join(kept, once[key] == kept[row], "left_semi").unionByName(docs.filter(F.col(key).isNull()))
+    """The first row of each component, in order of key (null keys last) and hash of the text.
+    Rows are told apart by key and text, so that a key with several texts keeps each that is
+    first in its component; of rows equal in both, one stays."""
+    version, row, kept_version = (fresh(docs, n) for n in ("version", "rid", "kept_version"))
+    marked = docs.withColumn(version, F.xxhash64(F.col(text).cast("string")))
+    found = near_duplicates(marked, version, text).select(version, "component_id").distinct()
+    lowest = marked.groupBy(version).agg(F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"))).alias("low"))
+    kept = lowest.join(found, version).groupBy("component_id").agg(F.min(F.struct("low.none", "low.key", F.col(version).alias("version"))).alias("c"))
+    kept = kept.select(F.col("c.key").alias(row), F.col("c.version").alias(kept_version))
+    return marked.join(kept, marked[key].eqNullSafe(kept[row]) & (marked[version] == kept[kept_version]), "left_semi").dropDuplicates([key, version]).drop(version)

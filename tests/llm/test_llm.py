@@ -247,6 +247,14 @@ def test_benchmark_items_are_found(spark, odd, none):
     assert decontam.clean(none, items).count() == 0 and decontam.clean(odd, items.limit(0)).count() == len(ODD)
 
 
+def test_rows_are_told_apart_by_key_and_text(spark):
+    other = "quite different words stand in this text of the same key as before, and there are enough of them"
+    df = spark.createDataFrame([(1, PROSE), (1, other), (2, PROSE), (None, PROSE), (None, "a text of its own without a key")], "doc_id int, text string")
+    assert {tuple(r) for r in simhash.keep_first(df).collect()} == {(1, PROSE), (1, other), (None, "a text of its own without a key")}
+    items = spark.createDataFrame([(1, PROSE)], "item_id int, text string")
+    assert {tuple(r) for r in decontam.clean(df, items).collect()} == {(1, other), (None, "a text of its own without a key")}
+
+
 @here
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_same_as_sql(spark, name):
