@@ -39,13 +39,38 @@ def durable(df: DataFrame, label: str = "t") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes ``path`` and what it holds, in whatever store it is."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+class Scratch:
+    """Durable tables of one operator, which go together once its result is durable too."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.base, self.made = spark, f"{scratch_dir(spark)}/scratch-{uuid.uuid4().hex}", 0
+
+    def durable(self, df: DataFrame, label: str = "t") -> DataFrame:
+        self.made += 1
+        path = f"{self.base}/{label}-{self.made}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *failed) -> None:
+        delete(self.spark, self.base)
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of undirected ``edges`` (columns ``a`` and ``b``, same type).
 
     Returns ``node``, ``root`` with root the smallest node of the component; only nodes
     with an edge to another node appear. Alternates star contractions, each a min
     aggregate joined back, so that no group is held in one place; the rounds
-    grow with the logarithm of the longest path.
+    grow with the logarithm of the longest path. Each round's table goes when the next is written.
     """
 
     def large_star(e: DataFrame) -> DataFrame:
@@ -63,20 +88,21 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     def mark(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
-    now = durable(edges.select("a", "b").filter("a <> b").distinct(), "edges")
-    seen = mark(now)
-    for _ in range(max_rounds):
-        if not seen[0]:
-            break
-        after = durable(small_star(large_star(now)), "edges")
-        marked = mark(after)
-        now, done, seen = after, marked == seen, marked
-        if done:
-            break
-    else:
-        raise RuntimeError("components did not settle")
-    roots = now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots)
+    with Scratch(edges.sparkSession) as kept:
+        now = kept.durable(edges.select("a", "b").filter("a <> b").distinct(), "edges")
+        seen = mark(now)
+        for _ in range(max_rounds):
+            if not seen[0]:
+                break
+            after = kept.durable(small_star(large_star(now)), "edges")
+            marked = mark(after)
+            now, done, seen = after, marked == seen, marked
+            if done:
+                break
+        else:
+            raise RuntimeError("components did not settle")
+        roots = now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
+        return durable(now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots), "components")
 
 
 def fresh(df: DataFrame, name: str) -> str:
