@@ -105,6 +105,12 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         return durable(now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots), "components")
 
 
+def ahead(array: Column, *values: Column) -> Column:
+    """``array``, to be exploded. As its expression now needs ``values``, generated code computes
+    them before its loop over the elements; otherwise it does so anew for each element."""
+    return F.when(F.hash(*values).bitwiseOR(F.lit(1)) != 0, array)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that ``df`` doesn't have, compared as Spark compares names."""
     taken = {c.lower() for c in df.columns}

@@ -203,9 +203,9 @@ def test_long_lines_are_compared_whole(spark):
     rows = [(1, tabs), (2, "kept line\n" + spaces), (3, "twenty words that stand before all others " * 3 + spaces + " and a tail"), (4, " ".join(f"other{w}" for w in words))]
     got = {r["doc_id"]: (r["text"], r["gone"]) for r in linededup.without_duplicate_lines(spark.createDataFrame(rows, "doc_id int, text string"), removed="gone").collect()}
     assert got == {1: (tabs, 0), 2: ("kept line", 1), 3: ("", 1), 4: (rows[3][1], 0)}
-    endless = " ".join(words * 12)  # beyond the length that edit distances are made for
-    rows = [(1, endless), (2, "a start " + endless), (3, " ".join(reversed(words * 12)))]
-    assert len(endless) > linededup.LONG
+    endless = " ".join(words * 15)  # beyond the length that edit distances are made for
+    rows = [(1, endless), (2, "a start " + endless), (3, " ".join(reversed(words * 15)))]
+    assert len(words * 12) < linededup.LONG_WORDS < len(words * 15)
     got = {r["doc_id"]: r["gone"] for r in linededup.without_duplicate_lines(spark.createDataFrame(rows, "doc_id int, text string"), removed="gone").collect()}
     assert got == {1: 0, 2: 1, 3: 0}
 
