@@ -100,7 +100,7 @@ def _words_sql(text: str) -> str:
 ORACLE_SQL: dict[str, str] = {
     "op3_topk": """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: coalesce(isfinite(x) AND abs(x) < 16384, false))) = len(embedding)),
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: coalesce(isfinite(x), false))) = len(embedding)),
 q AS (SELECT DISTINCT vec_id, v FROM v WHERE vec_id % 100 = 0),
 s AS (SELECT q.vec_id AS query_id, v.vec_id, list_inner_product(q.v, v.v)::BIGINT AS score FROM q JOIN v ON v.vec_id <> q.vec_id AND len(v.v) = len(q.v)),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)

@@ -9,8 +9,9 @@ as the upper bound can still reach the k-th score; the k best are then certain.
 Queries go to the tasks in lots of at most ``QUERY_BYTES``, whatever their number; each lot is
 held against all vectors in blocks of ``BLOCK_ROWS``.
 
-Defined results: rows with a null key, and vectors that are null or hold a null, a non-finite
-component or one of 16384 or more in size, take no part. Only vectors of equal length are
+Defined results: rows with a null key, and vectors that are null or hold a null or a non-finite
+component, take no part. Products beyond 64-bit integers are added up exactly; a component or a
+score that is itself no 64-bit integer ends the query with an error. Only vectors of equal length are
 compared. A key names its row: no row with a query's key is a candidate of that query, and
 exact repeats of a query row are one query; repeated candidates count as often as they occur.
 """
@@ -28,7 +29,6 @@ from pyspark.sql import functions as F
 from .common import durable
 
 SCALE = 1024
-LARGEST = 16384.0
 BITS = 6
 BLOCK_ROWS = 4096
 QUERY_TILE = 1024
@@ -45,7 +45,10 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.
             lists = part.column(1)
             sizes = np.diff(lists.offsets.to_numpy())
             flat = lists.flatten().to_numpy(zero_copy_only=False)
-            flat = np.floor(SCALE * flat.astype(np.float64)).astype(np.int64)
+            flat = np.floor(SCALE * flat.astype(np.float64))
+            if np.abs(flat).max(initial=0) >= 2.0**62:
+                raise OverflowError("a component is too large for 64-bit scores")
+            flat = flat.astype(np.int64)
             starts = np.cumsum(sizes) - sizes
             for size in np.unique(sizes):
                 at = np.flatnonzero(sizes == size)
@@ -58,8 +61,8 @@ class Lot:
     def __init__(self, places: np.ndarray, keys: np.ndarray, vectors: np.ndarray, reach: np.ndarray):
         order = np.argsort(keys, kind="stable")
         self.places, self.keys, self.q, self.reach = places[order], keys[order], vectors[order], reach[order]
-        self.plus = np.where(self.q > 0, self.q, 0).sum(1)
-        self.minus = np.where(self.q < 0, self.q, 0).sum(1)
+        self.plus = np.where(self.q > 0, self.q, 0).sum(1, dtype=np.float64)
+        self.minus = np.where(self.q < 0, self.q, 0).sum(1, dtype=np.float64)
         self.size = int(np.abs(self.q).max(initial=0))
 
     def bounds(self, keys: np.ndarray, vectors: np.ndarray) -> Iterator[tuple[int, np.ndarray, int]]:
@@ -117,6 +120,16 @@ def _lower_bounds(lots: dict[int, Lot], k: int, batches: Iterator[pa.RecordBatch
         yield pa.record_batch([pa.array(lots[size].places[some], pa.int64()), pa.array(lows, pa.list_(pa.float64()))], names=["q", "lows"])
 
 
+def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The inner products of the rows, as 64-bit integers."""
+    if float(a.shape[1]) * float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) < 2.0**62:
+        return np.einsum("ij,ij->i", a, b)
+    sums = [sum(int(x) * int(y) for x, y in zip(p, q, strict=True)) for p, q in zip(a, b, strict=True)]
+    if any(abs(s) >= 2**63 for s in sums):
+        raise OverflowError("a score is no 64-bit integer")
+    return np.array(sums, dtype=np.int64)
+
+
 class _Best:
     """The k best (query, score, key) triples seen in a task."""
 
@@ -158,7 +171,7 @@ def _exact(lots: dict[int, Lot], k: int, batches: Iterator[pa.RecordBatch]) -> I
                 starts = np.flatnonzero(np.r_[True, q[1:] != q[:-1]])
                 now = np.arange(len(q)) - np.repeat(starts, np.diff(np.r_[starts, len(q)])) < 2 * k
                 for part in np.array_split(np.flatnonzero(now), max(1, int(now.sum()) * vectors.shape[1] // (1 << 22))):
-                    score = np.einsum("ij,ij->i", lot.q[q[part] + lo], vectors[v[part]])
+                    score = _products(lot.q[q[part] + lo], vectors[v[part]])
                     held.add(q[part] + lo, score, keys[v[part]])
                 q, v, high = q[~now], v[~now], high[~now]
                 can = high >= np.maximum(lot.reach[q + lo], held.kth[q + lo])
@@ -173,7 +186,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, key: str = "vec_id"
     of ``vectors`` for which ``is_query`` holds, ties to the smaller key."""
     spark = vectors.sparkSession
     v = F.col(f"`{vector}`").cast("array<double>")
-    good = v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & (F.abs(x) < LARGEST))
+    good = v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & (F.abs(x) < float("inf")))
     rows = vectors.filter(F.col(f"`{key}`").isNotNull() & good).select(F.col(f"`{key}`").cast("bigint").alias("key"), v.alias("v"), is_query.alias("query"))
     queries = rows.filter("query").select("key", "v").distinct()
     n, widest = queries.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("v")), F.lit(1))).first()
