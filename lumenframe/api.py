@@ -122,25 +122,26 @@ def build_anomalies(df: DataFrame, p: dict, config: Config, top_n: int) -> dict:
         "impossible_values": sum(r["impossible"] for r in points.impossible(data, filled).collect()) if filled else 0,
         "inconsistent_categories": sum(context.inconsistent(data, c).first()[0] for c in spellings), "extreme_skew": len(p["skewed_numeric_columns"]), "invalid_dates": sum(p["invalid_dates"].values()),
         "invalid_geospatial": sum(g[k] for k in ("invalid_coordinate_pairs", "missing_coordinate_pairs", "invalid_latitude_values", "invalid_longitude_values"))}
-    base = {"total_rows": p["row_count"], "quality_anomalies": quality, "analysis_metadata": {"analysis_mode": "full", "approximate": False, "sampled_rows": p["row_count"], "sampled_ratio": 1.0}}
+    base = {"total_rows": p["row_count"], "quality_anomalies": quality, "analysis_metadata": {"analysis_mode": "full", "approximate": p["row_count"] > config.lof_rows, "sampled_rows": min(p["row_count"], config.lof_rows), "sampled_ratio": round(min(1.0, config.lof_rows / max(1, p["row_count"])), 6)}}
     if not filled:
         return base | {"suspicious_count": 0, "severity_breakdown": {"low": p["row_count"]}, "anomaly_type_breakdown": {}, "anomaly_category_breakdown": {}, "anomaly_groups": [], "time_series_events": [], "anomaly_score_distribution": [], "records": []}
-    order = next((c for c, t in types.items() if t == "date"), None)
+    order = profile.best_time(df, [c for c, t in types.items() if t == "date"])
     work = df
     if order and profile.kind_of(df, order) != "time":
         work = df.withColumn(order, parsed_time(F.col(f"`{order}`")))
     contexts = [c for c, t in types.items() if t == "categorical" and 1 < distinct[c] <= config.context_values][: config.context_columns]
     coordinates = (g["latitude_column"], g["longitude_column"]) if g["latitude_column"] and g["longitude_column"] else None
-    found = analysis.suspicious(work, "row_index", filled, order, contexts, coordinates, config, top_n=0).drop("record")
-    found = written(found)
-    split = found.withColumn("type", F.explode(F.split("types", ",")))
-    by = lambda d, c: {r[0]: r[1] for r in d.groupBy(c).agg(F.count(F.lit(1))).collect()}
+    events = written(analysis.events_of(work, "row_index", filled, order, config)) if order else None
+    every = written(analysis.judged(work, "row_index", filled, order, contexts, coordinates, config, events).select("row_index", "raw", "score", "severity", "types", "category", "affected", "action"))
+    # breakdowns are over all rows; only lists are over the visible ones
+    sums = every.agg(*[F.count_if(F.array_contains("types", t)).alias(t) for t in analysis.TYPES]).first().asDict()
+    categories = {c: sum(sums[t] for t in of) for c, of in analysis.CATEGORIES.items()} | {"data_quality": sum(quality.values())}
+    severities = {s: 0 for s in ("critical", "high", "medium", "low")} | {r[0]: r[1] for r in every.groupBy("severity").agg(F.count(F.lit(1))).collect()}
+    found = analysis.visible(every)
     groups = found.groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("top")).collect()
-    top = found.orderBy(F.desc("score"), F.desc(F.size(F.split("types", ","))), "row_index").limit(top_n)
+    top = found.withColumn("types", F.array_join("types", ",")).orderBy(F.desc("score"), F.desc(F.size(F.split("types", ","))), "row_index").limit(top_n)
     rows = top.join(df.withColumn("record", F.to_json(F.struct(*[F.col(f"`{c}`") for c in data.columns]))).select("row_index", "record"), "row_index").orderBy(F.desc("score"), F.desc(F.size(F.split("types", ","))), "row_index").collect()
-    events = analysis.events_of(work, "row_index", filled, order, config).orderBy("column", "kind", "pos").limit(config.events).collect() if order else []
-    severities = by(found, "severity")
-    severities["low"] = p["row_count"] - sum(n for s, n in severities.items() if s != "low")
+    shown = analysis.listed(events, filled, config).collect() if order else []
     records = []
     for r in rows:
         kinds_of = r["types"].split(",")
@@ -148,9 +149,9 @@ def build_anomalies(df: DataFrame, p: dict, config: Config, top_n: int) -> dict:
                         "affected_columns": r["affected"], "explanation": f"Row {r['row_index']} scores {r['score']:.4f} ({r['severity']}) by {', '.join(kinds_of)}."})
     order_of = list(analysis.CATEGORIES)
     return base | {
-        "suspicious_count": sum(x["n"] for x in groups), "severity_breakdown": severities, "anomaly_type_breakdown": by(split, "type"), "anomaly_category_breakdown": {x["category"]: x["n"] for x in groups},
+        "suspicious_count": sum(x["n"] for x in groups), "severity_breakdown": severities, "anomaly_type_breakdown": sums | {f"data_quality_{k}": n for k, n in quality.items()}, "anomaly_category_breakdown": categories,
         "anomaly_groups": sorted(({"category": x["category"], "count": x["n"], "top_score": x["top"]} for x in groups), key=lambda x: order_of.index(x["category"])),
-        "time_series_events": [e.asDict() for e in events], "anomaly_score_distribution": [r["score"] for r in found.orderBy(F.desc("score"), "row_index").limit(400).collect()], "records": records}
+        "time_series_events": [e.asDict() for e in shown], "anomaly_score_distribution": [r["score"] for r in every.orderBy(F.desc("raw"), "row_index").limit(400).collect()], "records": records}
 
 
 @dataclass

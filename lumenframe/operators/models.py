@@ -17,7 +17,13 @@ from .profile import col
 
 def hash_sample(df: DataFrame, key: str, n: int, seed: int = DEFAULT.seed) -> DataFrame:
     """``n`` rows, uniform and the same however the table is partitioned."""
-    return df.orderBy(F.md5(F.concat(col(key).cast("string"), F.lit(f"|{seed}")).cast("binary")), col(key)).limit(n)
+    mixed, count = F.md5(F.concat(col(key).cast("string"), F.lit(f"|{seed}")).cast("binary")), df.count()
+    if count > 8 * n:
+        # Only hashes that low can be among the n smallest: about 4 n of them, so that no task sorts
+        # n rows of each partition. Fewer than n by chance is all but impossible; then all rows are sorted.
+        low = df.filter(mixed < f"{int(4 * n / count * 2**64):016x}")
+        df = low if low.count() >= n else df
+    return df.orderBy(mixed, col(key)).limit(n)
 
 
 def _matrix(rows: list, columns: list[str]) -> np.ndarray:
@@ -128,12 +134,12 @@ def local_outlier_factor(df: DataFrame, key: str, columns: list[str], config: Co
     return df.withColumn("lof", factor(col(key), *[col(c).cast("double") for c in columns]))
 
 
-def ensemble(flags: DataFrame) -> DataFrame:
+def ensemble(flags: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """``flags`` (points.flagged with iso_score and lof) and ``iso_norm``, ``lof_norm``, ``votes``,
     ``score``, ``severity``, ``multivariate``."""
     ends = flags.agg(F.min("iso_score").alias("__i0"), F.max("iso_score").alias("__i1"), F.min("lof").alias("__l0"), F.max("lof").alias("__l1"))
     d = flags.crossJoin(F.broadcast(ends))  # one row
-    d = d.withColumns({"iso_norm": scaled(F.col("iso_score"), F.col("__i0"), F.col("__i1")), "lof_norm": scaled(F.col("lof"), F.col("__l0"), F.col("__l1")), "iso_flag": F.col("iso_score") > 0.5, "lof_flag": F.col("lof") > DEFAULT.lof_limit})
+    d = d.withColumns({"iso_norm": scaled(F.col("iso_score"), F.col("__i0"), F.col("__i1")), "lof_norm": scaled(F.col("lof"), F.col("__l0"), F.col("__l1")), "iso_flag": F.col("iso_score") > 0.5, "lof_flag": F.col("lof") > config.lof_limit})
     votes = (F.col("iqr_any").cast("int") + F.col("z_any").cast("int") + F.col("iso_flag").cast("int") + F.col("lof_flag").cast("int")) / 4
     d = d.withColumn("votes", votes)
     d = d.withColumn("score", clip(0.36 * F.col("votes") + 0.2 * F.col("iqr_ratio") + 0.2 * F.col("z_peak") + 0.14 * F.col("iso_norm") + 0.1 * F.col("lof_norm"), 0.0, 1.0))

@@ -81,6 +81,15 @@ def invalid_dates(df: DataFrame, column: str) -> DataFrame:
     return df.agg(F.count_if(col(column).isNotNull() & parsed_time(col(column)).isNull()).alias("invalid_dates"), F.count(col(column)).alias("dates"))
 
 
+def best_time(df: DataFrame, columns: list[str], least: int = 8) -> str | None:
+    """Of ``columns`` the one with the most parsed values, the first of several; None below ``least``."""
+    if not columns:
+        return None
+    n = df.agg(*[F.count(col(c) if kind_of(df, c) == "time" else parsed_time(col(c))).alias(f"n{i}") for i, c in enumerate(columns)]).first()
+    best = max(range(len(columns)), key=lambda i: (n[i], -i))
+    return columns[best] if n[best] >= least else None
+
+
 def samples(df: DataFrame, columns: list[str], n: int = SAMPLE) -> dict[str, list[str]]:
     """Up to ``n`` non-null values of each column as text."""
     return {c: [r[0] for r in df.filter(col(c).isNotNull()).select(col(c).cast("string")).limit(n).collect()] for c in columns}
@@ -134,13 +143,12 @@ def semantic_types(df: DataFrame, table: DataFrame | None = None) -> dict[str, s
 
 
 def geo_scores(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """``column``, ``castable``, ``lat_share``, ``lon_share`` for each column."""
+    """``column``, ``castable`` (share of all rows), ``lat_share``, ``lon_share`` (of castable ones) for each column."""
     names = columns or [c for c in _plain(df) if kind_of(df, c) != "time"]
     parts = []
     for i, c in enumerate(names):
         x = number(col(c))
-        present = col(c).isNotNull()
-        parts += [F.avg(F.when(present, x.isNotNull().cast("double"))).alias(f"c{i}"), F.avg(x.between(-90, 90).cast("double")).alias(f"a{i}"), F.avg(x.between(-180, 180).cast("double")).alias(f"o{i}")]
+        parts += [F.avg(x.isNotNull().cast("double")).alias(f"c{i}"), F.avg(x.between(-90, 90).cast("double")).alias(f"a{i}"), F.avg(x.between(-180, 180).cast("double")).alias(f"o{i}")]
     wide = df.agg(*parts)
     return wide.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.round(f"c{i}", 6).alias("castable"), F.round(f"a{i}", 6).alias("lat_share"), F.round(f"o{i}", 6).alias("lon_share")) for i, c in enumerate(names)])).alias("r")).select("r.*")
 

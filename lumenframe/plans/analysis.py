@@ -25,52 +25,83 @@ def scored(df: DataFrame, key: str, numeric: list[str], config: Config = DEFAULT
     flags = points.flagged(df, numeric, config)
     judged = models.local_outlier_factor(models.isolation_scores(flags, key, numeric, config), key, numeric, config)
     # Written once: several aggregates follow, and models score each row in Python.
-    return models.ensemble(written(judged))
+    return models.ensemble(written(judged), config)
+
+
+KINDS = ("spike", "dip", "trend", "seasonal")
 
 
 def events_of(df: DataFrame, key: str, numeric: list[str], order: str, config: Config = DEFAULT) -> DataFrame:
-    """``key``, ``column``, ``kind``, ``pos``, ``deviation``, ``threshold`` of the series anomalies of each
-    numeric column, at most ``events_per_type`` of a column and kind."""
+    """``key``, ``column``, ``kind``, ``pos``, ``value``, ``deviation``, ``threshold`` of all series anomalies of each
+    numeric column (the first ``series_columns``)."""
     n = df.count()
     if n < config.series_rows:
-        return df.select(F.col(key), F.lit("").alias("column"), F.lit("").alias("kind"), F.lit(0).cast("bigint").alias("pos"), F.lit(0.0).alias("deviation"), F.lit(0.0).alias("threshold")).limit(0)
+        return df.select(F.col(key), F.lit("").alias("column"), F.lit("").alias("kind"), *[F.lit(0).cast(t).alias(c) for c, t in (("pos", "bigint"), ("value", "double"), ("deviation", "double"), ("threshold", "double"))]).limit(0)
     base = written(series.positioned(df.select(key, order, *[F.col(c).cast("double").alias(c) for c in numeric if c not in (key, order)]), [F.col(order).asc_nulls_last(), F.col(key)]))
     w = series.window_size(n)
     parts = []
     for c in [c for c in numeric if c not in (key, order)][: config.series_columns]:
         for found in (series.level_shifts(base, c, w), series.trend_changes(base, c, w), series.seasonal_breaks(base, c, config)):
-            parts.append(found.select(F.col(key), F.lit(c).alias("column"), "kind", F.col("pos").cast("bigint").alias("pos"), F.col("deviation").cast("double").alias("deviation"), F.col("threshold").cast("double").alias("threshold")))
-    rank = F.row_number().over(Window.partitionBy("column", "kind").orderBy("pos"))
-    return reduce(DataFrame.union, parts).withColumn("r", rank).filter(F.col("r") <= config.events_per_type).drop("r")
+            parts.append(found.select(F.col(key), F.lit(c).alias("column"), "kind", F.col("pos").cast("bigint").alias("pos"), *[F.col(f).cast("double").alias(t) for f, t in ((f"`{c}`", "value"), ("deviation", "deviation"), ("threshold", "threshold"))]))
+    return reduce(DataFrame.union, parts)
 
 
-def suspicious(df: DataFrame, key: str, numeric: list[str], order: str | None = None, contexts: list[str] | None = None, coordinates: tuple[str, str] | None = None, config: Config = DEFAULT, top_n: int | None = None) -> DataFrame:
-    """``key``, ``score``, ``severity``, ``category``, ``types``, ``affected`` (columns), ``action``, ``record`` (JSON) of the
-    suspicious rows, most suspicious first, ``top_n`` of them (config.top_n; 0: all)."""
+def listed(events: DataFrame, numeric: list[str], config: Config = DEFAULT) -> DataFrame:
+    """The events that a report lists: at most ``events_per_type`` of a column and kind, ``events`` in all,
+    in order of the table's columns, the kinds and the places."""
+    capped = events.withColumn("r", F.row_number().over(Window.partitionBy("column", "kind").orderBy("pos"))).filter(F.col("r") <= config.events_per_type).drop("r")
+    place = lambda c, names: F.array_position(F.array(*map(F.lit, names)), F.col(c))
+    return capped.orderBy(place("column", numeric), place("kind", KINDS), "pos").limit(config.events)
+
+
+def judged(df: DataFrame, key: str, numeric: list[str], order: str | None = None, contexts: list[str] | None = None, coordinates: tuple[str, str] | None = None, config: Config = DEFAULT, events: DataFrame | None = None) -> DataFrame:
+    """All rows of ``df`` with ``raw`` (score), ``score`` (to four places), ``severity``, ``types`` (array, may be empty), ``category``,
+    ``affected`` (columns) and ``action``. ``events`` is events_of(df), if at hand."""
     data = scored(df, key, numeric, config)
-    marks = [data.filter("point").select(F.col(key), F.lit("point").alias("type")), data.filter("multivariate").select(F.col(key), F.lit("multivariate").alias("type"))]
+
+    def mark(rows: DataFrame, kind, columns=None) -> DataFrame:
+        return rows.select(F.col(key), (F.lit(kind) if isinstance(kind, str) else kind).alias("type"), (F.array().cast("array<string>") if columns is None else columns).alias("cols"))
+
+    marks = [mark(data.filter("point"), "point"), mark(data.filter("multivariate"), "multivariate")]
     if contexts:
-        marks.append(context.contextual(data, key, contexts, numeric, config).select(F.col(key), F.lit("contextual").alias("type")).distinct())
+        marks.append(mark(context.contextual(data, key, contexts, numeric, config), "contextual", F.array(F.col("value_column"))))
     if order:
-        marks.append(events_of(data, key, numeric, order, config).select(F.col(key), F.col("kind").alias("type")).distinct())
+        marks.append(mark(events_of(data, key, numeric, order, config) if events is None else events, F.col("kind"), F.array(F.col("column"))))
     placed = series.positioned(data.select(key, "score", *([order] if order else [])), [*([F.col(order).asc_nulls_last()] if order else []), F.col(key)])
     placed = written(placed)
     runs = series.high_runs(placed, "score", config)
     members = runs.select(F.explode(F.sequence("start_pos", "end_pos")).alias("pos"))
-    marks.append(placed.join(members, "pos").select(F.col(key), F.lit("collective").alias("type")))
+    marks.append(mark(placed.join(members, "pos"), "collective"))
     if coordinates:
-        marks.append(geo.outliers(data, *coordinates).select(F.col(key), F.lit("geospatial").alias("type")))
-    types = reduce(DataFrame.union, marks).groupBy(key).agg(F.collect_set("type").alias("found"))
-    rows = data.join(types, key)
+        marks.append(mark(geo.outliers(data, *coordinates), "geospatial", F.array(*map(F.lit, sorted(coordinates)))))
+    # a row has a mark for each of its types and columns: few, and bounded by the table's columns
+    types = reduce(DataFrame.union, marks).groupBy(key).agg(F.collect_set("type").alias("found"), F.collect_set(F.struct("type", "cols")).alias("why"))
+    rows = data.join(types, key, "left").withColumn("found", F.coalesce("found", F.array().cast("array<string>")))
     ordered = F.filter(F.array(*[F.lit(t) for t in TYPES]), lambda t: F.array_contains("found", t))
     category = F.coalesce(*[F.when(F.arrays_overlap(F.array(*map(F.lit, of)), "found"), name) for name, of in CATEGORIES.items()])
     action = F.coalesce(*[F.when(F.array_contains("found", t), text) for t, text in ACTIONS.items()])
-    flagged = [F.when(F.col(f"iqr_{i}") | F.col(f"z_{i}"), F.lit(c)) for i, c in enumerate(numeric)]
-    highest = F.array_max(F.array(*[F.struct(F.col(f"zs_{i}").alias("z"), F.lit(c).alias("c")) for i, c in enumerate(numeric)]))["c"]
-    affected = F.array_compact(F.array(*flagged))
-    affected = F.when(F.size(affected) > 0, affected).otherwise(F.array(highest))  # else the column farthest out
-    seen = (F.col("severity") != "low") | (F.size(F.array_except("found", F.array(F.lit("point")))) > 0)
-    rows = rows.withColumns({"types": ordered, "category": category, "action": action, "affected": affected, "score": F.round("score", 4)}).filter(seen)
+    flagged = F.array_compact(F.array(*[F.when(F.col(f"iqr_{i}") | F.col(f"z_{i}"), F.lit(c)) for i, c in enumerate(numeric)]))
+
+    def columns_of(kinds: tuple[str, ...]):
+        return F.array_sort(F.flatten(F.transform(F.filter("why", lambda m: m["type"].isin(*kinds)), lambda m: m["cols"])))
+
+    of_types = [columns_of(kinds) for kinds in (("contextual",), KINDS, ("geospatial",))]
+    affected = F.array_distinct(F.concat(flagged, *[F.coalesce(x, F.array().cast("array<string>")) for x in of_types]))
+    strengths = F.array_sort(F.array(*[F.struct(F.col(f"zs_{i}").alias("z"), F.lit(i).alias("i"), F.lit(c).alias("c")) for i, c in enumerate(numeric)]))
+    farthest = F.transform(F.filter(F.slice(strengths, -min(3, len(numeric)), min(3, len(numeric))), lambda x: x["z"] > 0), lambda x: x["c"])
+    affected = F.when(F.size(affected) > 0, affected).otherwise(farthest)  # else the three columns farthest out
+    return rows.withColumns({"types": ordered, "category": category, "action": action, "affected": affected, "raw": F.col("score"), "score": F.round("score", 4)})
+
+
+def visible(rows: DataFrame) -> DataFrame:
+    """The suspicious ones of judged rows: those with a type, and a severity or a type beyond single values."""
+    return rows.filter((F.size("types") > 0) & ((F.col("severity") != "low") | (F.size(F.array_except("types", F.array(F.lit("point")))) > 0)))
+
+
+def suspicious(df: DataFrame, key: str, numeric: list[str], order: str | None = None, contexts: list[str] | None = None, coordinates: tuple[str, str] | None = None, config: Config = DEFAULT, top_n: int | None = None) -> DataFrame:
+    """``key``, ``score``, ``severity``, ``category``, ``types``, ``affected`` (columns), ``action``, ``record`` (JSON) of the
+    suspicious rows, most suspicious first, ``top_n`` of them (config.top_n; 0: all)."""
+    rows = visible(judged(df, key, numeric, order, contexts, coordinates, config))
     out = rows.select(key, "score", "severity", "category", F.array_join("types", ",").alias("types"), "affected", "action", F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])).alias("record"))
     n = config.top_n if top_n is None else top_n
     out = out.orderBy(F.desc("score"), F.desc(F.size(F.split("types", ","))), key)

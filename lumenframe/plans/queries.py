@@ -100,7 +100,7 @@ def iqr_outlier_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.iqr_outliers(table(spark, sf_dir, "events"), ["value", "user_id"])
 
 
-@query(f"WITH {DIRTY_GEO} " + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", 1.0::DOUBLE AS castable, round(avg(CASE WHEN {c} BETWEEN -90 AND 90 THEN 1.0 WHEN {c} IS NOT NULL THEN 0.0 END), 6) AS lat_share, round(avg(CASE WHEN {c} BETWEEN -180 AND 180 THEN 1.0 WHEN {c} IS NOT NULL THEN 0.0 END), 6) AS lon_share FROM dirty_geo" for c in ("c_custkey", "latitude", "longitude")))
+@query(f"WITH {DIRTY_GEO} " + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", round(avg(CASE WHEN {c} IS NULL THEN 0.0 ELSE 1.0 END), 6) AS castable, round(avg(CASE WHEN {c} BETWEEN -90 AND 90 THEN 1.0 WHEN {c} IS NOT NULL THEN 0.0 END), 6) AS lat_share, round(avg(CASE WHEN {c} BETWEEN -180 AND 180 THEN 1.0 WHEN {c} IS NOT NULL THEN 0.0 END), 6) AS lon_share FROM dirty_geo" for c in ("c_custkey", "latitude", "longitude")))
 def geo_candidate_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.geo_scores(dirty_geo(spark, sf_dir), ["c_custkey", "latitude", "longitude"])
 

@@ -5,8 +5,10 @@ from pyspark.sql import functions as F
 
 from lumenframe import rules
 from lumenframe.api import Engine, NotFound
-from lumenframe.config import Config
+from lumenframe.config import DEFAULT, Config
+from lumenframe.functions import scalars
 from lumenframe.operators import context, models, points, profile, series
+from lumenframe.plans import analysis
 from lumenframe.sources.readers import TableError, read_table, url_filename, with_row_index
 from lumenframe.streaming.counters import frozen_limits, outside, windowed_counts
 
@@ -117,3 +119,31 @@ def test_stream_counts_equal_batch_counts(spark, tmp_path):
     assert {tuple(r) for r in spark.table("counted").collect()} == want
     limits = frozen_limits(batch, ["x"])
     assert outside(batch.withColumn("x", F.col("x") * 10), limits).count() > 0
+
+
+def test_times_of_many_spellings(spark):
+    good = ["2024-01-05", "2024-01-05T10:00:00Z", "2024-01-05 10:00", "2024-01-05 10:00:00.25", "1/5/2024", "01/05/2024 10:00:00", "Jan 5, 2024", "5 January 2024", "2024/01/05", "05.01.2024"]
+    bad = ["not a date", "2024-02-30", "13:45", "", "99/99/2024"]
+    df = spark.createDataFrame([(x,) for x in [*good, *bad, None]], "t string")
+    parsed = {r["t"]: r["p"] for r in df.select("t", scalars.parsed_time(F.col("t")).alias("p")).collect()}
+    assert all(parsed[x] is not None for x in good) and all(parsed[x] is None for x in bad)
+    assert tuple(profile.invalid_dates(df, "t").first()) == (len(bad), len(good) + len(bad))
+    assert profile.best_time(df.withColumn("u", F.lit("x")), ["u", "t"]) == "t" and profile.best_time(df, []) is None
+
+
+def test_castable_share_is_of_all_rows(spark):
+    df = spark.createDataFrame([(1.0,), (2.0,), (None,), (None,)], "lat double")
+    assert profile.geo_scores(df, ["lat"]).first()["castable"] == 0.5
+    assert profile.pick_coordinates(profile.geo_scores(df, ["lat"]).collect()) == (None, None)
+
+
+def test_flags_and_counts_go_beyond_the_lists(spark):
+    rows = [(i, float(i % 2) if i % 11 else 90.0 + i) for i in range(4000)]
+    df = spark.createDataFrame([(i, f"{2000 + i // 336}-{i // 28 % 12 + 1:02d}-{i % 28 + 1:02d}", v) for i, v in rows], "row_index bigint, day string, v double").withColumn("day", F.col("day").cast("date"))
+    events = analysis.events_of(df, "row_index", ["v"], "day")
+    spikes = events.filter("kind = 'spike'").count()
+    assert spikes > DEFAULT.events_per_type and analysis.listed(events, ["v"]).filter("kind = 'spike'").count() == DEFAULT.events_per_type
+    assert [r["kind"] for r in analysis.listed(events, ["v"]).collect()] == sorted((r["kind"] for r in analysis.listed(events, ["v"]).collect()), key=analysis.KINDS.index)
+    got = analysis.judged(df, "row_index", ["v"], "day", events=events)
+    assert got.count() == 4000 and got.filter(F.array_contains("types", "spike")).count() == spikes
+    assert got.filter(F.array_contains("types", "spike") & ~F.array_contains("affected", "v")).count() == 0
