@@ -9,13 +9,19 @@ trained in numpy on generated pages of many layouts, whose random words carry no
 Defined results: null and empty pages, and pages without a main block, have the empty text.
 Character references are decoded, white space inside a block becomes one space, blocks are
 joined in page order by one line feed. Scripts, styles, templates and comments hold no blocks.
+A head without its end tag ends before the first element or text that can't be in it. A hidden element
+that closes itself, or whose end tag the page doesn't hold, hides nothing; one whose end tag is
+missed where others of its name have theirs ends with its parent. A page of more than ``LOT_BLOCKS`` blocks is
+read in windows, with the states carried over, with the same labels. Equal rows give equal rows; other columns
+stay as they are, whatever their names, but ``html`` and an earlier ``text``.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from html.parser import HTMLParser
 
@@ -28,13 +34,18 @@ from pyspark.sql import functions as F
 PATH_PLACES, NEAR_PLACES, WORD_PLACES, SIZES = 256, 128, 64, 6
 PLACES = PATH_PLACES + NEAR_PLACES + WORD_PLACES + SIZES
 HIDDEN = 16
-#: Pages are labelled in lots of about this many blocks.
+#: Pages are labelled in lots of at most this many blocks, longer ones alone in windows of as many.
 LOT_BLOCKS = 8192
 
 #: HTML elements that end a run of text, that have no end tag, and that show no text.
 BLOCK_TAGS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav noframes ol option p pre search section select summary table tbody td tfoot th thead title tr ul".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN_TAGS = frozenset("script style template noscript head title svg math iframe object canvas audio video".split())
+#: What a head may hold.
+HEAD_TAGS = frozenset("base link meta noscript script style template title".split())
+#: Hidden elements whose end tag authors leave out.
+OFTEN_OPEN = frozenset("template noscript svg math iframe object canvas audio video".split())
+_ENDS = re.compile(rf"</({'|'.join(sorted(OFTEN_OPEN))})(?=[\s>/])", re.IGNORECASE)
 #: A start tag of the key closes an open element of the value.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: An element that an implied end doesn't reach out of.
@@ -60,8 +71,10 @@ class Leaves(HTMLParser):
     """Collects ``blocks``: (text, path vector, places of the innermost two elements, share of
     its characters in links)."""
 
-    def __init__(self) -> None:
+    def __init__(self, ends: Counter[str]) -> None:
+        """``ends``: how many end tags of each often unclosed element are to come."""
         super().__init__(convert_charrefs=True)
+        self.ends = ends
         self.blocks: list[Block] = []
         self.open: list[tuple[str, np.ndarray, tuple[int, ...]]] = []
         self.count: dict[str, int] = {}
@@ -97,7 +110,17 @@ class Leaves(HTMLParser):
             if name in scopes:
                 return
 
+    def leave_head(self, tag: str) -> None:
+        """A head ends before ``tag`` (empty: text) if that can't stand in it."""
+        if not self.count.get("head"):
+            return
+        if tag == "body" or (self.open[-1][0] == "head" and tag not in HEAD_TAGS):
+            self.close_open({"head"}, frozenset())
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        self.leave_head(tag)
+        if tag in OFTEN_OPEN and self.ends[tag] <= 0:
+            return
         if tag in BLOCK_TAGS:
             self.flush()
             self.close_open(CLOSES.get(tag, {"p"}), SCOPES)
@@ -118,9 +141,15 @@ class Leaves(HTMLParser):
         self.linked += tag == "a"
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
+        if tag in HIDDEN_TAGS:
+            return
         self.handle_starttag(tag, attrs)
+        if self.count.get("svg") or self.count.get("math"):  # only there does a slash end an element
+            self.handle_endtag(tag)
 
     def handle_endtag(self, tag: str) -> None:
+        if tag in OFTEN_OPEN:
+            self.ends[tag] -= 1
         if tag in BLOCK_TAGS:
             self.flush()
         if tag == "br":
@@ -133,6 +162,8 @@ class Leaves(HTMLParser):
             self.close_open({tag}, BLOCK_TAGS)
 
     def handle_data(self, data: str) -> None:
+        if self.count.get("head") and not data.isspace():
+            self.leave_head("")
         if not self.hidden:
             self.parts.append(data)
             if self.linked:
@@ -140,23 +171,25 @@ class Leaves(HTMLParser):
 
 
 def leaf_blocks(html: str) -> list[Block]:
-    parser = Leaves()
+    parser = Leaves(Counter(m.lower() for m in _ENDS.findall(html)))
     parser.feed(html)
     parser.close()
     parser.flush()
     return parser.blocks
 
 
-def features(blocks: list[Block]) -> np.ndarray:
-    out = np.zeros((len(blocks), PLACES), np.float32)
-    for i, (text, path, near, linked) in enumerate(blocks):
+def features(blocks: list[Block], lo: int = 0, hi: int | None = None) -> np.ndarray:
+    """Of the blocks from ``lo`` to before ``hi`` of a page."""
+    some = blocks[lo:hi]
+    out = np.zeros((len(some), PLACES), np.float32)
+    for i, (text, path, near, linked) in enumerate(some):
         words = text.lower().split()
         row = out[i]
         row[:PATH_PLACES] = path
         row[[PATH_PLACES + k for k in near]] = 1.0
         row[[PATH_PLACES + NEAR_PLACES + _place(w, WORD_PLACES) for w in set(words)]] = 0.25
         letters = len(text)
-        row[-SIZES:] = (np.log1p(letters) / 6, np.log1p(len(words)) / 5, linked, text.count(".") > 0, i / len(blocks), text[-1] in ".!?…")
+        row[-SIZES:] = (np.log1p(letters) / 6, np.log1p(len(words)) / 5, linked, text.count(".") > 0, (lo + i) / len(blocks), text[-1] in ".!?…")
     return out
 
 
@@ -180,26 +213,28 @@ class BiLstm:
         }
         self.p["b"][:, hidden : 2 * hidden] = 1.0  # forget gates begin open
 
-    def run(self, x: np.ndarray, mask: np.ndarray, trace: list | None = None) -> np.ndarray:
-        """Logits (step, sequence). States stay as they are at masked steps."""
+    def pass_over(self, d: int, x: np.ndarray, mask: np.ndarray, h: np.ndarray, c: np.ndarray, trace: list | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Outputs (step, sequence, place) of direction ``d`` from the states ``h`` and ``c``, and the states after it."""
         steps, n, _ = x.shape
         k = self.hidden
-        out = np.zeros((2, steps, n, k), np.float32)
-        for d in (0, 1):
-            given = x.reshape(steps * n, -1) @ self.p["x"][d]
-            given = given.reshape(steps, n, -1) + self.p["b"][d]
-            h, c = np.zeros((n, k), np.float32), np.zeros((n, k), np.float32)
-            for t in range(steps) if d == 0 else range(steps - 1, -1, -1):
-                a = given[t] + h @ self.p["u"][d]
-                i, f, o, g = _sigmoid(a[:, :k]), _sigmoid(a[:, k : 2 * k]), _sigmoid(a[:, 2 * k : 3 * k]), np.tanh(a[:, 3 * k :])
-                new_c = f * c + i * g
-                tc = np.tanh(new_c)
-                m = mask[t][:, None]
-                if trace is not None:
-                    trace.append((d, t, h, c, i, f, o, g, tc, m))
-                h, c = np.where(m, o * tc, h), np.where(m, new_c, c)
-                out[d, t] = h
-        self.out = out
+        out = np.zeros((steps, n, k), np.float32)
+        given = (x.reshape(steps * n, -1) @ self.p["x"][d]).reshape(steps, n, -1) + self.p["b"][d]
+        for t in range(steps) if d == 0 else range(steps - 1, -1, -1):
+            a = given[t] + h @ self.p["u"][d]
+            i, f, o, g = _sigmoid(a[:, :k]), _sigmoid(a[:, k : 2 * k]), _sigmoid(a[:, 2 * k : 3 * k]), np.tanh(a[:, 3 * k :])
+            new_c = f * c + i * g
+            tc = np.tanh(new_c)
+            m = mask[t][:, None]
+            if trace is not None:
+                trace.append((d, t, h, c, i, f, o, g, tc, m))
+            h, c = np.where(m, o * tc, h), np.where(m, new_c, c)
+            out[t] = h
+        return out, h, c
+
+    def run(self, x: np.ndarray, mask: np.ndarray, trace: list | None = None) -> np.ndarray:
+        """Logits (step, sequence). States stay as they are at masked steps."""
+        start = np.zeros((x.shape[1], self.hidden), np.float32)
+        self.out = out = np.stack([self.pass_over(d, x, mask, start, start, trace)[0] for d in (0, 1)])
         return out[0] @ self.p["v"][0] + out[1] @ self.p["v"][1] + self.p["c"]
 
     def gradients(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
@@ -244,6 +279,18 @@ class BiLstm:
             lo = hi
         return out
 
+    def label_long(self, blocks: list[Block], window: int = LOT_BLOCKS) -> np.ndarray:
+        """Which blocks of one page are main text; features are made for one window at a time."""
+        logits = np.full(len(blocks), self.p["c"][0], np.float32)
+        windows = range(0, len(blocks), window)
+        for d in (0, 1):
+            h = c = np.zeros((1, self.hidden), np.float32)
+            for lo in windows if d == 0 else reversed(windows):
+                x = features(blocks, lo, lo + window)[:, None]
+                out, h, c = self.pass_over(d, x, np.ones(x.shape[:2], bool), h, c)
+                logits[lo : lo + window] += out[:, 0] @ self.p["v"][d]
+        return logits > 0
+
 
 def _padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     steps = max(1, max(len(p) for p in pages))
@@ -464,12 +511,25 @@ def trained(pages: int = 1500, epochs: int = 12, batch: int = 32, rate: float =
     return net
 
 
-def main_texts(net: BiLstm, htmls: list[str]) -> list[str]:
-    pages = [leaf_blocks(h) for h in htmls]
-    on = net.label([features(b) for b in pages])
+def _kept(net: BiLstm, pages: list[list[Block]]) -> list[str]:
+    long = len(pages) == 1 and len(pages[0]) > LOT_BLOCKS
+    on = [net.label_long(pages[0])] if long else net.label([features(b) for b in pages])
     return ["\n".join(t for (t, *_), keep in zip(blocks, flags, strict=True) if keep) for blocks, flags in zip(pages, on, strict=True)]
 
 
+def main_texts(net: BiLstm, htmls: Iterable[str]) -> list[str]:
+    out: list[str] = []
+    lot: list[list[Block]] = []
+    size = 0
+    for blocks in map(leaf_blocks, htmls):
+        if lot and size + len(blocks) > LOT_BLOCKS:
+            out += _kept(net, lot)
+            lot, size = [], 0
+        lot.append(blocks)
+        size += len(blocks)
+    return out + _kept(net, lot) if lot else out
+
+
 def with_main_text(pages: DataFrame, html: str = "html", text: str = "text") -> DataFrame:
     """All columns of ``pages`` but ``html``, and ``text`` (replaced if there)."""
     held = pages.sparkSession.sparkContext.broadcast(trained())  # some 100 KB
@@ -479,16 +539,7 @@ def with_main_text(pages: DataFrame, html: str = "html", text: str = "text") ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = held.value
         for b in batches:
-            got: list[str] = []
-            lot: list[str] = []
-            size = 0
-            for h in b.column(0):
-                lot.append(h.as_py() or "")
-                size += 1 + len(lot[-1]) // 100
-                if size >= LOT_BLOCKS:
-                    got += main_texts(net, lot)
-                    lot, size = [], 0
-            got += main_texts(net, lot) if lot else []
+            got = main_texts(net, (h.as_py() or "" for h in b.column(0)))
             yield pa.record_batch([*b.columns[1:], pa.array(got, pa.string())], names=[*b.schema.names[1:], "__text"])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields[1:]), "__text string"])

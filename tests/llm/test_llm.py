@@ -130,6 +130,61 @@ def test_html_labels():
     assert html.main_texts(net, [page, "", "<p>"]) == ["A & B\nFirst text.\nSecond text, longer than the first.", "", ""]
 
 
+def test_html_left_open():
+    body = "<div class=x><h1>Title here</h1><p>Some words of it.</p></div>"
+    want = ["Title here", "Some words of it."]
+    odd = [
+        f"<head><title>no</title><meta charset=x><body>{body}", f"<html><head><title>no</title>{body}", f"<head><title>no</title><body>{body}</body>", f"<svg/>{body}", f"<svg><path d='x'/><g/></svg>{body}",
+        f"<iframe src=x />{body}", f"<video src=x>{body}", f"<video src='x'/>{body}<video>old browser</video>", f"<object data=x>{body}", f"<div><canvas></div>{body}<canvas></canvas>", f"<noscript>on</noscript>{body}", f"<math/>{body}<svg><text>no</text></svg>"]
+    for page in odd:
+        assert [t for t, *_ in html.leaf_blocks(page)] == want, page
+    assert [t for t, *_ in html.leaf_blocks(f"<head>loose{body}")] == ["loose", *want]
+
+
+def test_html_long_pages_in_windows(monkeypatch):
+    net = html.trained()
+    blocks = html.leaf_blocks("".join(html.Maker(s).page()[0] for s in range(700_000, 700_020)))
+    whole = net.label([html.features(blocks)])[0]
+    for window in (1, 7, 64, 10_000):
+        assert (net.label_long(blocks, window) == whole).all()
+    pages = [html.Maker(s).page()[0] for s in range(700_000, 700_030)] + ["", "<p>"]
+    want = html.main_texts(net, pages)
+    monkeypatch.setattr(html, "LOT_BLOCKS", 20)
+    assert html.main_texts(net, pages) == want and html.main_texts(net, []) == []
+
+
+def test_html_gradients():
+    net, rng = html.BiLstm(3), np.random.default_rng(4)
+    net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    x, mask = (rng.random((5, 2, html.PLACES)) < 0.1).astype(np.float64), np.array([[1, 1], [1, 1], [1, 1], [1, 0], [1, 0]], bool)
+    y = rng.integers(0, 2, (5, 2))
+
+    def loss():
+        z = net.run(x, mask)
+        return float(((np.logaddexp(0, z) - y * z) * mask).sum() / mask.sum())
+
+    for name, g in net.gradients(x, mask, y).items():
+        for at in map(tuple, np.argwhere(np.abs(g) > np.abs(g).max() / 2)[:4]):
+            kept, step = net.p[name][at], 1e-2
+            net.p[name][at] = kept + step
+            up = loss()
+            net.p[name][at] = kept - step
+            down = loss()
+            net.p[name][at] = kept
+            assert abs((up - down) / (2 * step) - g[at]) < 0.02 * abs(g[at]) + 1e-4, name
+
+
+def test_html_rows(spark):
+    page = "<article><h1>Head</h1><p>Some words that stand in an article, quite a few of them.</p></article>"
+    rows = [(1, "u", page, "old", 1), (1, "u", page, "old", 1), (None, None, None, None, None), (2, "u", "", "old", 2)]
+    schema = "page_id bigint, url string, html string, text string, __html int"
+    got = html.with_main_text(spark.createDataFrame(rows, schema))
+    assert got.columns == ["page_id", "url", "__html", "text"]
+    found = sorted((r["page_id"] or 0, r["text"]) for r in got.collect())
+    assert [k for k, _ in found] == [0, 1, 1, 2] and found[0][1] == found[3][1] == "" and found[1] == found[2] and "article" in found[1][1]
+    assert html.with_main_text(spark.createDataFrame([], schema)).count() == 0
+
+
 @here
 def test_html_keeps_articles(spark):
     want = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
