@@ -15,7 +15,7 @@ from . import rules
 from .config import DEFAULT, Config
 from .functions.scalars import parsed_time
 from .operators import context, points, profile
-from .plans import analysis
+from .plans import analysis, explain
 from .report import html_report
 from .session import written
 from .sources.readers import capabilities, metadata, read_table, url_filename, with_row_index
@@ -131,26 +131,41 @@ def build_anomalies(df: DataFrame, p: dict, config: Config, top_n: int) -> dict:
         work = df.withColumn(order, parsed_time(F.col(f"`{order}`")))
     contexts = [c for c, t in types.items() if t == "categorical" and 1 < distinct[c] <= config.context_values][: config.context_columns]
     coordinates = (g["latitude_column"], g["longitude_column"]) if g["latitude_column"] and g["longitude_column"] else None
-    events = written(analysis.events_of(work, "row_index", filled, order, config)) if order else None
-    every = written(analysis.judged(work, "row_index", filled, order, contexts, coordinates, config, events).select("row_index", "raw", "score", "severity", "types", "category", "affected", "action"))
+    base_rows = analysis.series_base(work, "row_index", filled, order) if order else None
+    events = written(analysis.events_of(work, "row_index", filled, order, config, base_rows)) if order else None
+    every = written(analysis.judged(work, "row_index", filled, order, contexts, coordinates, config, events).select("row_index", "raw", "score", "severity", "types", "category", "affected", "action", "methods", "why", "beyond", "iso_norm", "lof_norm"))
     # breakdowns are over all rows; only lists are over the visible ones
     sums = every.agg(*[F.count_if(F.array_contains("types", t)).alias(t) for t in analysis.TYPES]).first().asDict()
     categories = {c: sum(sums[t] for t in of) for c, of in analysis.CATEGORIES.items()} | {"data_quality": sum(quality.values())}
     severities = {s: 0 for s in ("critical", "high", "medium", "low")} | {r[0]: r[1] for r in every.groupBy("severity").agg(F.count(F.lit(1))).collect()}
     found = analysis.visible(every)
-    groups = found.groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("top")).collect()
-    top = found.withColumn("types", F.array_join("types", ",")).orderBy(F.desc("score"), F.desc(F.size(F.split("types", ","))), "row_index").limit(top_n)
-    rows = top.join(df.withColumn("record", F.to_json(F.struct(*[F.col(f"`{c}`") for c in data.columns]))).select("row_index", "record"), "row_index").orderBy(F.desc("score"), F.desc(F.size(F.split("types", ","))), "row_index").collect()
-    shown = analysis.listed(events, filled, config).collect() if order else []
+    first = [F.desc("score"), F.desc(F.size("types")), "row_index"]
+    records_of = df.select("row_index", F.to_json(F.struct(*[F.col(f"`{c}`") for c in data.columns])).alias("record"), (F.col(f"`{order}`") if order else F.lit(None)).cast("string").alias("time_text"))
+
+    def described(few: DataFrame) -> DataFrame:
+        """``few`` listed rows with their record, reasons and explanation; only ``few`` is broadcast."""
+        joined = records_of.join(F.broadcast(few), "row_index").withColumn("reasons", explain.reasons(config))
+        return joined.withColumn("explanation", explain.explanation(F.col("time_text") if order else None, order or ""))
+
+    groups = explain.groups(found, "row_index", quality, described)
+    rows = described(found.orderBy(*first).limit(top_n)).orderBy(*first).collect()
+    shown: list = []
+    if order:
+        listed = written(analysis.listed(events, filled, config))
+        places = {c: i for i, c in enumerate(filled)}
+        shown = sorted(explain.enriched(listed, base_rows, order, [c for c in filled if c != order]).collect(), key=lambda e: (places[e["column"]], analysis.KINDS.index(e["kind"]), e["pos"]))
+    told: dict[int, list[str]] = {}
+    for e in shown:
+        if len(told.setdefault(e["row_index"], [])) < 2:
+            told[e["row_index"]].append(e["message"])
     records = []
     for r in rows:
-        kinds_of = r["types"].split(",")
-        records.append({"key": r["row_index"], "score": r["score"], "severity": r["severity"], "category": r["category"], "types": kinds_of, "action": r["action"], "record": r["record"],
-                        "affected_columns": r["affected"], "explanation": f"Row {r['row_index']} scores {r['score']:.4f} ({r['severity']}) by {', '.join(kinds_of)}."})
-    order_of = list(analysis.CATEGORIES)
+        of_time = told.get(r["row_index"], [])
+        records.append({"key": r["row_index"], "score": r["score"], "severity": r["severity"], "category": r["category"], "types": r["types"], "methods": r["methods"], "reasons": r["reasons"], "time_details": of_time, "action": r["action"], "record": r["record"],
+                        "affected_columns": r["affected"], "explanation": r["explanation"] + (f" Series: {of_time[0]}." if of_time else "")})
     return base | {
-        "suspicious_count": sum(x["n"] for x in groups), "severity_breakdown": severities, "anomaly_type_breakdown": sums | {f"data_quality_{k}": n for k, n in quality.items()}, "anomaly_category_breakdown": categories,
-        "anomaly_groups": sorted(({"category": x["category"], "count": x["n"], "top_score": x["top"]} for x in groups), key=lambda x: order_of.index(x["category"])),
+        "suspicious_count": sum(x["count"] for x in groups if x["category"] != "data_quality"), "severity_breakdown": severities, "anomaly_type_breakdown": sums | {f"data_quality_{k}": n for k, n in quality.items()}, "anomaly_category_breakdown": categories,
+        "anomaly_groups": groups,
         "time_series_events": [e.asDict() for e in shown], "anomaly_score_distribution": [r["score"] for r in every.orderBy(F.desc("raw"), "row_index").limit(400).collect()], "records": records}
 
 

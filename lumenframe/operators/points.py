@@ -20,7 +20,8 @@ def filled(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def flagged(df: DataFrame, columns: list[str], config: Config = DEFAULT) -> DataFrame:
     """``df`` with, for column i, ``iqr_i`` and ``z_i`` (flags) and ``zs_i`` (size of the z-score),
-    and ``iqr_ratio``, ``z_peak``, ``iqr_any``, ``z_any``, ``point``; ``columns`` are filled."""
+    and ``iqr_ratio``, ``z_peak``, ``iqr_any``, ``z_any``, ``point``, ``beyond`` (the first three flagged columns with their
+    values and limits); ``columns`` are filled."""
     data = filled(df, columns)
     stats = data.agg(*[s for i, c in enumerate(columns) for s in (
         F.percentile(col(c), F.array(F.lit(0.25), F.lit(0.75))).alias(f"__q{i}"), F.avg(col(c)).alias(f"__a{i}"), F.stddev_pop(col(c)).alias(f"__s{i}"))])
@@ -41,6 +42,13 @@ def flagged(df: DataFrame, columns: list[str], config: Config = DEFAULT) -> Data
         "iqr_any": F.array_contains(F.array(*[F.col(f"iqr_{i}") for i in range(n)]), True),
         "z_any": F.array_contains(F.array(*[F.col(f"z_{i}") for i in range(n)]), True),
     })
+    entries = []
+    for i, c in enumerate(columns):
+        q1, q3 = F.col(f"__q{i}")[0], F.col(f"__q{i}")[1]
+        low, high = q1 - config.iqr_factor * (q3 - q1), q3 + config.iqr_factor * (q3 - q1)
+        named = {"column": F.lit(c), "value": col(c), "low": low, "high": high, "mean": F.col(f"__a{i}"), "sd": F.col(f"__s{i}"), "z": F.col(f"zs_{i}"), "iqr": F.col(f"iqr_{i}")}
+        entries.append(F.when(F.col(f"iqr_{i}") | F.col(f"z_{i}"), F.struct(*[x.alias(k) for k, x in named.items()])))
+    data = data.withColumn("beyond", F.slice(F.array_compact(F.array(*entries)), 1, 3))
     return data.withColumn("point", F.col("iqr_any") | F.col("z_any")).drop(*[f"__{k}{i}" for k in "qas" for i in range(n)])
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT, Config
 from ..operators import context, geo, models, points, series
 from ..session import written
+from . import explain
 
 #: Categories by priority, with the types that belong to each.
 CATEGORIES = {"time_series": ("spike", "dip", "trend", "seasonal"), "collective": ("collective",), "contextual": ("contextual",), "multivariate": ("multivariate",), "geospatial": ("geospatial",), "point_global": ("point",)}
@@ -31,18 +32,23 @@ def scored(df: DataFrame, key: str, numeric: list[str], config: Config = DEFAULT
 KINDS = ("spike", "dip", "trend", "seasonal")
 
 
-def events_of(df: DataFrame, key: str, numeric: list[str], order: str, config: Config = DEFAULT) -> DataFrame:
-    """``key``, ``column``, ``kind``, ``pos``, ``value``, ``deviation``, ``threshold`` of all series anomalies of each
+def series_base(df: DataFrame, key: str, numeric: list[str], order: str) -> DataFrame:
+    """The numbers of ``df`` by their place (``pos``) in the order of ``order``."""
+    return written(series.positioned(df.select(key, order, *[F.col(c).cast("double").alias(c) for c in numeric if c not in (key, order)]), [F.col(order).asc_nulls_last(), F.col(key)]))
+
+
+def events_of(df: DataFrame, key: str, numeric: list[str], order: str, config: Config = DEFAULT, base: DataFrame | None = None) -> DataFrame:
+    """``key``, ``column``, ``kind``, ``pos``, ``value``, ``baseline``, ``deviation``, ``threshold`` of all series anomalies of each
     numeric column (the first ``series_columns``)."""
     n = df.count()
     if n < config.series_rows:
-        return df.select(F.col(key), F.lit("").alias("column"), F.lit("").alias("kind"), *[F.lit(0).cast(t).alias(c) for c, t in (("pos", "bigint"), ("value", "double"), ("deviation", "double"), ("threshold", "double"))]).limit(0)
-    base = written(series.positioned(df.select(key, order, *[F.col(c).cast("double").alias(c) for c in numeric if c not in (key, order)]), [F.col(order).asc_nulls_last(), F.col(key)]))
+        return df.select(F.col(key), F.lit("").alias("column"), F.lit("").alias("kind"), *[F.lit(0).cast(t).alias(c) for c, t in (("pos", "bigint"), ("value", "double"), ("baseline", "double"), ("deviation", "double"), ("threshold", "double"))]).limit(0)
+    base = series_base(df, key, numeric, order) if base is None else base
     w = series.window_size(n)
     parts = []
     for c in [c for c in numeric if c not in (key, order)][: config.series_columns]:
         for found in (series.level_shifts(base, c, w), series.trend_changes(base, c, w), series.seasonal_breaks(base, c, config)):
-            parts.append(found.select(F.col(key), F.lit(c).alias("column"), "kind", F.col("pos").cast("bigint").alias("pos"), *[F.col(f).cast("double").alias(t) for f, t in ((f"`{c}`", "value"), ("deviation", "deviation"), ("threshold", "threshold"))]))
+            parts.append(found.select(F.col(key), F.lit(c).alias("column"), "kind", F.col("pos").cast("bigint").alias("pos"), *[F.col(f).cast("double").alias(t) for f, t in ((f"`{c}`", "value"), ("baseline", "baseline"), ("deviation", "deviation"), ("threshold", "threshold"))]))
     return reduce(DataFrame.union, parts)
 
 
@@ -56,26 +62,27 @@ def listed(events: DataFrame, numeric: list[str], config: Config = DEFAULT) -> D
 
 def judged(df: DataFrame, key: str, numeric: list[str], order: str | None = None, contexts: list[str] | None = None, coordinates: tuple[str, str] | None = None, config: Config = DEFAULT, events: DataFrame | None = None) -> DataFrame:
     """All rows of ``df`` with ``raw`` (score), ``score`` (to four places), ``severity``, ``types`` (array, may be empty), ``category``,
-    ``affected`` (columns) and ``action``. ``events`` is events_of(df), if at hand."""
+    ``affected`` (columns), ``action``, ``methods`` (detectors) and ``why`` (marks with their details). ``events`` is events_of(df), if at hand."""
     data = scored(df, key, numeric, config)
 
-    def mark(rows: DataFrame, kind, columns=None) -> DataFrame:
-        return rows.select(F.col(key), (F.lit(kind) if isinstance(kind, str) else kind).alias("type"), (F.array().cast("array<string>") if columns is None else columns).alias("cols"))
+    def mark(rows: DataFrame, kind, columns=None, detail=None) -> DataFrame:
+        none = F.lit(None).cast("string")
+        return rows.select(F.col(key), (F.lit(kind) if isinstance(kind, str) else kind).alias("type"), (F.array().cast("array<string>") if columns is None else columns).alias("cols"), (none if detail is None else detail).alias("detail"))
 
     marks = [mark(data.filter("point"), "point"), mark(data.filter("multivariate"), "multivariate")]
     if contexts:
-        marks.append(mark(context.contextual(data, key, contexts, numeric, config), "contextual", F.array(F.col("value_column"))))
+        marks.append(mark(context.contextual(data, key, contexts, numeric, config), "contextual", F.array(F.col("value_column")), F.concat("value_column", F.lit(" is "), explain.metric(F.col("z")), F.lit(" deviations from the mean of its "), "context_column")))
     if order:
         marks.append(mark(events_of(data, key, numeric, order, config) if events is None else events, F.col("kind"), F.array(F.col("column"))))
     placed = series.positioned(data.select(key, "score", *([order] if order else [])), [*([F.col(order).asc_nulls_last()] if order else []), F.col(key)])
     placed = written(placed)
     runs = series.high_runs(placed, "score", config)
-    members = runs.select(F.explode(F.sequence("start_pos", "end_pos")).alias("pos"))
-    marks.append(mark(placed.join(members, "pos"), "collective"))
+    members = runs.select(F.explode(F.sequence("start_pos", "end_pos")).alias("pos"), "length", "peak")
+    marks.append(mark(placed.join(members, "pos"), "collective", detail=F.concat(F.lit("one of "), F.col("length").cast("string"), F.lit(" rows in a row of high score (peak "), explain.metric(F.col("peak")), F.lit(")"))))
     if coordinates:
-        marks.append(mark(geo.outliers(data, *coordinates), "geospatial", F.array(*map(F.lit, sorted(coordinates)))))
+        marks.append(mark(geo.outliers(data, *coordinates), "geospatial", F.array(*map(F.lit, sorted(coordinates))), F.concat(explain.metric(F.col("km")), F.lit(" km from the median place, limit "), explain.metric(F.col("threshold_km")), F.lit(" km"))))
     # a row has a mark for each of its types and columns: few, and bounded by the table's columns
-    types = reduce(DataFrame.union, marks).groupBy(key).agg(F.collect_set("type").alias("found"), F.collect_set(F.struct("type", "cols")).alias("why"))
+    types = reduce(DataFrame.union, marks).groupBy(key).agg(F.collect_set("type").alias("found"), F.collect_set(F.struct("type", "cols", "detail")).alias("why"))
     rows = data.join(types, key, "left").withColumn("found", F.coalesce("found", F.array().cast("array<string>")))
     ordered = F.filter(F.array(*[F.lit(t) for t in TYPES]), lambda t: F.array_contains("found", t))
     category = F.coalesce(*[F.when(F.arrays_overlap(F.array(*map(F.lit, of)), "found"), name) for name, of in CATEGORIES.items()])
@@ -90,7 +97,7 @@ def judged(df: DataFrame, key: str, numeric: list[str], order: str | None = None
     strengths = F.array_sort(F.array(*[F.struct(F.col(f"zs_{i}").alias("z"), F.lit(i).alias("i"), F.lit(c).alias("c")) for i, c in enumerate(numeric)]))
     farthest = F.transform(F.filter(F.slice(strengths, -min(3, len(numeric)), min(3, len(numeric))), lambda x: x["z"] > 0), lambda x: x["c"])
     affected = F.when(F.size(affected) > 0, affected).otherwise(farthest)  # else the three columns farthest out
-    return rows.withColumns({"types": ordered, "category": category, "action": action, "affected": affected, "raw": F.col("score"), "score": F.round("score", 4)})
+    return rows.withColumns({"types": ordered, "category": category, "methods": explain.methods(), "action": action, "affected": affected, "raw": F.col("score"), "score": F.round("score", 4)})
 
 
 def visible(rows: DataFrame) -> DataFrame:

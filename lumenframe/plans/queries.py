@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT
 from ..functions.scalars import severity
 from ..operators import context, geo, models, points, profile, series
-from . import analysis
+from ..session import written
+from . import analysis, explain
 from .views import DIRTY_GEO, DIRTY_ORDERS, POSITIONED, RUNS, SEASONAL, dirty_geo, dirty_orders, run_scores, seasonal_values, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -267,6 +268,46 @@ def ts_spikes_and_dips(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series.level_shifts(_events(spark, sf_dir), "value", 31).select("event_id", "kind", F.round("deviation", 6).alias("deviation"), F.round("threshold", 6).alias("threshold"))
 
 
+EVENT_METRICS = f"""WITH {POSITIONED}, {_rolled('ev', 'value', 31)}, e AS (SELECT event_id, pos, value, med, value - med AS dev, greatest(6 * mad, 1.5 * sd) AS lim, lag(value) OVER (ORDER BY pos) AS prev FROM r2, sd),
+k AS (SELECT *, CASE WHEN dev > lim THEN 'spike' WHEN dev < -lim THEN 'dip' END AS kind FROM e), c AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY pos) AS r FROM k WHERE kind IS NOT NULL)
+SELECT event_id, kind, round(value, 6) AS value, round(med, 6) AS baseline, round(round(abs(dev), 6) / round(lim, 6), 6) AS threshold_ratio, round(100 * (round(value, 6) - round(med, 6)) / nullif(abs(round(med, 6)), 0), 6) AS pct_from_baseline,
+round(prev, 6) AS prev_value, round(value - prev, 6) AS delta_from_prev, round(100 * (round(value, 6) - round(prev, 6)) / nullif(abs(round(prev, 6)), 0), 6) AS pct_from_prev FROM c WHERE r <= 120"""
+
+
+@query(EVENT_METRICS)
+def ts_event_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The listed spikes and dips (120 of each) with their figures."""
+    base = written(_events(spark, sf_dir))
+    found = series.level_shifts(base, "value", 31).select("event_id", F.lit("value").alias("column"), "kind", "pos", "value", "baseline", "deviation", "threshold")
+    told = explain.enriched(written(analysis.listed(found, ["value"])), base, "ts", ["value"])
+    plain = ("value", "baseline", "prev_value")
+    return told.select("event_id", "kind", *[F.round(c, 6).alias(c) for c in plain], "threshold_ratio", "pct_from_baseline", "delta_from_prev", "pct_from_prev")
+
+
+def _grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flags = _point_score(_flags(spark, sf_dir)).filter("point")
+    columns = F.transform("beyond", lambda b: b["column"])
+    return flags.select("event_id", F.col("event_type").alias("category"), F.round("score", 6).alias("score"), columns.alias("affected"))
+
+
+GROUPED = f"WITH {POINTS}, f AS (SELECT event_id, event_type AS category, round(score, 6) AS score, iqr_value OR zv > 3 AS a, iqr_user OR zu > 3 AS b FROM sc WHERE iqr_any OR z_any)"
+
+
+@query(GROUPED + " SELECT category, 'value' AS item, count(*) AS n FROM f WHERE a GROUP BY 1 UNION ALL SELECT category, 'user_id', count(*) FROM f WHERE b GROUP BY 1")
+def group_top_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return explain.top_of_groups(_grouped(spark, sf_dir), "affected")
+
+
+@query(GROUPED + " SELECT category, event_id, score FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY score DESC, event_id) AS r FROM f) WHERE r <= 8")
+def group_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return explain.samples_of_groups(_grouped(spark, sf_dir), "event_id").select("category", "event_id", "score")
+
+
+@query("SELECT event_id, CASE WHEN abs(value) >= 1000 THEN format('{:,.1f}', value) WHEN abs(value) >= 100 THEN format('{:.2f}', value) WHEN abs(value) >= 1 THEN format('{:.3f}', value) ELSE format('{:.4f}', value) END AS shown FROM events")
+def metric_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", explain.metric(F.col("value")).alias("shown"))
+
+
 STEPS = POSITIONED + ", st AS (SELECT *, coalesce(value - lag(value) OVER (ORDER BY pos), 0) AS d FROM ev)"
 
 

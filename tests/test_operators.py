@@ -8,7 +8,7 @@ from lumenframe.api import Engine, NotFound
 from lumenframe.config import DEFAULT, Config
 from lumenframe.functions import scalars
 from lumenframe.operators import context, models, points, profile, series
-from lumenframe.plans import analysis
+from lumenframe.plans import analysis, explain
 from lumenframe.sources.readers import TableError, read_table, url_filename, with_row_index
 from lumenframe.streaming.counters import frozen_limits, outside, windowed_counts
 
@@ -147,3 +147,31 @@ def test_flags_and_counts_go_beyond_the_lists(spark):
     got = analysis.judged(df, "row_index", ["v"], "day", events=events)
     assert got.count() == 4000 and got.filter(F.array_contains("types", "spike")).count() == spikes
     assert got.filter(F.array_contains("types", "spike") & ~F.array_contains("affected", "v")).count() == 0
+
+
+def test_rows_events_and_groups_are_explained(spark):
+    rows = [(f"{2020 + i // 336}-{i // 28 % 12 + 1:02d}-{i % 28 + 1:02d}", float(i % 5), "a" if i % 2 else "b") for i in range(300)]
+    rows[150] = (rows[150][0], 4000.0, "a")
+    df = spark.createDataFrame(rows, "day string, amount double, kind string").withColumn("day", F.col("day").cast("date"))
+    e = Engine(spark, Config(trees=20))
+    d = e.register("t", df)
+    got = d.anomalies(10)
+    top = got["records"][0]
+    assert "IQR" in top["methods"] and "z-score" in top["methods"] and top["reasons"][0].startswith("amount = 4,000.0 outside [") and "z-score" in top["reasons"][0]
+    assert top["explanation"].startswith("Found as point") and "Signals: IQR" in top["explanation"] and "Time (day): 2020-" in top["explanation"] and top["time_details"]
+    event = next(x for x in got["time_series_events"] if x["kind"] == "spike")
+    assert event["row_index"] == top["key"] and event["prev_value"] == 4.0 and event["delta_from_prev"] == 3996.0 and event["pct_from_prev"] == 99900.0 and event["prev_timestamp"] < event["timestamp"]
+    assert event["threshold_ratio"] == round(round(event["deviation"], 6) / round(event["threshold"], 6), 6) and event["message"].startswith("amount rose to 4,000.0, usual 3.000")  # of 2 3 4 4000 1 2 3
+    for g in got["anomaly_groups"]:
+        assert g["count"] == sum(g["severity_breakdown"].values()) or g["category"] == "data_quality"
+        assert len(g["samples"]) <= 8 and len(g["signals"]) <= 6 and all(s["explanation"] for s in g["samples"])
+    assert got["suspicious_count"] == sum(g["count"] for g in got["anomaly_groups"] if g["category"] != "data_quality")
+    assert "rose to" in d.report(10)
+
+
+def test_figures_for_people(spark):
+    want = {1234567.891: "1,234,567.9", -1000.0: "-1,000.0", 123.456: "123.46", -1.23456: "-1.235", 0.0: "0.0000", 0.12345: "0.1235", float("nan"): "n/a", float("inf"): "n/a", None: "n/a"}
+    got = spark.createDataFrame([(x,) for x in want], "x double").select("x", explain.metric(F.col("x")).alias("m"), explain.percent(F.col("x")).alias("p")).collect()
+    assert [r["m"] for r in got] == list(want.values()) and got[2]["p"] == "123.46%" and got[8]["p"] == "n/a"
+    odd = spark.createDataFrame([(3.0, 0.0), (3.0, -2.0), (None, 1.0), (1.0, float("nan"))], "a double, b double").select(explain.share(F.col("a"), F.col("b")).alias("s")).collect()
+    assert [r["s"] for r in odd] == [None, 250.0, None, None]
