@@ -193,13 +193,13 @@ class Engine:
         return made
 
     def load(self, path: str) -> Dataset:
-        return self.register(path.rstrip("/").rsplit("/", 1)[-1], read_table(self.spark, path))
+        return self.register(path.rstrip("/").rsplit("/", 1)[-1], read_table(self.spark, path, max_mb=self.config.max_mb))
 
     def load_url(self, url: str, staged: str, filename: str | None = None) -> Dataset:
         """The table of a web address whose bytes are staged at the path ``staged`` in a store
         that all executors read; downloading isn't Spark's work."""
         name = url_filename(url, filename)
-        return self.register(name, read_table(self.spark, staged))
+        return self.register(name, read_table(self.spark, staged, max_mb=self.config.max_mb))
 
     def get(self, dataset_id: str) -> Dataset:
         if dataset_id not in self._tables:
@@ -235,4 +235,4 @@ class Engine:
         return self._jobs[job_id]
 
     def capabilities(self) -> dict:
-        return capabilities()
+        return capabilities(self.config.max_mb)

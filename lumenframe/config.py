@@ -30,6 +30,8 @@ class Config:
     lof_rows: int = 20_000
     seed: int = 42
     top_n: int = 100
+    #: Larger inputs are refused; 0 or less: none are.
+    max_mb: float = 0
     #: Rows of a block of an ordered series: what one task holds.
     block_rows: int = 50_000
 

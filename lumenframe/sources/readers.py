@@ -5,10 +5,12 @@ from __future__ import annotations
 import re
 from urllib.parse import parse_qsl, unquote, urlsplit
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import written
+
 FORMATS = {".csv": ",", ".tsv": "\t", ".txt": "\t", ".json": "json", ".jsonl": "jsonl", ".parquet": "parquet", ".xlsx": "xlsx"}
 #: Fixed value: texts that mean a missing value in delimited files.
 NULL_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
@@ -58,10 +60,42 @@ def _inferred(df: DataFrame) -> DataFrame:
     return df.select(*made)
 
 
-def read_table(spark: SparkSession, path: str, multiline: bool = False, infer: bool = True) -> DataFrame:
+def size_of(spark: SparkSession, path: str) -> int:
+    """Bytes of the file or folder, in whatever store it is."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(place).getLength()
+
+
+def _from_columns(spark: SparkSession, df: DataFrame, path: str) -> DataFrame:
+    """The rows of one JSON object that holds columns, as lists or by row number; anything else as it is.
+    Such an object is one value of a file, which one task reads."""
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    lists = all(isinstance(k, T.ArrayType) for k in kinds.values())
+    numbered = all(isinstance(k, T.StructType) and k.names and all(n.isdigit() for n in k.names) for k in kinds.values())
+    if not kinds or not (lists or numbered) or df.limit(2).count() != 1:
+        return df
+    if not spark.read.text(path).filter("trim(value) <> ''").first()[0].lstrip().startswith("{"):
+        return df
+    arrays = [F.col(f"`{c}`") for c in kinds]
+    if numbered:
+        rows = sorted({n for k in kinds.values() for n in k.names}, key=int)
+        arrays = []
+        for c, k in kinds.items():
+            types = {k[n].dataType.simpleString() for n in k.names}
+            cells = [F.col(f"`{c}`").getField(n) if n in k.names else F.lit(None) for n in rows]
+            mixed = len(types) > 1 and types != {"bigint", "double"}
+            arrays.append(F.array(*[x.cast("string") if mixed else x for x in cells]))
+    named = df.select(*[a.alias(f"c{i}") for i, a in enumerate(arrays)])
+    return named.select(F.explode(F.arrays_zip(*named.columns)).alias("r")).select("r.*").toDF(*kinds)
+
+
+def read_table(spark: SparkSession, path: str, multiline: bool = False, infer: bool = True, max_mb: float = 0) -> DataFrame:
     """The table at ``path`` (any store that Spark reads). ``multiline`` allows line feeds in
-    quoted cells, at the cost of one task for each file. Raises TableError without rows."""
+    quoted cells, at the cost of one task for each file. Raises TableError without rows, or where the
+    input is larger than ``max_mb`` (0 or less: no limit)."""
     ext = suffix_of(path)
+    if max_mb > 0 and size_of(spark, path) > max_mb * 2**20:
+        raise TableError(f"the input is larger than {max_mb:g} MB")
     if ext in (".csv", ".tsv", ".txt"):
         df = spark.read.csv(path, sep=FORMATS[ext], header=False, multiLine=multiline, escape='"', ignoreLeadingWhiteSpace=False)
         head = df.first()
@@ -74,6 +108,7 @@ def read_table(spark: SparkSession, path: str, multiline: bool = False, infer: b
         df = _inferred(df) if infer else df
     elif ext in (".json", ".jsonl"):
         df = spark.read.json(path, multiLine=ext == ".json")
+        df = _from_columns(spark, df, path) if ext == ".json" else df
         df = df.toDF(*clean_names(df.columns))
     elif ext == ".parquet":
         df = spark.read.parquet(path)
@@ -91,10 +126,13 @@ def read_table(spark: SparkSession, path: str, multiline: bool = False, infer: b
 
 
 def with_row_index(df: DataFrame, name: str = "row_index") -> DataFrame:
-    """0-based place of each row in reading order. Partitions are numbered in order and their
-    sizes counted first, so no task sees all rows."""
-    rdd = df.rdd.zipWithIndex().map(lambda r: (*r[0], r[1]))
-    return df.sparkSession.createDataFrame(rdd, T.StructType([*df.schema.fields, T.StructField(name, T.LongType(), False)]))
+    """0-based place of each row in reading order: the rows of the partitions before, and its place in its
+    own. The table is written once, so that neither can change; no task sees all rows."""
+    placed = written(df.withColumn("__id", F.monotonically_increasing_id()))
+    part, place = F.shiftright("__id", 33), F.col("__id").bitwiseAND(F.lit(2**33 - 1))
+    sizes = placed.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"))
+    before = sizes.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))  # one row a partition
+    return placed.withColumn("__part", part).join(F.broadcast(before), "__part").withColumn(name, F.col("__before") + place).select(*[F.col(f"`{c}`") for c in df.columns], name)
 
 
 def metadata(df: DataFrame, preview: int = 10) -> dict:
@@ -116,5 +154,5 @@ def url_filename(url: str, hint: str | None = None) -> str:
     raise TableError("the address names no supported file")
 
 
-def capabilities() -> dict:
-    return {"formats": sorted(FORMATS), "max_upload_mb": None, "stores": "any path that Spark reads"}
+def capabilities(max_mb: float = 0) -> dict:
+    return {"formats": sorted(FORMATS), "max_upload_mb": max_mb if max_mb > 0 else None, "stores": "any path that Spark reads"}

@@ -175,3 +175,26 @@ def test_figures_for_people(spark):
     assert [r["m"] for r in got] == list(want.values()) and got[2]["p"] == "123.46%" and got[8]["p"] == "n/a"
     odd = spark.createDataFrame([(3.0, 0.0), (3.0, -2.0), (None, 1.0), (1.0, float("nan"))], "a double, b double").select(explain.share(F.col("a"), F.col("b")).alias("s")).collect()
     assert [r["s"] for r in odd] == [None, 250.0, None, None]
+
+
+def test_json_of_columns_and_limits(spark, tmp_path):
+    def read(text, **given):
+        p = tmp_path / f"t{len(list(tmp_path.iterdir()))}.json"
+        p.write_text(text)
+        return [tuple(r) for r in read_table(spark, str(p), **given).collect()]
+
+    assert read('{"a": [1, 2, null], "b": ["x", "y", "z"]}') == [(1, "x"), (2, "y"), (None, "z")]
+    assert read('\n{"a": {"0": 1, "1": 2.5, "10": 3}, "b": {"0": "x", "10": "z"}}') == [(1.0, "x"), (2.5, None), (3.0, "z")]
+    assert read('[{"a": [1, 2]}]') == [([1, 2],)] and read('{"a": 1}') == [(1,)]
+    big = '[{"a": "' + "x" * 200_000 + '"}]'
+    assert len(read(big, max_mb=0.5)) == len(read(big)) == len(read(big, max_mb=-1)) == 1
+    with pytest.raises(TableError):
+        read(big, max_mb=0.1)
+
+
+def test_row_index_is_the_reading_order(spark):
+    df = spark.range(1000, numPartitions=7).select(F.col("id").alias("n"), F.lit(None).cast("string").alias("a b"))
+    got = with_row_index(df.filter("n % 5 <> 0"))
+    assert got.columns == ["n", "a b", "row_index"]
+    assert [r["row_index"] for r in got.orderBy("n").collect()] == list(range(800))
+    assert with_row_index(df.limit(0)).count() == 0
