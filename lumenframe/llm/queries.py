@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, html, language, linededup, pii, quality, simhash, tokencount, vafile
+from . import bpe, decontam, filteraudit, html, language, linededup, pii, quality, runs, simhash, tokencount, vafile
 from .common import crc_bucket, table
 
 QUALITY_THRESHOLD = 0.3
@@ -80,6 +80,15 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filteraudit.audit(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), table(spark, sf_dir, "labels"))
+
+
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = runs.planted(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return runs.with_runs(docs).select("doc_id", *runs.figures())
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_bpe": op2_bpe,
@@ -91,8 +100,11 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_quality": op9_quality,
     "op10_simhash": op10_simhash,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_runs": op13_runs,
 }
 
+
 def _words_sql(text: str) -> str:
     return rf"[x FOR x IN regexp_split_to_array(lower(coalesce({text}, '')), '[^\p{{L}}\p{{N}}]+') IF x <> '']"
 
@@ -114,4 +126,20 @@ n AS (SELECT item_id, count(*) AS item_size FROM s GROUP BY item_id)
 SELECT t.doc_id, s.item_id, count(*) AS shared, any_value(n.item_size) AS item_size
 FROM t JOIN s USING (g) JOIN n USING (item_id)
 GROUP BY t.doc_id, s.item_id HAVING count(*) >= 0.8 * any_value(n.item_size) - 1e-9""",
+    "op12_filter_audit": r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, [x FOR x IN regexp_split_to_array(t, '[\x20\x09-\x0D]+') IF x <> ''] AS w FROM d),
+f AS (SELECT t, min(doc_id) AS lo FROM d GROUP BY t),
+b AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+m AS (SELECT part, (len(w) < 200)::INT + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::INT + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t))::INT
+  + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * coalesce(doc_id > lo, false)::INT AS mask, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic FROM w JOIN f USING (t) LEFT JOIN b USING (doc_id)),
+c AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM m GROUP BY part, mask),
+x AS (SELECT l, 1 << (i - 1) AS bit FROM (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l, unnest(range(1, 6)) AS i)),
+o AS (SELECT p.l || q.l || r.l || s.l || u.l AS filter_order FROM x p JOIN x q ON q.l <> p.l JOIN x r ON r.l NOT IN (p.l, q.l) JOIN x s ON s.l NOT IN (p.l, q.l, r.l) JOIN x u ON u.l NOT IN (p.l, q.l, r.l, s.l)),
+st AS (SELECT filter_order, step, x.bit, coalesce((SELECT sum(y.bit) FROM x y WHERE strpos(filter_order, y.l) < step), 0)::BIGINT AS before FROM o, unnest(range(1, 6)) AS g(step) JOIN x ON x.l = substr(filter_order, step, 1)),
+r AS (SELECT part, filter_order, step::INTEGER AS step, bit, coalesce(sum(n) FILTER (mask & (before | bit) = 0), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (mask & before = 0 AND mask & bit <> 0), 0)::BIGINT AS removed,
+  coalesce(sum(n) FILTER (mask & before <> 0 AND mask & bit <> 0), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (mask = bit), 0)::BIGINT AS unique_fails,
+  coalesce(sum(good) FILTER (mask & before = 0 AND mask & bit <> 0), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (mask & before = 0 AND mask & bit <> 0), 0)::BIGINT AS toxic_lost
+  FROM c, st GROUP BY part, filter_order, step, bit)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley FROM r""",
 }
