@@ -104,14 +104,21 @@ def _prepared(docs: DataFrame, key_columns: list[str], text: str, length: int) -
 def transform(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A shard's suffix order by the first ``depth`` symbols, the symbol before each suffix in that order (its Burrows-Wheeler
     transform) and the step back (LF): the place in the order of the suffix that starts one symbol before."""
-    n, rank, have = len(data), data.astype(np.int64), 1
-    order = np.argsort(rank, kind="stable")
+    n, have = len(data), 8
+    padded = np.concatenate([data, np.zeros(have, np.uint8)]).astype(np.uint64)
+    first = np.zeros(n, np.uint64)  # eight symbols to a number: the first round
+    for k in range(have):
+        first = (first << np.uint64(8)) | padded[k : k + n]
+    order = np.argsort(first, kind="stable")
+    k = first[order]
+    rank = np.empty(n, np.int64)
+    rank[order] = np.concatenate([[0], np.cumsum(k[1:] != k[:-1])])
     while True:
         sorted_ = rank[order]
         if have >= depth or (sorted_[1:] != sorted_[:-1]).all():
             break
         key = rank * (int(rank.max()) + 2)
-        key[: n - have] += rank[have:] + 1  # none: the least
+        key[: max(0, n - have)] += rank[have:] + 1  # none: the least
         order = np.argsort(key, kind="stable")
         k = key[order]
         rank = np.empty(n, np.int64)
@@ -132,32 +139,37 @@ def repeated(strings: list[bytes], length: int = LENGTH, shard: int = SHARD) ->
             size = 0
         shards[-1].append(i)
         size += len(s) + 1
-    owner, offset, before, back, base = [], [], [], [], 0
+    owner, offset, ends, before, back, base = [], [], [], [], [], 0
     for of in shards:
-        # each byte one up (UTF-8 has no 255), and 0 in front of each string, which no step goes behind
-        data = np.concatenate([x for i in of for x in (np.zeros(1, np.uint8), np.frombuffer(strings[i], np.uint8) + np.uint8(1))])
+        # each byte one up (UTF-8 has no 255), 0 in front of each string and at the end
+        data = np.concatenate([*(x for i in of for x in (np.zeros(1, np.uint8), np.frombuffer(strings[i], np.uint8) + np.uint8(1))), np.zeros(1, np.uint8)])
         order, symbols, lf = transform(data, length)
         lengths = np.array([len(strings[i]) + 1 for i in of])
         begins = np.cumsum(lengths) - lengths
-        own = np.repeat(np.arange(len(of)), lengths)
+        own = np.append(np.repeat(np.arange(len(of)), lengths), 0)
+        within = np.arange(len(data)) - begins[own] - 1
+        # a window that ends before place p is where all the steps back from p lead
+        from_end = np.zeros(len(data), bool)
+        for lo, m in zip((begins + 1).tolist(), (lengths - 1).tolist(), strict=True):
+            from_end[lo + length : lo + m + 1] = True
         owner.append(np.array(of)[own[order]])
-        offset.append(order - begins[own[order]] - 1)
+        offset.append(within[order])
+        ends.append(from_end[order])
         before.append(symbols)
         back.append((lf + base).astype(np.int32))
         base += len(data)
-    who, where, symbol, step = (np.concatenate(x) for x in (owner, offset, before, back))
+    who, where, start, symbol, step = (np.concatenate(x) for x in (owner, offset, ends, before, back))
     # The interleave: suffixes of all shards, in order of their first h symbols, and the number of each one's block of equals.
-    # Whoever is alone in its block stays alone in later rounds, as do those that a step back makes of it.
-    now, block = np.arange(base, dtype=np.int32), np.zeros(base, np.int32)
+    # Round h needs those only from which the rounds left lead back to a window. Whoever is alone in its block
+    # stays alone in later rounds, as do those that a step back makes of it.
+    now = np.flatnonzero(start).astype(np.int32)
+    block = np.zeros(len(now), np.int32)
     for _ in range(length):
+        if not len(now):
+            break
         s = symbol[now]
-        if not s.all():
-            inside = s != 0
-            now, block, s = now[inside], block[inside], s[inside]
         by = np.argsort(s, kind="stable")  # of small integers: a distribution by counting
         s, block, now = s[by], block[by], step[now[by]]
-        if not len(now):
-            break
         new = np.ones(len(now) + 1, bool)  # where a block begins; one more at the end
         new[1:-1] = (s[1:] != s[:-1]) | (block[1:] != block[:-1])
         block = np.cumsum(new[:-1], dtype=np.int32)
