@@ -256,7 +256,8 @@ def without_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, c
     scratch = Scratch(docs.sparkSession)
     rows = scratch.durable(_prepared(docs, rest, text, length), "texts")
     spans = rows.select("rid", F.explode(F.arrays_zip("seed", "span", "at")).alias("s")).select("rid", "s.*")
-    shared = spans.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("seed")
+    # written, so that the join below reads two plain shuffles, of which adaptive execution splits a hot gram's part
+    shared = scratch.durable(spans.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("seed"), "seeds")
     shared = scratch.durable(spans.join(shared, "seed"), "shared")
     # first(): any occurrence of a kind has the same bytes
     kinds = shared.groupBy("seed", "span").agg(F.count(F.lit(1)).alias("n"), F.first("rid").alias("rid"), F.first("at").alias("at"))
