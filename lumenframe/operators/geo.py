@@ -7,21 +7,31 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import haversine, number
 from .profile import col
+from .quantiles import quantiles
+
+#: Places that make a centre; share of the distances that is always inside; the least limit in km.
+LEAST_PLACES, INSIDE, LEAST_KM, SPREADS = 12, 0.995, 0.5, 6
 
 
 def distances(df: DataFrame, lat: str, lon: str) -> DataFrame:
-    """Rows with valid coordinates and ``km``, their distance from the median place; none
-    where fewer than 12 are valid."""
+    """Rows with valid coordinates and ``km``, their distance from the median place (``center_lat``, ``center_lon``); none
+    where fewer than 12 are valid. ``df`` is the raw table: filled coordinates would count as places."""
     a, o = number(col(lat)), number(col(lon))
     ok = df.withColumns({"__a": a, "__o": o}).filter(F.col("__a").between(-90, 90) & F.col("__o").between(-180, 180))
-    centre = ok.agg(F.percentile("__a", 0.5).alias("__a0"), F.percentile("__o", 0.5).alias("__o0"), F.count(F.lit(1)).alias("__n"))
-    return ok.crossJoin(F.broadcast(centre)).filter("__n >= 12").withColumn("km", haversine(F.col("__a"), F.col("__o"), F.col("__a0"), F.col("__o0"))).drop("__a", "__o", "__a0", "__o0", "__n")
+    centre, extra = quantiles(ok, {"a": F.col("__a"), "o": F.col("__o")}, (0.5,), {"n": F.count(F.lit(1))})
+    if extra["n"] < LEAST_PLACES:
+        ok, centre = ok.limit(0), {"a": [0.0], "o": [0.0]}
+    at = {"center_lat": F.lit(centre["a"][0]), "center_lon": F.lit(centre["o"][0])}
+    return ok.withColumns(at).withColumn("km", haversine(F.col("__a"), F.col("__o"), at["center_lat"], at["center_lon"])).drop("__a", "__o")
 
 
 def outliers(df: DataFrame, lat: str, lon: str) -> DataFrame:
-    """The rows beyond max(median + 6 MAD, 99.5 % quantile, 0.5 km), with ``threshold_km``."""
+    """The rows beyond max(median + 6 MAD, 99.5 % quantile, 0.5 km), with ``threshold_km`` and ``ratio``, their distance in limits."""
     d = distances(df, lat, lon)
-    stats = d.agg(F.percentile("km", 0.5).alias("__m"), F.percentile("km", 0.995).alias("__q"))
-    mad = d.crossJoin(F.broadcast(stats)).agg(F.percentile(F.abs(F.col("km") - F.col("__m")), 0.5).alias("__mad"))
-    limits = stats.crossJoin(mad).select(F.greatest(F.col("__m") + 6 * F.col("__mad"), F.col("__q"), F.lit(0.5)).alias("threshold_km"))
-    return d.crossJoin(F.broadcast(limits)).filter("km > threshold_km")
+    middle, high = quantiles(d, {"km": F.col("km")}, (0.5, INSIDE))[0]["km"]
+    if middle is None:
+        limit = LEAST_KM
+    else:
+        spread = quantiles(d, {"r": F.abs(F.col("km") - F.lit(middle))}, (0.5,))[0]["r"][0]
+        limit = max(middle + SPREADS * spread, high, LEAST_KM)
+    return d.withColumns({"threshold_km": F.lit(limit), "ratio": F.col("km") / F.lit(limit)}).filter("km > threshold_km")

@@ -8,14 +8,13 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT, Config
 from ..functions.scalars import finite
 from .profile import col
+from .quantiles import medians, quantiles
 
 
 def filled(df: DataFrame, columns: list[str]) -> DataFrame:
     """``columns`` as doubles, infinities and nulls replaced by the column's median."""
-    names = {c: f"__m{i}" for i, c in enumerate(columns)}
-    medians = df.agg(*[F.percentile(finite(col(c)), 0.5).alias(m) for c, m in names.items()])
-    joined = df.crossJoin(F.broadcast(medians))  # one row
-    return joined.select(*[F.coalesce(finite(col(c)), F.col(names[c])).alias(c) if c in names else col(c) for c in df.columns])
+    found = medians(df, {c: finite(col(c)) for c in columns})
+    return df.select(*[F.coalesce(finite(col(c)), F.lit(found[c]).cast("double")).alias(c) if c in found else col(c) for c in df.columns])
 
 
 def flagged(df: DataFrame, columns: list[str], config: Config = DEFAULT) -> DataFrame:
@@ -23,15 +22,16 @@ def flagged(df: DataFrame, columns: list[str], config: Config = DEFAULT) -> Data
     and ``iqr_ratio``, ``z_peak``, ``iqr_any``, ``z_any``, ``point``, ``beyond`` (the first three flagged columns with their
     values and limits); ``columns`` are filled."""
     data = filled(df, columns)
-    stats = data.agg(*[s for i, c in enumerate(columns) for s in (
-        F.percentile(col(c), F.array(F.lit(0.25), F.lit(0.75))).alias(f"__q{i}"), F.avg(col(c)).alias(f"__a{i}"), F.stddev_pop(col(c)).alias(f"__s{i}"))])
-    data = data.crossJoin(F.broadcast(stats))  # one row
+    moments = {f"{k}{c}": f(col(c)) for c in columns for k, f in (("a", F.avg), ("s", F.stddev_pop))}
+    quarters, moments = quantiles(data, {c: col(c) for c in columns}, (0.25, 0.75), moments)
+    mean, sd = ({c: moments[f"{k}{c}"] for c in columns} for k in "as")
+    number = lambda x: F.lit(x).cast("double")
     made = {}
     for i, c in enumerate(columns):
-        q1, q3, sd = F.col(f"__q{i}")[0], F.col(f"__q{i}")[1], F.col(f"__s{i}")
-        spread = q3 - q1
-        made[f"iqr_{i}"] = (spread > 1e-8) & ((col(c) < q1 - config.iqr_factor * spread) | (col(c) > q3 + config.iqr_factor * spread))
-        made[f"zs_{i}"] = F.when(sd > 1e-8, F.abs(col(c) - F.col(f"__a{i}")) / sd).otherwise(0.0)
+        q1, q3 = quarters[c]
+        spread = (q3 or 0.0) - (q1 or 0.0)
+        made[f"iqr_{i}"] = (col(c) < q1 - config.iqr_factor * spread) | (col(c) > q3 + config.iqr_factor * spread) if spread > 1e-8 else F.lit(False)
+        made[f"zs_{i}"] = F.abs(col(c) - number(mean[c])) / number(sd[c]) if (sd[c] or 0.0) > 1e-8 else F.lit(0.0)
     data = data.withColumns(made)
     data = data.withColumns({f"z_{i}": F.col(f"zs_{i}") > config.z_limit for i in range(len(columns))})
     n = len(columns)
@@ -44,15 +44,15 @@ def flagged(df: DataFrame, columns: list[str], config: Config = DEFAULT) -> Data
     })
     entries = []
     for i, c in enumerate(columns):
-        q1, q3 = F.col(f"__q{i}")[0], F.col(f"__q{i}")[1]
-        low, high = q1 - config.iqr_factor * (q3 - q1), q3 + config.iqr_factor * (q3 - q1)
-        named = {"column": F.lit(c), "value": col(c), "low": low, "high": high, "mean": F.col(f"__a{i}"), "sd": F.col(f"__s{i}"), "z": F.col(f"zs_{i}"), "iqr": F.col(f"iqr_{i}")}
+        q1, q3 = quarters[c]
+        spread = (q3 or 0.0) - (q1 or 0.0)
+        named = {"column": F.lit(c), "value": col(c), "low": number(q1 - config.iqr_factor * spread if q1 is not None else None), "high": number(q3 + config.iqr_factor * spread if q3 is not None else None), "mean": number(mean[c]), "sd": number(sd[c]), "z": F.col(f"zs_{i}"), "iqr": F.col(f"iqr_{i}")}
         entries.append(F.when(F.col(f"iqr_{i}") | F.col(f"z_{i}"), F.struct(*[x.alias(k) for k, x in named.items()])))
     data = data.withColumn("beyond", F.slice(F.array_compact(F.array(*entries)), 1, 3))
-    return data.withColumn("point", F.col("iqr_any") | F.col("z_any")).drop(*[f"__{k}{i}" for k in "qas" for i in range(n)])
+    return data.withColumn("point", F.col("iqr_any") | F.col("z_any"))
 
 
-#: Parts of a column's name that say it can't be negative, or is a percentage.
+#: Parts of a column's name that say it can't be negative, or is a percentage.
 NOT_NEGATIVE, PERCENT = ("age", "qty", "quantity", "count", "duration", "days", "hours", "month"), ("percent", "pct")
 
 

@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalars import number, parsed_time
+from .quantiles import quantiles
 
+#: Parts of a name that hint at an identifier or a date.
 ID_NAMES, DATE_NAMES = ("id", "uuid", "key", "code"), ("date", "time", "timestamp", "day", "month", "year")
 GEOMETRIES = "POINT|LINESTRING|POLYGON|MULTIPOINT|MULTILINESTRING|MULTIPOLYGON|GEOMETRYCOLLECTION"
 SAMPLE = 300
@@ -60,15 +62,15 @@ def skew(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def iqr_outliers(df: DataFrame, columns: list[str], factor: float = 1.5) -> DataFrame:
     """``column``, ``q1``, ``q3``, ``outliers`` beyond the fences, on non-null values."""
-    stats = df.agg(*[F.percentile(col(c).cast("double"), F.array(F.lit(0.25), F.lit(0.75))).alias(f"q{i}") for i, c in enumerate(columns)])
-    both = df.crossJoin(F.broadcast(stats))  # one row
+    quarters, _ = quantiles(df, {c: col(c) for c in columns}, (0.25, 0.75))
     parts = []
     for i, c in enumerate(columns):
-        q1, q3 = F.col(f"q{i}")[0], F.col(f"q{i}")[1]
-        out = (q3 - q1 > 1e-8) & ((col(c) < q1 - factor * (q3 - q1)) | (col(c) > q3 + factor * (q3 - q1)))
-        parts += [F.count_if(out).alias(f"o{i}"), F.max(q1).alias(f"a{i}"), F.max(q3).alias(f"b{i}")]
-    wide = both.agg(*parts)
-    return wide.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.round(f"a{i}", 6).alias("q1"), F.round(f"b{i}", 6).alias("q3"), F.col(f"o{i}").alias("outliers")) for i, c in enumerate(columns)])).alias("r")).select("r.*")
+        q1, q3 = quarters[c]
+        spread = (q3 or 0.0) - (q1 or 0.0)
+        parts.append((F.count_if((col(c) < q1 - factor * spread) | (col(c) > q3 + factor * spread)) if spread > 1e-8 else F.lit(0).cast("bigint")).alias(f"o{i}"))
+    # with one aggregate at least, so that there is one row
+    wide = df.agg(F.count(F.lit(1)).alias("n"), *parts)
+    return wide.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.round(F.lit(quarters[c][0]).cast("double"), 6).alias("q1"), F.round(F.lit(quarters[c][1]).cast("double"), 6).alias("q3"), F.col(f"o{i}").alias("outliers")) for i, c in enumerate(columns)])).alias("r")).select("r.*")
 
 
 def type_mismatch(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -44,12 +44,11 @@ def events_of(df: DataFrame, key: str, numeric: list[str], order: str, config: C
     if n < config.series_rows:
         return df.select(F.col(key), F.lit("").alias("column"), F.lit("").alias("kind"), *[F.lit(0).cast(t).alias(c) for c, t in (("pos", "bigint"), ("value", "double"), ("baseline", "double"), ("deviation", "double"), ("threshold", "double"))]).limit(0)
     base = series_base(df, key, numeric, order) if base is None else base
-    w = series.window_size(n)
-    parts = []
-    for c in [c for c in numeric if c not in (key, order)][: config.series_columns]:
-        for found in (series.level_shifts(base, c, w), series.trend_changes(base, c, w), series.seasonal_breaks(base, c, config)):
-            parts.append(found.select(F.col(key), F.lit(c).alias("column"), "kind", F.col("pos").cast("bigint").alias("pos"), *[F.col(f).cast("double").alias(t) for f, t in ((f"`{c}`", "value"), ("baseline", "baseline"), ("deviation", "deviation"), ("threshold", "threshold"))]))
-    return reduce(DataFrame.union, parts)
+    columns = [c for c in numeric if c not in (key, order)][: config.series_columns]
+    if not columns:
+        return events_of(df.limit(0), key, numeric, order, config)
+    found = series.Series(base.select("pos", F.col(f"`{key}`"), *[F.col(f"`{c}`") for c in columns]), columns, series.window_size(n), config, config.block_rows).events(KINDS)
+    return found.select(F.col(f"`{key}`"), "column", "kind", F.col("pos").cast("bigint").alias("pos"), "value", "baseline", "deviation", "threshold")
 
 
 def listed(events: DataFrame, numeric: list[str], config: Config = DEFAULT) -> DataFrame:
@@ -80,7 +79,7 @@ def judged(df: DataFrame, key: str, numeric: list[str], order: str | None = None
     members = runs.select(F.explode(F.sequence("start_pos", "end_pos")).alias("pos"), "length", "peak")
     marks.append(mark(placed.join(members, "pos"), "collective", detail=F.concat(F.lit("one of "), F.col("length").cast("string"), F.lit(" rows in a row of high score (peak "), explain.metric(F.col("peak")), F.lit(")"))))
     if coordinates:
-        marks.append(mark(geo.outliers(data, *coordinates), "geospatial", F.array(*map(F.lit, sorted(coordinates))), F.concat(explain.metric(F.col("km")), F.lit(" km from the median place, limit "), explain.metric(F.col("threshold_km")), F.lit(" km"))))
+        marks.append(mark(geo.outliers(df, *coordinates), "geospatial", F.array(*map(F.lit, sorted(coordinates))), F.concat(explain.metric(F.col("km")), F.lit(" km from the median place, limit "), explain.metric(F.col("threshold_km")), F.lit(" km"))))
     # a row has a mark for each of its types and columns: few, and bounded by the table's columns
     types = reduce(DataFrame.union, marks).groupBy(key).agg(F.collect_set("type").alias("found"), F.collect_set(F.struct("type", "cols", "detail")).alias("why"))
     rows = data.join(types, key, "left").withColumn("found", F.coalesce("found", F.array().cast("array<string>")))

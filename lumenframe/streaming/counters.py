@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.quantiles import quantiles
+
 
 def windowed_counts(stream: DataFrame, time: str, columns: list[str], window: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Rows, missing cells and sums of ``columns`` in each window of event time; works on a
@@ -18,8 +20,8 @@ def windowed_counts(stream: DataFrame, time: str, columns: list[str], window: st
 
 def frozen_limits(table: DataFrame, columns: list[str], factor: float = 1.5) -> dict[str, tuple[float, float]]:
     """Fences of each column, from a table."""
-    got = table.agg(*[F.percentile(F.col(c).cast("double"), F.array(F.lit(0.25), F.lit(0.75))).alias(c) for c in columns]).first()
-    return {c: (got[c][0] - factor * (got[c][1] - got[c][0]), got[c][1] + factor * (got[c][1] - got[c][0])) for c in columns}
+    got, _ = quantiles(table, {c: F.col(c) for c in columns}, (0.25, 0.75))
+    return {c: (q1 - factor * (q3 - q1), q3 + factor * (q3 - q1)) for c, (q1, q3) in got.items()}
 
 
 def outside(stream: DataFrame, limits: dict[str, tuple[float, float]]) -> DataFrame:

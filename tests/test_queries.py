@@ -32,10 +32,3 @@ def test_same_as_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL)))
 def test_gives_rows(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
-
-
-def test_bench_leaves_out_no_corpus_query():
-    import bench
-    from lumenframe.llm.queries import QUERIES
-
-    assert {*QUERIES, "pipeline"} <= set(bench.HEADLINE)
