@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from lumenframe.llm import bpe, decontam, html, language, linededup, pii, quality, simhash, tokencount, vafile
+from lumenframe.llm import bpe, decontam, filteraudit, html, language, linededup, pii, quality, runs, simhash, suffixdedup, tokencount, vafile
 from lumenframe.llm.queries import ORACLE_SQL, QUERIES, tokenizer_path
 
 SF = "/root/testdata/sf0.001"
@@ -342,7 +342,7 @@ def test_same_as_sql(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "benchmark"):
+    for t in ("documents", "embeddings", "benchmark", "labels"):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     got, want = QUERIES[name](spark, SF).toPandas(), con.execute(ORACLE_SQL[name]).df()
     cols = sorted(want.columns)
@@ -362,3 +362,146 @@ def test_pipeline_stages(spark):
         before = docs.count()
     for r in docs.collect():
         assert r["decoded_sha256"] == hashlib.sha256((r["text"] or "").encode()).hexdigest()
+
+
+def brute_windows(strings, length):
+    seen = {}
+    for s in strings:
+        for i in range(len(s) - length + 1):
+            seen[s[i : i + length]] = seen.get(s[i : i + length], 0) + 1
+    return [[i for i in range(len(s) - length + 1) if seen[s[i : i + length]] > 1] for s in strings]
+
+
+def test_merged_transforms_find_all_repeats():
+    rng = np.random.default_rng(5)
+    for _ in range(150):
+        length, letters = int(rng.choice([4, 7, 20])), int(rng.choice([1, 2, 4, 26]))
+        texts = [bytes(rng.integers(97, 97 + letters, rng.integers(0, 80), dtype=np.uint8)) for _ in range(rng.integers(1, 15))]
+        if len(texts) > 3:
+            texts[1], texts[3] = texts[0][5:] + texts[2][:30], texts[0]
+        got = suffixdedup.repeated(texts, length, shard=int(rng.choice([10, 100, 10000])))
+        assert [g.tolist() for g in got] == brute_windows(texts, length)
+
+
+def removed_by_force(texts, length):
+    out = []
+    for s, at in zip(texts, brute_windows(texts, length), strict=True):
+        gone = sorted({j for i in at for j in range(i, i + length)})
+        out.append((len(s), [j for j in gone if j - 1 not in set(gone)], bytes(b for j, b in enumerate(s) if j not in set(gone))))
+    return out
+
+
+@pytest.mark.parametrize("crowd", [suffixdedup.CROWD, 1])
+def test_repeated_bytes_go(spark, none, crowd):
+    rng = np.random.default_rng(6)
+    word = lambda n: "".join(rng.choice(list("abcdé \n"), n))
+    passage, long = word(90), word(3000)
+    texts = [None, "", " ", "short", passage, passage, "x" * 200, word(30) + passage + word(40), passage[10:80] + word(20), *(word(25) + passage[:70] + word(25) for _ in range(20)), long, long[:1500] + "!" + long[1500:], long[700:]]
+    df = spark.createDataFrame([(i if i else None, t, "x", 1) for i, t in enumerate(texts)], "doc_id bigint, text string, Kept string, score int").repartition(3)
+    want = removed_by_force([(t or "").encode() for t in texts], 50)
+    got = suffixdedup.without_repeats(df, length=50, crowd=crowd).collect()
+    assert got[0].asDict().keys() == {"doc_id", "score", "n_bytes", "removed", "kept"} and len(got) == len(texts)
+    for r in got:
+        n, starts, kept = want[r["doc_id"] or 0]
+        assert (r["n_bytes"], [x["start"] for x in r["removed"]], bytes(r["kept"])) == (n, starts, kept)
+    assert suffixdedup.without_repeats(none).count() == 0
+
+
+def test_minimizers_of_long_texts_do_not_depend_on_blocks(monkeypatch):
+    data = bytes(np.random.default_rng(7).integers(97, 100, 5000, dtype=np.uint8))
+    whole = [x.tolist() for x in suffixdedup.spans_of(data)]
+    monkeypatch.setattr(suffixdedup, "BLOCK", 333)
+    assert [x.tolist() for x in suffixdedup.spans_of(data)] == whole
+
+
+def test_filter_audit_equals_every_order(spark):
+    from itertools import permutations
+
+    texts = ["WORD " * 300, "a b c " * 10, " ".join(f"w{i}" for i in range(250)), " ".join(f"w{i}" for i in range(250)), " ".join(f"v{i}$" for i in range(220)), None, "", "A b " * 150 + "#", "é" * 50, "a\x0bb\x0cc " * 100]
+    rows = [(i if i != 8 else None, t, [None, "", "s", "s"][i % 4], 0) for i, t in enumerate(texts)] + [(3, texts[3], "s", 0), (None, texts[2], "s", 0)]
+    marks = [(0, 1, 0), (1, 0, 1), (1, None, None), (2, 1, 1), (3, 1, 0), (4, None, 1), (None, 1, 1), (77, 1, 1)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, n int")
+    labels = spark.createDataFrame(marks, "doc_id bigint, quality int, toxic int")
+    low = {}
+    for k, t, *_ in rows:
+        if k is not None:
+            low[t or ""] = min(k, low.get(t or "", k))
+    judged = []
+    for k, t, p, _ in rows:
+        t, words = t or "", re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        fails = {"A": len(words) < 200, "B": 100 * len(set(words)) < 50 * len(words), "C": 100 * len(re.findall("[A-Z]", t)) > 2 * len(t), "D": bool(re.search(r"[#$%&*|]", t)), "E": k is not None and k > low[t]}
+        judged.append((p or "", fails, any(a == k and q == 1 for a, q, _ in marks if a is not None), any(a == k and x == 1 for a, _, x in marks if a is not None)))
+    got = {(r["part"], r["filter_order"], r["step"]): r for r in filteraudit.audit(docs, labels).collect()}
+    parts = {p for p, *_ in judged}
+    assert len(got) == 600 * len(parts)
+    shapley = {}
+    for p in parts:
+        mine = [j for j in judged if j[0] == p]
+        for order in map("".join, permutations("ABCDE")):
+            left = mine
+            for step, f in enumerate(order, 1):
+                gone, stay = [j for j in left if j[1][f]], [j for j in left if not j[1][f]]
+                r = got[p, order, step]
+                assert (r["kept"], r["removed"], r["good_lost"], r["toxic_lost"]) == (len(stay), len(gone), sum(j[2] for j in gone), sum(j[3] for j in gone))
+                assert r["redundant"] == sum(j[1][f] for j in mine) - len(gone) and r["unique_fails"] == sum(j[1][f] and sum(j[1].values()) == 1 for j in mine)
+                shapley[p, f] = shapley.get((p, f), 0) + len(gone)
+                left = stay
+    assert all(r["shapley"] == shapley[r["part"], r["filter_order"][r["step"] - 1]] for r in got.values())
+    assert filteraudit.audit(docs.limit(0), labels).count() == 0
+
+
+def brute_runs(words):
+    n, out = len(words), []
+    for q in range(1, n // 4 + 1):
+        i = 0
+        while i < n - q:
+            j = i
+            while j < n - q and words[j] == words[j + q]:
+                j += 1
+            if j > i and j - i + q >= max(6, 4 * q) and not any(all(words[x] == words[x + p] for x in range(i, j + q - p)) for p in range(1, q)):
+                out.append((i, j - i + q, q))
+            i = max(j, i) + 1
+    return sorted(out, key=lambda r: (r[0], r[2]))
+
+
+def test_runs_are_all_found():
+    rng = np.random.default_rng(8)
+    for _ in range(200):
+        words = [b"%d" % x for x in rng.integers(0, int(rng.choice([1, 2, 3, 5, 50])), int(rng.choice([0, 5, 6, 8, 30, 200, 700])))]
+        n = len(words)
+        for _ in range(int(rng.integers(0, 4)) if n > 10 else 0):
+            a = int(rng.integers(0, n))
+            p = 1 + (n - a) // int(rng.integers(3, 11))
+            words = [words[i if i < a else a + (i - a) % p] for i in range(n)]
+        assert runs.runs_of(words) == brute_runs(words)
+    assert runs.runs_of([b"a"] * 100_000) == [(0, 100_000, 1)]  # no square of a long text
+
+
+def test_runs_of_rows(spark, odd, none):
+    got = runs.with_runs(odd.withColumnRenamed("spans", "Runs")).select("doc_id", "Score", "runs", "collapsed", *runs.figures()).collect()
+    assert len(got) == len(ODD)
+    words = {r["doc_id"]: r for r in got if r["doc_id"] in (2, 7, 8)}
+    assert (words[8]["start"], words[8]["length"], words[8]["period"], words[8]["exponent_milli"], words[8]["collapsed"]) == (0, 20000, 1, 20_000_000, "word")
+    assert (words[2]["n_runs"], words[2]["start"], words[2]["exponent_milli"]) == (0, None, None) and words[2]["runs_sha256"] == hashlib.sha256(b"").hexdigest()
+    assert words[8]["runs_sha256"] == hashlib.sha256(b"0,20000,1\n").hexdigest()
+    assert runs.with_runs(none).count() == 0
+
+
+def test_planted_periods(spark):
+    rows = [(i, " ".join(f"w{j}" for j in range(i % 90))) for i in range(200)] + [(None, "a b c d e f g h i j k l"), (30, None), (31, "")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for r, (k, t) in zip(runs.planted(df).collect(), rows, strict=True):
+        h = zlib.crc32(b"" if k is None else str(k).encode())
+        words, g = (t or "").split(), h // 10
+        if h % 10 or not words:
+            assert r["text"] == t
+            continue
+        n, a = len(words), g % len(words)
+        p = 1 + (n - a) // (3 + g % 8)
+        assert r["text"] == " ".join(words[i if i < a else a + (i - a) % p] for i in range(n))
+
+
+def test_bench_leaves_out_no_corpus_query():
+    import bench
+
+    assert {*QUERIES, "pipeline"} <= set(bench.HEADLINE)
