@@ -13,8 +13,7 @@ from pyspark.sql import functions as F
 
 from . import rules
 from .config import DEFAULT, Config
-from .functions.scalars import parsed_time
-from .operators import context, points, profile
+from .operators import context, points, profile, times
 from .plans import analysis, explain
 from .report import html_report
 from .session import written
@@ -80,7 +79,7 @@ def build_profile(df: DataFrame) -> dict:
     skewed = {r["column"]: round(r["skewness"], 3) for r in (profile.skew(df, numeric).collect() if numeric else []) if r["skewness"] is not None and abs(r["skewness"]) > 1}
     outliers = {r["column"]: r["outliers"] for r in (profile.iqr_outliers(df, numeric).collect() if numeric else [])}
     mixed = {r["column"]: r["not_castable"] for r in (profile.type_mismatch(df, texts).collect() if texts else []) if r["castable_share"] is not None and 0.2 <= r["castable_share"] < 0.95}
-    dates = {c: 0 if profile.kind_of(df, c) == "time" else profile.invalid_dates(df, c).first()["invalid_dates"] for c in of("date")}
+    dates = {c: present - valid for c, (present, valid) in times.counted(df, of("date")).items()}
     plain = [c for c in stats if profile.kind_of(df, c) != "time"]
     lat, lon = profile.pick_coordinates(profile.geo_scores(df, plain).collect()) if plain else (None, None)
     summary = dict.fromkeys(("valid_coordinate_pairs", "invalid_coordinate_pairs", "missing_coordinate_pairs", "invalid_latitude_values", "invalid_longitude_values"), 0) | {"bbox": None}
@@ -125,10 +124,8 @@ def build_anomalies(df: DataFrame, p: dict, config: Config, top_n: int) -> dict:
     base = {"total_rows": p["row_count"], "quality_anomalies": quality, "analysis_metadata": {"analysis_mode": "full", "approximate": p["row_count"] > config.lof_rows, "sampled_rows": min(p["row_count"], config.lof_rows), "sampled_ratio": round(min(1.0, config.lof_rows / max(1, p["row_count"])), 6)}}
     if not filled:
         return base | {"suspicious_count": 0, "severity_breakdown": {"low": p["row_count"]}, "anomaly_type_breakdown": {}, "anomaly_category_breakdown": {}, "anomaly_groups": [], "time_series_events": [], "anomaly_score_distribution": [], "records": []}
-    order = profile.best_time(df, [c for c, t in types.items() if t == "date"])
-    work = df
-    if order and profile.kind_of(df, order) != "time":
-        work = df.withColumn(order, parsed_time(F.col(f"`{order}`")))
+    order = times.best_time(df, [c for c, t in types.items() if t == "date"])
+    work = times.ordered(df, order) if order else df
     contexts = [c for c, t in types.items() if t == "categorical" and 1 < distinct[c] <= config.context_values][: config.context_columns]
     coordinates = (g["latitude_column"], g["longitude_column"]) if g["latitude_column"] and g["longitude_column"] else None
     base_rows = analysis.series_base(work, "row_index", filled, order) if order else None

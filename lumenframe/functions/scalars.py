@@ -53,15 +53,3 @@ def haversine(lat: Column, lon: Column, lat0: Column, lon0: Column) -> Column:
 def spelling(x: Column) -> Column:
     """Trimmed, lower-cased, white space runs as one space."""
     return F.regexp_replace(F.regexp_replace(F.lower(x.cast("string")), r"^\s+|\s+$", ""), r"\s+", " ")
-
-
-#: Spellings of times beside ISO ones, month first where both are possible.
-TIME_FORMS = ("M/d/yyyy", "M/d/yyyy H:mm", "M/d/yyyy H:mm:ss", "M-d-yyyy", "dd.MM.yyyy", "yyyy/M/d", "yyyy/M/d H:mm", "yyyy/M/d H:mm:ss", "yyyyMMdd", "MMM d, yyyy", "MMMM d, yyyy", "d MMM yyyy", "d MMMM yyyy")
-
-
-def parsed_time(x: Column) -> Column:
-    """Lenient parse: ISO dates and times with or without seconds, fractions and zone by a cast, else
-    one of TIME_FORMS; null for what is none."""
-    text = F.trim(x.cast("string"))
-    iso = F.when(text.rlike(r"^\d{4}-\d{1,2}"), text.try_cast("timestamp"))
-    return F.coalesce(iso, *[F.try_to_timestamp(text, F.lit(f)) for f in TIME_FORMS])

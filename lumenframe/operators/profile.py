@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.scalars import number, parsed_time
+from ..functions.scalars import number
 from .quantiles import quantiles
+from .times import counted, lenient
 
 #: Parts of a name that hint at an identifier or a date.
 ID_NAMES, DATE_NAMES = ("id", "uuid", "key", "code"), ("date", "time", "timestamp", "day", "month", "year")
@@ -79,17 +80,10 @@ def type_mismatch(df: DataFrame, columns: list[str]) -> DataFrame:
     return wide.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.round(f"s{i}", 6).alias("castable_share"), F.col(f"n{i}").alias("not_castable")) for i, c in enumerate(columns)])).alias("r")).select("r.*")
 
 
-def invalid_dates(df: DataFrame, column: str) -> DataFrame:
-    return df.agg(F.count_if(col(column).isNotNull() & parsed_time(col(column)).isNull()).alias("invalid_dates"), F.count(col(column)).alias("dates"))
-
-
-def best_time(df: DataFrame, columns: list[str], least: int = 8) -> str | None:
-    """Of ``columns`` the one with the most parsed values, the first of several; None below ``least``."""
-    if not columns:
-        return None
-    n = df.agg(*[F.count(col(c) if kind_of(df, c) == "time" else parsed_time(col(c))).alias(f"n{i}") for i, c in enumerate(columns)]).first()
-    best = max(range(len(columns)), key=lambda i: (n[i], -i))
-    return columns[best] if n[best] >= least else None
+def invalid_dates(df: DataFrame, *columns: str) -> DataFrame:
+    """``column``, ``invalid_dates`` and ``dates`` (present values) of each of ``columns``."""
+    found = counted(df, list(columns))
+    return df.sparkSession.createDataFrame([(c, p - v, p) for c, (p, v) in found.items()], "column string, invalid_dates bigint, dates bigint")
 
 
 def samples(df: DataFrame, columns: list[str], n: int = SAMPLE) -> dict[str, list[str]]:
@@ -100,7 +94,7 @@ def samples(df: DataFrame, columns: list[str], n: int = SAMPLE) -> dict[str, lis
 def looks_date(name: str, values: list[str]) -> bool:
     if not values:
         return False
-    times = pd.to_datetime(pd.Series(values), errors="coerce", format="mixed", utc=True)
+    times = lenient(pd.Series(values))
     if times.notna().mean() < 0.8:
         return False
     hint = any(k in name.lower() for k in DATE_NAMES)

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT
 from ..functions.scalars import severity
-from ..operators import context, geo, models, points, profile, series
+from ..operators import context, geo, models, points, profile, series, times
 from ..session import written
 from . import analysis, explain
-from .views import DIRTY_GEO, DIRTY_ORDERS, POSITIONED, RUNS, SEASONAL, dirty_geo, dirty_orders, run_scores, seasonal_values, table
+from .views import DIRTY_GEO, DIRTY_ORDERS, POSITIONED, RUNS, SEASONAL, SPELLED, dirty_geo, dirty_orders, run_scores, seasonal_values, spelled_dates, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -84,7 +84,24 @@ def type_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {DIRTY_ORDERS} SELECT count(*) FILTER (try_cast(date_text AS DATE) IS NULL) AS invalid_dates, count(*) AS dates FROM dirty_orders")
 def invalid_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile.invalid_dates(dirty_orders(spark, sf_dir), "date_text")
+    return profile.invalid_dates(dirty_orders(spark, sf_dir), "date_text").drop("column")
+
+
+@query(f"WITH {SPELLED} SELECT 'day_text' AS \"column\", count(*) FILTER (day IS NULL AND NOT absent) AS invalid_dates, count(*) FILTER (NOT absent) AS dates FROM sp UNION ALL SELECT 'order_year', 0, count(order_year) FROM sp")
+def invalid_date_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.invalid_dates(spelled_dates(spark, sf_dir), "day_text", "order_year")
+
+
+@query(f"WITH {SPELLED} SELECT o_orderkey, strftime(day, '%Y-%m-%d') AS day FROM sp")
+def parsed_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every spelling as the date that it means."""
+    return spelled_dates(spark, sf_dir).select("o_orderkey", F.date_format(times.parsed_time(F.col("day_text")), "yyyy-MM-dd").alias("day"))
+
+
+@query(f"WITH {SPELLED} SELECT CASE WHEN count(day) >= count(order_year) THEN 'day_text' ELSE 'order_year' END AS best FROM sp")
+def best_time_column(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = times.best_time(spelled_dates(spark, sf_dir), ["day_text", "order_year"])
+    return spark.createDataFrame([(found,)], "best string")
 
 
 @query("SELECT 'value' AS \"column\", round(skewness(value), 6) AS skewness FROM events")
@@ -135,7 +152,7 @@ def column_health(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = dirty_orders(spark, sf_dir)
     c = profile.counts(df)
     mixed = profile.type_mismatch(df, ["code_mix"]).filter((F.col("castable_share") >= 0.2) & (F.col("castable_share") < 0.95)).select("column", F.lit("type mismatch").alias("issue"), F.lit(0.0).alias("missing_pct"))
-    dates = profile.invalid_dates(df, "date_text").filter("invalid_dates > 0").select(F.lit("date_text").alias("column"), F.lit("invalid dates").alias("issue"), F.lit(0.0).alias("missing_pct"))
+    dates = profile.invalid_dates(df, "date_text").filter("invalid_dates > 0").select("column", F.lit("invalid dates").alias("issue"), F.lit(0.0).alias("missing_pct"))
     return profile.column_health([
         c.filter("missing > 0").select("column", F.lit("missing").alias("issue"), "missing_pct"),
         c.filter("distinct_values <= 1").select("column", F.lit("constant").alias("issue"), "missing_pct"), mixed, dates])

@@ -33,6 +33,25 @@ DIRTY_ORDERS = """do_ AS (SELECT o_orderkey, o_custkey, o_orderdate, CASE WHEN o
 dirty_orders AS (SELECT * FROM do_ UNION ALL SELECT * FROM do_ WHERE o_orderkey % 50 = 0)"""
 
 
+#: Sixteen ways to write a date, as patterns.
+SPELLINGS = [
+    "yyyy-MM-dd", "M/d/yyyy", "MMM d yyyy", "d-MMM-yyyy", "dd-MMM-yy", "M/d/yy", "EEE, dd MMM yyyy HH:mm:ss 'GMT'", "M/d/yyyy hh:mm a", "MMM d, yyyy HH:mm", "yyyyMMdd'T'HHmmss", "yyyy.MM.dd", "yyyy/M/d", "d MMMM yyyy",
+    "yyyy-MM-dd'T'HH:mm:ss'Z'", "MMMM yyyy", "yyyy"]
+
+
+def spelled_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dates of orders in sixteen spellings, some of them none, beside the order's year as a number."""
+    k, d = F.col("o_orderkey"), F.col("o_orderdate").cast("timestamp")
+    text = F.lit(None).cast("string")
+    for i, pattern in enumerate(SPELLINGS):
+        text = F.when(k % 16 == i, F.date_format(d, pattern)).otherwise(text)
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.when(k % 17 == 0, "not a date").when(k % 29 == 0, "2024-02-30").when(k % 31 == 0, None).otherwise(text).alias("day_text"), F.when(k % 5 != 0, F.year("o_orderdate")).alias("order_year"))
+
+
+SPELLED = """sp AS (SELECT o_orderkey, CASE WHEN o_orderkey % 17 = 0 OR o_orderkey % 29 = 0 OR o_orderkey % 31 = 0 THEN NULL WHEN o_orderkey % 16 = 15 THEN date_trunc('year', o_orderdate) WHEN o_orderkey % 16 = 14 THEN date_trunc('month', o_orderdate) ELSE o_orderdate END AS day,
+ NOT (o_orderkey % 17 = 0 OR o_orderkey % 29 = 0) AND o_orderkey % 31 = 0 AS absent, CASE WHEN o_orderkey % 5 <> 0 THEN year(o_orderdate) END AS order_year FROM orders)"""
+
+
 def dirty_geo(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
     return table(spark, sf_dir, "customer").select(

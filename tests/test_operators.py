@@ -7,7 +7,7 @@ from lumenframe import rules
 from lumenframe.api import Engine, NotFound
 from lumenframe.config import DEFAULT, Config
 from lumenframe.functions import scalars
-from lumenframe.operators import context, models, points, profile, series
+from lumenframe.operators import context, models, points, profile, quantiles, series, times
 from lumenframe.plans import analysis, explain
 from lumenframe.sources.readers import TableError, read_table, url_filename, with_row_index
 from lumenframe.streaming.counters import frozen_limits, outside, windowed_counts
@@ -122,13 +122,111 @@ def test_stream_counts_equal_batch_counts(spark, tmp_path):
 
 
 def test_times_of_many_spellings(spark):
-    good = ["2024-01-05", "2024-01-05T10:00:00Z", "2024-01-05 10:00", "2024-01-05 10:00:00.25", "1/5/2024", "01/05/2024 10:00:00", "Jan 5, 2024", "5 January 2024", "2024/01/05", "05.01.2024"]
-    bad = ["not a date", "2024-02-30", "13:45", "", "99/99/2024"]
+    good = ["2024-01-05", "2024-01-05T10:00:00Z", "2024-01-05 10:00", "2024-01-05 10:00:00.25", "1/5/2024", "01/05/2024 10:00:00", "Jan 5, 2024", "5 January 2024", "2024/01/05", "05.01.2024",
+            "2001", "Jan 5 2024", "5-Jan-2024", "05-Jan-24", "1/5/24", "Fri, 05 Jan 2024 10:00:00 GMT", "1/5/2024 10:00 AM", "Jan 5, 2024 10:00", "20240105T100000", "2024.01.05", "January 2024", "13/1/2024", "13:45"]  # a time alone is one of today
+    bad = ["not a date", "2024-02-30", "", "99/99/2024", "9999-12-31"]
     df = spark.createDataFrame([(x,) for x in [*good, *bad, None]], "t string")
-    parsed = {r["t"]: r["p"] for r in df.select("t", scalars.parsed_time(F.col("t")).alias("p")).collect()}
+    parsed = {r["t"]: r["p"] for r in df.select("t", times.parsed_time(F.col("t")).alias("p")).collect()}
     assert all(parsed[x] is not None for x in good) and all(parsed[x] is None for x in bad)
-    assert tuple(profile.invalid_dates(df, "t").first()) == (len(bad), len(good) + len(bad))
-    assert profile.best_time(df.withColumn("u", F.lit("x")), ["u", "t"]) == "t" and profile.best_time(df, []) is None
+    assert all(parsed[x] == pd.to_datetime(x, format="mixed", utc=True).tz_localize(None) for x in good if x != "13:45")
+    assert tuple(profile.invalid_dates(df, "t").first()) == ("t", len(bad), len(good) + len(bad))
+    years = spark.createDataFrame([(1990 + i % 30, f"{i % 28 + 1:02d}-Jan-2024", float(i % 7)) for i in range(200)], "model_year int, day_text string, v double")
+    assert profile.semantic_types(years) == {"model_year": "date", "day_text": "date", "v": "numeric"}
+    assert times.counted(years, ["model_year", "day_text"]) == {"model_year": (200, 200), "day_text": (200, 200)} and times.best_time(years, ["day_text"]) == "day_text"
+    assert dict(times.ordered(times.ordered(years, "model_year"), "day_text").dtypes) == {"model_year": "int", "day_text": "timestamp", "v": "double"}
+    assert times.best_time(df.withColumn("u", F.lit("x")), ["u", "t"]) == "t" and times.best_time(df, []) is None
+
+
+def test_selected_quantiles_are_exact(spark):
+    rng = np.random.default_rng(4)
+    n = 20_000
+    data = pd.DataFrame({"a": rng.normal(size=n), "b": rng.integers(0, 5, n).astype(float), "c": np.where(rng.random(n) < 0.5, 0.0, rng.pareto(1, n)), "d": rng.integers(0, 9000, n).astype(float), "e": 1.5, "f": np.nan})
+    data.loc[rng.random(n) < 0.3, "d"] = np.nan
+    df = spark.createDataFrame(data).repartition(5)
+    ps = (0.0, 0.001, 0.25, 0.5, 0.9, 0.995, 1.0)
+    for size, kept in ((1000, 20_000), (64, 50)):  # small sketches take more rounds, to the same values
+        got, extra = quantiles.quantiles(df, {c: F.col(c) for c in data}, ps, {"n": F.count(F.lit(1))}, k=size, kept=kept)
+        assert extra == {"n": n} and got["f"] == [None] * len(ps)
+        for c in "abcde":
+            assert np.allclose(got[c], data[c].quantile(list(ps)), rtol=1e-12, atol=0)
+    assert quantiles.medians(df.limit(0), {"a": F.col("a")}) == {"a": None}
+
+
+def test_a_sketch_that_misses_is_found_out(spark, monkeypatch):
+    df = spark.range(1000).select(F.col("id").cast("double").alias("x"))
+    wrong = iter([(700.0, 710.0), (20.0, 30.0)])
+    real = quantiles._ends
+    monkeypatch.setattr(quantiles, "_ends", lambda *a: F.array(*map(F.lit, w)) if (w := next(wrong, None)) else real(*a))
+    assert quantiles.quantiles(df, {"x": F.col("x")}, (0.5,))[0] == {"x": [499.5]}
+
+
+def test_runs_merge_as_a_tree(spark):
+    rng = np.random.default_rng(9)
+    high = rng.random(600) < 0.8
+    high[100:300] = True  # over many blocks
+    df = spark.createDataFrame([(i, 0.9 if h else 0.1) for i, h in enumerate(high)], "pos bigint, s double")
+    want, i = [], 0
+    while i < 600:
+        j = i
+        while j < 600 and high[j]:
+            j += 1
+        if j - i >= 3:
+            want.append((i, j - 1, j - i))
+        i = max(j, i + 1)
+    for size, fan in ((8, 2), (8, 5), (64, 1000)):
+        assert sorted(tuple(r)[:3] for r in series.high_runs(df, "s", size=size, fan=fan).collect()) == want
+
+
+def test_series_engine_equals_pandas(spark):
+    rng = np.random.default_rng(10)
+    n, w = 400, 9
+    x = pd.DataFrame({"a": rng.normal(size=n).cumsum(), "b": np.sin(np.arange(n) * 2 * np.pi / 12) + rng.normal(size=n) * 0.1, "c": 3.0})
+    x.loc[[50, 200], "a"] += 40
+    x.loc[[130, 131], "b"] -= 6
+    df = spark.createDataFrame([(i, f"k{i}", *map(float, r)) for i, r in enumerate(x.values)], "pos bigint, key string, a double, b double, c double")
+    s = series.Series(df, ["a", "b", "c"], w, size=64)
+    for c in "abc":
+        st = s.stats()[c]
+        assert st["n"] == n and np.isclose(st["sd"], x[c].std(ddof=0)) and np.isclose(st["step_sd"], x[c].diff().fillna(0).std(ddof=0))
+        for k, r in st["lags"].items():
+            assert (r is None and c == "c") or np.isclose(r, x[c].corr(x[c].shift(k)), atol=1e-5)
+    assert s.season("b") == 12 and s.season("c") is None
+    want = set()
+    for c in "abc":
+        v = x[c]
+        med = v.rolling(w, center=True, min_periods=1).median()
+        mad = (v - med).abs().rolling(w, center=True, min_periods=1).median()
+        limit = np.maximum(6 * mad, 1.5 * v.std(ddof=0))
+        want |= {(i, c, "spike" if v[i] > med[i] else "dip") for i in np.flatnonzero((v - med).abs() > limit)}
+        d = v.diff().fillna(0)
+        med = d.rolling(w, center=True, min_periods=1).median()
+        mad = (d - med).abs().rolling(w, center=True, min_periods=1).median()
+        want |= {(i, c, "trend") for i in np.flatnonzero((d - med).abs() > np.maximum(6 * mad, 2 * d.std(ddof=0))) if i > 3}
+        if s.season(c):
+            e = (v - v.shift(s.season(c))).abs()
+            want |= {(i, c, "seasonal") for i in np.flatnonzero(e > max(e.median() + 6 * (e - e.median()).abs().median(), 2.5 * e.std(ddof=0)))}
+    got = s.events().collect()
+    assert {(r["pos"], r["column"], r["kind"]) for r in got} == want and len(got) == len(want) and all(r["key"] == f"k{r['pos']}" for r in got)
+
+
+def test_contexts_in_two_scans(spark):
+    rng = np.random.default_rng(11)
+    data = pd.DataFrame({"id": range(500), "g": rng.choice(list("abc"), 500), "h": rng.choice(["x", None], 500), "u": rng.normal(size=500), "v": rng.normal(size=500)})
+    data.loc[7, "u"], data.loc[9, "v"] = 50.0, -40.0
+    df = spark.createDataFrame(data.astype({"h": object}).where(data.notna(), None), "id bigint, g string, h string, u double, v double")
+    want = set()
+    for c in "gh":
+        of = data[c].fillna("nan")
+        for v in "uv":
+            z = ((data[v] - data.groupby(of)[v].transform("mean")) / data.groupby(of)[v].transform("std")).abs()
+            want |= {(int(i), c, v, round(z[i], 6)) for i in np.flatnonzero(z > 3.2)}
+    got = lambda: {tuple(r) for r in context.contextual(df, "id", ["g", "h"], ["u", "v"]).collect()}
+    assert got() == want
+    limit, context.BROADCAST_GROUPS = context.BROADCAST_GROUPS, 0
+    try:
+        assert got() == want
+    finally:
+        context.BROADCAST_GROUPS = limit
 
 
 def test_castable_share_is_of_all_rows(spark):
