@@ -121,7 +121,8 @@ def build_anomalies(df: DataFrame, p: dict, config: Config, top_n: int) -> dict:
         "impossible_values": sum(r["impossible"] for r in points.impossible(data, filled).collect()) if filled else 0,
         "inconsistent_categories": sum(context.inconsistent(data, c).first()[0] for c in spellings), "extreme_skew": len(p["skewed_numeric_columns"]), "invalid_dates": sum(p["invalid_dates"].values()),
         "invalid_geospatial": sum(g[k] for k in ("invalid_coordinate_pairs", "missing_coordinate_pairs", "invalid_latitude_values", "invalid_longitude_values"))}
-    base = {"total_rows": p["row_count"], "quality_anomalies": quality, "analysis_metadata": {"analysis_mode": "full", "approximate": p["row_count"] > config.lof_rows, "sampled_rows": min(p["row_count"], config.lof_rows), "sampled_ratio": round(min(1.0, config.lof_rows / max(1, p["row_count"])), 6)}}
+    trained = min(p["row_count"], config.lof_rows) if p["row_count"] > config.lof_switch else p["row_count"]
+    base = {"total_rows": p["row_count"], "quality_anomalies": quality, "analysis_metadata": {"analysis_mode": "full", "approximate": p["row_count"] > config.lof_switch, "sampled_rows": trained, "sampled_ratio": round(trained / max(1, p["row_count"]), 6)}}
     if not filled:
         return base | {"suspicious_count": 0, "severity_breakdown": {"low": p["row_count"]}, "anomaly_type_breakdown": {}, "anomaly_category_breakdown": {}, "anomaly_groups": [], "time_series_events": [], "anomaly_score_distribution": [], "records": []}
     order = times.best_time(df, [c for c, t in types.items() if t == "date"])

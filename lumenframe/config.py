@@ -26,8 +26,9 @@ class Config:
     tree_rows: int = 256
     neighbours: int = 20
     lof_limit: float = 1.5
-    #: Rows that the neighbour model holds at most; larger tables are judged against a sample.
-    lof_rows: int = 20_000
+    #: Up to so many rows all judge each other; larger tables are judged against lof_rows of theirs.
+    lof_switch: int = 120_000
+    lof_rows: int = 100_000
     seed: int = 42
     top_n: int = 100
     #: Larger inputs are refused; 0 or less: none are.

@@ -1,6 +1,6 @@
-"""Model detectors: isolation forest and local outlier factor.
+"""Model detectors: isolation forest, and the score of all detectors.
 
-Both learn from a bounded sample (rows of smallest key hash), which is broadcast; every row is
+The forest learns from a bounded sample (rows of smallest key hash); its trees, of bounded size, are broadcast, and every row is
 scored in Arrow batches."""
 
 from __future__ import annotations
@@ -12,18 +12,9 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
 from ..functions.scalars import clip, scaled, severity
+from .neighbours import local_outlier_factor  # noqa: F401
 from .profile import col
-
-
-def hash_sample(df: DataFrame, key: str, n: int, seed: int = DEFAULT.seed) -> DataFrame:
-    """``n`` rows, uniform and the same however the table is partitioned."""
-    mixed, count = F.md5(F.concat(col(key).cast("string"), F.lit(f"|{seed}")).cast("binary")), df.count()
-    if count > 8 * n:
-        # Only hashes that low can be among the n smallest: about 4 n of them, so that no task sorts
-        # n rows of each partition. Fewer than n by chance is all but impossible; then all rows are sorted.
-        low = df.filter(mixed < f"{int(4 * n / count * 2**64):016x}")
-        df = low if low.count() >= n else df
-    return df.orderBy(mixed, col(key)).limit(n)
+from .sampling import hash_sample
 
 
 def _matrix(rows: list, columns: list[str]) -> np.ndarray:
@@ -88,52 +79,6 @@ def isolation_scores(df: DataFrame, key: str, columns: list[str], config: Config
     return df.withColumn("iso_score", score(*[col(c).cast("double") for c in columns]))
 
 
-def _nearest(x: np.ndarray, train: np.ndarray, k: int, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places and distances of the k nearest training rows, without the row at ``own`` (-1: none)."""
-    places, dists = [], []
-    norms = (train**2).sum(1)
-    for lo in range(0, len(x), 256):
-        part = x[lo : lo + 256]
-        d = np.maximum((part**2).sum(1)[:, None] - 2 * part @ train.T + norms, 0)
-        mine = own[lo : lo + 256]
-        d[np.flatnonzero(mine >= 0), mine[mine >= 0]] = np.inf
-        m = min(k + 8, d.shape[1])
-        near = np.sort(np.argpartition(d, m - 1, axis=1)[:, :m], axis=1)
-        exact = np.sqrt(((part[:, None, :] - train[near]) ** 2).sum(-1))  # the product form loses digits
-        exact[near == mine[:, None]] = np.inf
-        order = np.argsort(exact, axis=1, kind="stable")[:, :k]
-        places.append(np.take_along_axis(near, order, 1))
-        dists.append(np.take_along_axis(exact, order, 1))
-    return np.concatenate(places), np.concatenate(dists)
-
-
-def local_outlier_factor(df: DataFrame, key: str, columns: list[str], config: Config = DEFAULT) -> DataFrame:
-    """``df`` and ``lof``. Up to ``lof_rows`` rows are the training rows and judge each other;
-    a larger table is judged against its sample. Ties between neighbours go to the smaller key."""
-    rows = hash_sample(df.select(col(key), *map(col, columns)), key, config.lof_rows, config.seed).collect()
-    rows.sort(key=lambda r: r[key])
-    train = _matrix(rows, columns).astype(np.float64)
-    if len(train) <= 2:
-        return df.withColumn("lof", F.lit(1.0))
-    k = min(config.neighbours, max(2, len(train) - 1))
-    place = {r[key]: i for i, r in enumerate(rows)}
-    near, dist = _nearest(train, train, k, np.arange(len(train)))
-    kth = dist[:, -1]
-    density = 1 / (np.maximum(dist, kth[near]).mean(1) + 1e-10)
-    held = df.sparkSession.sparkContext.broadcast((train, kth, density, place))  # lof_rows rows at most
-
-    @F.pandas_udf("double")
-    def factor(keys: pd.Series, *values: pd.Series) -> pd.Series:
-        train, kth, density, place = held.value
-        x = np.stack([v.to_numpy(dtype=np.float32).astype(np.float64) for v in values], axis=1)
-        own = np.array([place.get(i, -1) for i in keys])
-        near, dist = _nearest(x, train, k, own)
-        mine = 1 / (np.maximum(dist, kth[near]).mean(1) + 1e-10)
-        return pd.Series(density[near].mean(1) / mine)
-
-    return df.withColumn("lof", factor(col(key), *[col(c).cast("double") for c in columns]))
-
-
 def ensemble(flags: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """``flags`` (points.flagged with iso_score and lof) and ``iso_norm``, ``lof_norm``, ``votes``,
     ``score``, ``severity``, ``multivariate``."""

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,10 +39,9 @@ def _known(x: Column) -> Column:
     return F.when(~F.isnan(d), d)
 
 
-def _ends(sketch: Column, first: int, last: int, n: int, k: int) -> Column:
-    """Values of the sketch that enclose the ranks but for an unlikely error."""
-    margin = 3.0 / k + 2 / n
-    return F.array(*[F.kll_sketch_get_quantile_double(sketch, F.lit(min(1.0, max(0.0, f)))) for f in (first / n - margin, (last + 1) / n + margin)])
+def _ends(sketch: Column, low: float, high: float) -> Column:
+    """The sketch's values at two fractions."""
+    return F.array(*[F.kll_sketch_get_quantile_double(sketch, F.lit(min(1.0, max(0.0, f)))) for f in (low, high)])
 
 
 def _counted(df: DataFrame, open_: list[_Bracket]) -> None:
@@ -67,12 +67,20 @@ def _sketch(x: Column, k: int) -> Column:
     return F.kll_sketch_agg_double(x, F.lit(k))
 
 
+def _collected(df: DataFrame, tests: dict[int, Column], columns: dict[int, str]) -> dict[int, list[float]]:
+    """The sorted values that pass each test, few by the caller's count, in one scan."""
+    hit = reduce(lambda a, b: a | b, tests.values())
+    got = df.filter(hit).agg(*[F.sort_array(F.collect_list(F.when(t, F.col(columns[i])))).alias(f"v{i}") for i, t in tests.items()]).first()
+    return {i: got[f"v{i}"] for i in tests}
+
+
 def selected(df: DataFrame, brackets: list[_Bracket], ends: dict[str, tuple[float, float]], k: int, kept: int) -> dict[tuple[str, int], float]:
     """The values at the ranks of all brackets; ``df`` has the columns as doubles."""
     found: dict[tuple[str, int], float] = {}
     open_ = brackets
     for _ in range(60):
-        _counted(df, open_)
+        if open_:
+            _counted(df, open_)
         far, near = [], []
         for b in open_:
             ranks = [r for r in {b.first, b.last} if (b.column, r) not in found]
@@ -92,34 +100,29 @@ def selected(df: DataFrame, brackets: list[_Bracket], ends: dict[str, tuple[floa
             else:
                 (near if b.inside <= kept else far).append(b)
         if near:
-            tests = [(F.col(b.column) > b.low) & (F.col(b.column) < b.high) for b in near]
-            pairs = F.array(*[F.when(t, F.struct(F.lit(i).alias("i"), F.col(b.column).alias("v"))) for i, (t, b) in enumerate(zip(tests, near, strict=True))])
-            hit = tests[0]
-            for t in tests[1:]:
-                hit = hit | t
-            values: list[list[float]] = [[] for _ in near]
-            for r in df.filter(hit).select(F.explode(F.array_compact(pairs)).alias("p")).select("p.i", "p.v").collect():  # kept values a bracket at most
-                values[r["i"]].append(r["v"])
-            for b, v in zip(near, values, strict=True):
-                v.sort()
+            values = _collected(df, {i: (F.col(b.column) > b.low) & (F.col(b.column) < b.high) for i, b in enumerate(near)}, {i: b.column for i, b in enumerate(near)})
+            for i, b in enumerate(near):
+                v = values[i]
                 for r in {b.first, b.last}:
                     if (b.column, r) not in found:
                         found[b.column, r] = v[r - b.below - b.at_low]
         if not far:
             return found
-        # what is inside is a smaller problem of the same kind; neighbours may lie on both sides of an end, so a bracket may split
-        open_ = []
-        parts = df.agg(*[_sketch(F.when((F.col(b.column) > b.low) & (F.col(b.column) < b.high), F.col(b.column)), k).alias(f"s{i}") for i, b in enumerate(far)], *[F.sum(((F.col(b.column) > b.low) & (F.col(b.column) < b.high)).cast("bigint")).alias(f"n{i}") for i, b in enumerate(far)], *[F.sum((F.col(b.column) <= b.low).cast("bigint")).alias(f"u{i}") for i, b in enumerate(far)])
-        sizes = parts.select(*[F.col(f"{c}{i}") for i in range(len(far)) for c in "nu"], *[F.col(f"s{i}") for i in range(len(far))]).first()
+        # what is inside is a smaller problem of the same kind; a bracket whose two ranks part splits
+        parts = []
+        for i, b in enumerate(far):
+            inner = (F.col(b.column) > b.low) & (F.col(b.column) < b.high)
+            parts += [_sketch(F.when(inner, F.col(b.column)), k).alias(f"s{i}"), F.sum(inner.cast("bigint")).alias(f"n{i}"), F.sum((F.col(b.column) <= b.low).cast("bigint")).alias(f"u{i}")]
+        sizes = df.agg(*parts).first()
         held = df.sparkSession.createDataFrame([tuple(sizes[f"s{i}"] for i in range(len(far)))], ", ".join(f"s{i} binary" for i in range(len(far))))
-        asked = []
+        open_, asked = [], []
         for i, b in enumerate(far):
             n, under = sizes[f"n{i}"], sizes[f"u{i}"]
             for r in [r for r in {b.first, b.last} if (b.column, r) not in found]:
-                inner = r - under
-                if n and 0 <= inner < n:
-                    asked.append((b, r, _ends(F.col(f"s{i}"), inner, inner, n, k)))
-                else:  # an end of the widened bracket
+                if 0 <= r - under < n:
+                    margin = 3.0 / k + 2 / n
+                    asked.append((b, r, _ends(F.col(f"s{i}"), (r - under) / n - margin, (r - under + 1) / n + margin)))
+                else:  # the rank is at an end of the widened bracket
                     open_.append(_Bracket(b.column, r, r, b.low, b.high))
         if asked:
             new = held.select(*[e.alias(f"e{i}") for i, (_, _, e) in enumerate(asked)]).first()
@@ -133,20 +136,22 @@ def quantiles(df: DataFrame, columns: dict[str, Column], probabilities: tuple[fl
     names, others = list(columns), dict(extra or {})
     wanted = probabilities if isinstance(probabilities, dict) else dict.fromkeys(names, probabilities)
     xs = {c: _known(x) for c, x in columns.items()}
-    held = df.agg(*[a for i, c in enumerate(names) for a in (_sketch(xs[c], k).alias(f"s{i}"), F.count(xs[c]).alias(f"n{i}"), F.min(xs[c]).alias(f"a{i}"), F.max(xs[c]).alias(f"z{i}"))], *[c.alias(f"x{i}") for i, c in enumerate(others.values())]).first()
+    firsts = [a for i, c in enumerate(names) for a in (_sketch(xs[c], k).alias(f"s{i}"), F.count(xs[c]).alias(f"n{i}"), F.min(xs[c]).alias(f"a{i}"), F.max(xs[c]).alias(f"z{i}"))]
+    asked = [(i, p) for i, c in enumerate(names) for p in wanted[c]]
+    # k values or fewer are in the sketch whole; beyond that a rank's fraction is within 1 / k of its probability
+    ends_of = [F.when(F.col(f"n{i}") > 0, _ends(F.col(f"s{i}"), p - 5.0 / k, p + 5.0 / k)).alias(f"e{j}") for j, (i, p) in enumerate(asked)]
+    plain = [f"{x}{i}" for i in range(len(names)) for x in "naz"]
+    held = df.agg(*firsts, *[c.alias(f"x{i}") for i, c in enumerate(others.values())]).select(*plain, *[f"x{i}" for i in range(len(others))], *ends_of).first()
     counts = {c: held[f"n{i}"] for i, c in enumerate(names)}
-    ends = {c: (held[f"a{i}"], held[f"z{i}"]) for i, c in enumerate(names)}
-    plain = df.select(*[xs[c].alias(f"q{i}") for i, c in enumerate(names)])
-    asked = []
-    for i, c in enumerate(names):
-        n = counts[c]
-        for p in wanted[c] if n else ():
-            asked.append((i, math.floor(p * (n - 1)), math.ceil(p * (n - 1)), n))
     found: dict[tuple[str, int], float] = {}
-    if asked:
-        sketches = df.sparkSession.createDataFrame([tuple(held[f"s{i}"] for i in range(len(names)))], ", ".join(f"s{i} binary" for i in range(len(names))))
-        first = sketches.select(*[_ends(F.col(f"s{i}"), a, z, n, k).alias(f"e{j}") for j, (i, a, z, n) in enumerate(asked)]).first()
-        found = selected(plain, [_Bracket(f"q{i}", a, z, *first[f"e{j}"]) for j, (i, a, z, n) in enumerate(asked)], {f"q{i}": ends[c] for i, c in enumerate(names)}, k, kept)
+    few = [i for i, c in enumerate(names) if 0 < counts[c] <= kept and wanted[c]]
+    values = df.select(*[xs[c].alias(f"q{i}") for i, c in enumerate(names)])
+    if few:  # their values are no more than a bracket's
+        sorted_ = _collected(values, {i: F.col(f"q{i}").isNotNull() for i in few}, {i: f"q{i}" for i in few})
+        found |= {(f"q{i}", r): x for i in few for r, x in enumerate(sorted_[i])}
+    brackets = [_Bracket(f"q{i}", math.floor(p * (counts[names[i]] - 1)), math.ceil(p * (counts[names[i]] - 1)), *held[f"e{j}"]) for j, (i, p) in enumerate(asked) if counts[names[i]] > kept]
+    if brackets:
+        found |= selected(values, brackets, {f"q{i}": (held[f"a{i}"], held[f"z{i}"]) for i in range(len(names))}, k, kept)
     out: dict[str, list[float | None]] = {c: [] for c in names}
     for i, c in enumerate(names):
         for p in wanted[c]:

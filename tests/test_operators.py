@@ -7,7 +7,7 @@ from lumenframe import rules
 from lumenframe.api import Engine, NotFound
 from lumenframe.config import DEFAULT, Config
 from lumenframe.functions import scalars
-from lumenframe.operators import context, models, points, profile, quantiles, series, times
+from lumenframe.operators import context, models, neighbours, points, profile, quantiles, series, times
 from lumenframe.plans import analysis, explain
 from lumenframe.sources.readers import TableError, read_table, url_filename, with_row_index
 from lumenframe.streaming.counters import frozen_limits, outside, windowed_counts
@@ -57,10 +57,41 @@ def test_models_find_the_odd_one(spark):
     assert first == {r["id"]: r["iso_score"] for r in models.isolation_scores(df.repartition(5), "id", ["a", "b"], config).collect()}
     lof = {r["id"]: r["lof"] for r in models.local_outlier_factor(df, "id", ["a", "b"], config).collect()}
     assert max(lof, key=lof.get) == 400 and lof[400] > 1.5
-    sampled = models.local_outlier_factor(df, "id", ["a", "b"], Config(lof_rows=200)).filter("id = 400").first()["lof"]
+    sampled = models.local_outlier_factor(df, "id", ["a", "b"], Config(lof_rows=200, lof_switch=300)).filter("id = 400").first()["lof"]
     assert sampled > 1.5
 
 
+def brute_lof(x, k):
+    x = x.astype(np.float32).astype(float)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    np.fill_diagonal(d, np.inf)
+    near = np.argsort(d, axis=1, kind="stable")[:, :k]
+    dist = np.take_along_axis(d, near, 1)
+    lrd = 1 / (np.maximum(dist, dist[:, -1][near]).mean(1) + 1e-10)
+    return near, lrd[near].mean(1) / lrd
+
+
+@pytest.mark.parametrize("shape", ["normal", "copies", "few", "far"])
+def test_neighbours_equal_brute_force(spark, shape, monkeypatch):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(1500, 3))
+    if shape == "copies":  # a third of all rows in one place, and a grid full of ties
+        x[:500] = x[0]
+        x[500:1200] = rng.integers(0, 6, (700, 3))
+    if shape == "few":
+        x = x[:9]
+    if shape == "far":
+        x[:40] *= 1e4
+    monkeypatch.setattr(neighbours, "VISITORS", 100)
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "id bigint, a double, b double, c double").repartition(5)
+    k = min(20, len(x) - 1)
+    near, lof = brute_lof(x, k)
+    got = {r["key"]: [p["nb"] for p in r["near"]] for r in neighbours.nearest(df, df, "id", ["a", "b", "c"], k, same=True).collect()}
+    assert got == {i: n.tolist() for i, n in enumerate(near)}
+    factors = {r["id"]: r["lof"] for r in models.local_outlier_factor(df, "id", ["a", "b", "c"]).collect()}
+    assert np.allclose([factors[i] for i in range(len(x))], lof, rtol=1e-6)
+
+
 def test_types(spark):
     df = spark.createDataFrame([(i, f"2024-01-{i % 28 + 1:02d}", "x" * 30 + " y", i % 3 == 0, [1], float(i % 5)) for i in range(60)], "my_id int, day_text string, note string, flag boolean, nested array<int>, v double")
     assert profile.semantic_types(df) == {"my_id": "id-like", "day_text": "date", "note": "text", "flag": "numeric", "nested": "unsupported", "v": "numeric"}
@@ -157,7 +188,7 @@ def test_a_sketch_that_misses_is_found_out(spark, monkeypatch):
     wrong = iter([(700.0, 710.0), (20.0, 30.0)])
     real = quantiles._ends
     monkeypatch.setattr(quantiles, "_ends", lambda *a: F.array(*map(F.lit, w)) if (w := next(wrong, None)) else real(*a))
-    assert quantiles.quantiles(df, {"x": F.col("x")}, (0.5,))[0] == {"x": [499.5]}
+    assert quantiles.quantiles(df, {"x": F.col("x")}, (0.5,), kept=100)[0] == {"x": [499.5]}
 
 
 def test_runs_merge_as_a_tree(spark):
