@@ -267,13 +267,25 @@ def test_long_lines_of_few_blocks(spark):
 def test_long_lines_are_compared_whole(spark):
     words = ["".join(chr(97 + (i * i % 977 * p + i) % 26) for p in (1, 3, 7, 11, 17)) for i in range(300)]
     whole_lines(spark, words)
-    endless = " ".join(words * 15)  # beyond the length that edit distances are made for
+    endless = " ".join(words * 15)  # beyond the length that edit distances are made for: bounded by words
     rows = [(1, endless), (2, "a start " + endless), (3, " ".join(reversed(words * 15)))]
-    assert len(words * 12) < linededup.LONG_WORDS < len(words * 15)
+    assert len(endless) > linededup.EXACT
     got = {r["doc_id"]: r["gone"] for r in linededup.without_duplicate_lines(spark.createDataFrame(rows, "doc_id int, text string"), removed="gone").collect()}
     assert got == {1: 0, 2: 1, 3: 0}
 
 
+def test_lines_that_are_not_similar_stay(spark):
+    rng = np.random.default_rng(13)
+    some = lambda n: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), n))
+    rows = []
+    for i in range(40):  # nineteen short words in common, and a long one that isn't: similarity of about a half
+        short = " ".join(some(3) for _ in range(19))
+        rows += [(2 * i, f"{short} {some(80)}"), (2 * i + 1, f"{short} {some(80)}")]
+        assert edit_distance(rows[-1][1], rows[-2][1]) > 0.3 * 156
+    got = linededup.without_duplicate_lines(spark.createDataFrame(rows, "doc_id int, text string"), removed="gone").collect()
+    assert all(r["gone"] == 0 for r in got)
+
+
 def test_quoted_passages_and_keyless_rows(spark):
     passage = "a passage of a dozen words that many quite different lines quote in full"
     rng = np.random.default_rng(9)
