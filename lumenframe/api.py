@@ -39,7 +39,7 @@ class Dataset:
         return self.df.drop("row_index")
 
     def preview(self) -> dict:
-        return {"dataset_id": self.id, "filename": self.name, **metadata(self.data)}
+        return {"dataset_id": self.id, "filename": self.name, **metadata(self.df)}
 
     def profile(self) -> dict:
         with self._lock:
@@ -131,14 +131,15 @@ def build_anomalies(df: DataFrame, p: dict, config: Config, top_n: int) -> dict:
     coordinates = (g["latitude_column"], g["longitude_column"]) if g["latitude_column"] and g["longitude_column"] else None
     base_rows = analysis.series_base(work, "row_index", filled, order) if order else None
     events = written(analysis.events_of(work, "row_index", filled, order, config, base_rows)) if order else None
-    every = written(analysis.judged(work, "row_index", filled, order, contexts, coordinates, config, events).select("row_index", "raw", "score", "severity", "types", "category", "affected", "action", "methods", "why", "beyond", "iso_norm", "lof_norm"))
+    every = written(analysis.judged(work, "row_index", filled, order, contexts, coordinates, config, events).select("row_index", "raw", "score", "severity", "types", "category", "categories", "affected", "action", "methods", "why", "beyond", "iso_norm", "lof_norm"))
     # breakdowns are over all rows; only lists are over the visible ones
-    sums = every.agg(*[F.count_if(F.array_contains("types", t)).alias(t) for t in analysis.TYPES]).first().asDict()
+    counted = analysis.breakdowns(every).collect()
+    sums = {r["name"]: r["n"] for r in counted if r["what"] == "type"}
     categories = {c: sum(sums[t] for t in of) for c, of in analysis.CATEGORIES.items()} | {"data_quality": sum(quality.values())}
-    severities = {s: 0 for s in ("critical", "high", "medium", "low")} | {r[0]: r[1] for r in every.groupBy("severity").agg(F.count(F.lit(1))).collect()}
+    severities = {r["name"]: r["n"] for r in counted if r["what"] == "severity"}
     found = analysis.visible(every)
     first = [F.desc("score"), F.desc(F.size("types")), "row_index"]
-    records_of = df.select("row_index", F.to_json(F.struct(*[F.col(f"`{c}`") for c in data.columns])).alias("record"), (F.col(f"`{order}`") if order else F.lit(None)).cast("string").alias("time_text"))
+    records_of = df.select("row_index", analysis.record_of(df, ("row_index",)).alias("record"), (F.col(f"`{order}`") if order else F.lit(None)).cast("string").alias("time_text"))
 
     def described(few: DataFrame) -> DataFrame:
         """``few`` listed rows with their record, reasons and explanation; only ``few`` is broadcast."""
@@ -159,7 +160,7 @@ def build_anomalies(df: DataFrame, p: dict, config: Config, top_n: int) -> dict:
     records = []
     for r in rows:
         of_time = told.get(r["row_index"], [])
-        records.append({"key": r["row_index"], "score": r["score"], "severity": r["severity"], "category": r["category"], "types": r["types"], "methods": r["methods"], "reasons": r["reasons"], "time_details": of_time, "action": r["action"], "record": r["record"],
+        records.append({"key": r["row_index"], "score": r["score"], "severity": r["severity"], "category": r["category"], "categories": r["categories"], "types": r["types"], "methods": r["methods"], "reasons": r["reasons"], "time_details": of_time, "action": r["action"], "record": r["record"],
                         "affected_columns": r["affected"], "explanation": r["explanation"] + (f" Series: {of_time[0]}." if of_time else "")})
     return base | {
         "suspicious_count": sum(x["count"] for x in groups if x["category"] != "data_quality"), "severity_breakdown": severities, "anomaly_type_breakdown": sums | {f"data_quality_{k}": n for k, n in quality.items()}, "anomaly_category_breakdown": categories,

@@ -97,6 +97,11 @@ def explanation(time: Column | None = None, time_name: str = "") -> Column:
     return F.concat_ws(" ", *parts)
 
 
+def mix_of_groups(found: DataFrame) -> DataFrame:
+    """``category``, ``severity``, ``n`` and ``top`` (score)."""
+    return found.groupBy("category", "severity").agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("top"))
+
+
 def top_of_groups(found: DataFrame, items: str, n: int = TOP) -> DataFrame:
     """``category``, ``item``, ``n``: the most frequent elements of the array ``items`` in each category, ties by name."""
     counts = found.select("category", F.explode(items).alias("item")).groupBy("category", "item").agg(F.count(F.lit(1)).alias("n"))
@@ -112,7 +117,7 @@ def samples_of_groups(found: DataFrame, key: str, score: str = "score", n: int =
 
 def groups(found: DataFrame, key: str, quality: dict[str, int], described) -> list[dict]:
     """The groups of a report, empty ones left out: counts over all of ``found``, with samples that ``described`` explains."""
-    mix = found.groupBy("category", "severity").agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("top")).collect()
+    mix = mix_of_groups(found).collect()
     tops = {items: top_of_groups(found, items).orderBy(F.desc("n"), "item").collect() for items in ("affected", "types")}
     samples = described(samples_of_groups(found, key)).orderBy(F.desc("score"), key).collect()
     out = []

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,24 +9,10 @@ from ..config import DEFAULT
 from ..functions.scalars import severity
 from ..operators import context, geo, models, points, profile, series, times
 from ..session import written
-from . import analysis, explain
+from . import analysis, explain, path_queries  # noqa: F401  (registers its queries)
+from .registry import ORACLE_SQL, QUERIES, query  # noqa: F401
 from .views import DIRTY_GEO, DIRTY_ORDERS, POSITIONED, RUNS, SEASONAL, SPELLED, dirty_geo, dirty_orders, run_scores, seasonal_values, spelled_dates, table
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series.positioned(table(spark, sf_dir, "events"), [F.col("ts"), F.col("event_id")])
 

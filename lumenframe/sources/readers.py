@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import re
+from decimal import Decimal
 from urllib.parse import parse_qsl, unquote, urlsplit
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -30,12 +32,16 @@ def suffix_of(path: str) -> str:
 
 def clean_names(names: list[str]) -> list[str]:
     """Stripped, and told apart by .1, .2 where they repeat."""
-    seen: dict[str, int] = {}
-    out = []
-    for n in (x.strip() for x in names):
-        k = seen.get(n, 0)
-        seen[n] = k + 1
-        out.append(f"{n}.{k}" if k else n)
+    stripped = [x.strip() for x in names]
+    used, out = {n.lower() for n in stripped}, []
+    first: set[str] = set()
+    for n in stripped:
+        k, name = 0, n
+        while name.lower() in first or (k and name.lower() in used):  # Spark takes names that differ in case for one
+            k += 1
+            name = f"{n}.{k}"
+        first.add(name.lower())
+        out.append(name)
     return out
 
 
@@ -136,8 +142,26 @@ def with_row_index(df: DataFrame, name: str = "row_index") -> DataFrame:
 
 
 def metadata(df: DataFrame, preview: int = 10) -> dict:
-    rows = [{k: v.isoformat() if hasattr(v, "isoformat") else v for k, v in r.asDict(recursive=True).items()} for r in df.limit(preview).collect()]
-    return {"row_count": df.count(), "column_count": len(df.columns), "columns": df.columns, "preview": rows}
+    """Counts, names and the first rows (by ``row_index`` where there is one), as JSON has them."""
+    shown = [c for c in df.columns if c != "row_index"]
+    first = df.orderBy("row_index").limit(preview) if "row_index" in df.columns else df.limit(preview)
+    rows = [{k: json_safe(v) for k, v in r.asDict(recursive=True).items()} for r in first.select(*[F.col(f"`{c}`") for c in shown]).collect()]
+    return {"row_count": df.count(), "column_count": len(shown), "columns": shown, "preview": rows}
+
+
+def json_safe(v):
+    """``v`` as JSON can hold it: null for NaN and infinities, ISO text for times, numbers for decimals, hexadecimal text for bytes."""
+    if isinstance(v, dict):
+        return {str(k): json_safe(x) for k, x in v.items()}
+    if isinstance(v, (list, tuple)):
+        return [json_safe(x) for x in v]
+    if isinstance(v, float):
+        return v if math.isfinite(v) else None
+    if isinstance(v, Decimal):
+        return json_safe(float(v))
+    if isinstance(v, (bytes, bytearray)):
+        return bytes(v).hex()
+    return v.isoformat() if hasattr(v, "isoformat") else v
 
 
 def url_filename(url: str, hint: str | None = None) -> str:
