@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import threading
 import time
 import uuid
@@ -13,10 +14,10 @@ from pyspark.sql import functions as F
 
 from . import rules
 from .config import DEFAULT, Config
-from .operators import context, points, profile, times
+from .operators import profile, quality, times
 from .plans import analysis, explain
 from .report import html_report
-from .session import written
+from .session import Owner, into, owned, written
 from .sources.readers import capabilities, metadata, read_table, url_filename, with_row_index
 
 
@@ -29,11 +30,21 @@ class Dataset:
 
     def __init__(self, name: str, df: DataFrame, config: Config = DEFAULT):
         self.id, self.name, self.config = uuid.uuid4().hex, name, config
-        self.df = df if "row_index" in df.columns else with_row_index(df)
+        #: What the results are made from; it goes with close().
+        self.owner = Owner(df.sparkSession)
+        with into(self.owner):
+            self.df = df if "row_index" in df.columns else with_row_index(df)
         self._profile: dict | None = None
-        self._anomalies: dict[int, dict] = {}
+        self._analysis: Analysis | None = None
         self._lock = threading.RLock()
 
+    def close(self) -> None:
+        """Deletes the tables behind the results."""
+        with self._lock:
+            if self.owner.users:
+                self._analysis = None
+                self.owner.let_go()
+
     @property
     def data(self) -> DataFrame:
         return self.df.drop("row_index")
@@ -44,7 +55,8 @@ class Dataset:
     def profile(self) -> dict:
         with self._lock:
             if self._profile is None:
-                self._profile = build_profile(self.data)
+                with owned(self.df.sparkSession):
+                    self._profile = build_profile(self.data, self.config)
             return self._profile
 
     def anomalies(self, top_n: int | None = None, expected_columns: list[str] | None = None) -> dict:
@@ -53,9 +65,10 @@ class Dataset:
             raise ValueError("top_n is 1 to 1000")
         with self._lock:
             p = self.profile()
-            if top_n not in self._anomalies:
-                self._anomalies[top_n] = build_anomalies(self.df, p, self.config, top_n)
-            a = dict(self._anomalies[top_n])
+            if self._analysis is None:  # once, for every top_n
+                self._analysis = Analysis(self.df, p, self.config, self.owner)
+            with owned(self.df.sparkSession):
+                a = self._analysis.payload(top_n)
         return a | {"recommendations": rules.recommendations(p, a, expected_columns), "auto_fix_plan": rules.fix_plan(p, a, expected_columns)}
 
     def analyze(self, top_n: int | None = None, expected_columns: list[str] | None = None) -> dict:
@@ -69,28 +82,56 @@ class Dataset:
         return rules.apply_fixes(self.data, rules.fix_plan(p, {"records": []}), p)
 
 
-def build_profile(df: DataFrame) -> dict:
-    counts = profile.counts(df)
-    stats = {r["column"]: r for r in counts.collect()}
-    rows = next(iter(stats.values()))["rows"] if stats else df.count()
-    types = profile.semantic_types(df, counts)
-    of = lambda *kinds: [c for c, t in types.items() if t in kinds]
+def build_profile(df: DataFrame, config: Config = DEFAULT) -> dict:
+    """The profile of ``df``. All counts and shares come from one scan, samples, quantiles, distinct values, dates and places from
+    one or a few more each: the number of Spark jobs doesn't depend on the number of columns."""
+    plain, scan = profile._plain(df), profile.Scan(df)
+    kinds = {c: profile.kind_of(df, c) for c in plain}
+    for c in plain:
+        scan.add("missing", c, value=F.count_if(profile.is_missing(df, c)))
+        if config.distinct == "by need":
+            scan.add("distinct", c, value=profile.distinct_sketch(df, c))
+        if kinds[c] != "time":
+            x = profile.as_number(df, c)
+            for name, test in (("castable", x.isNotNull()), ("lat_share", x.between(-90, 90)), ("lon_share", x.between(-180, 180))):
+                scan.add(name, c, value=F.round(F.avg(test.cast("double")), 6))
+        if kinds[c] == "number":
+            scan.add("whole", c, value=profile.whole_share(df, c))
+            known = F.when(~profile.is_missing(df, c), F.col(f"`{c}`").cast("double"))
+            n = F.count(known)
+            scan.add("skew", c, value=F.skewness(known) * F.sqrt(n * (n - 1)) / F.nullif(n - 2, F.lit(0)))
+    got = scan.run()
+    rows = got["rows",]
+    present = {c: rows - got["missing", c] for c in plain}
+    if config.distinct == "by need":
+        unique = profile.distinct_by_need(df, {c: got["distinct", c] for c in plain}, present)
+    else:
+        unique = {r["column"]: (r["distinct_values"], True) for r in profile.distinct(df, plain).collect()} if plain else {}
+    stats = {c: {"rows": rows, "missing": got["missing", c], "distinct_values": unique[c][0]} for c in plain}
+    sampled = profile.samples(df, [c for c in plain if kinds[c] != "time"], 500)
+    types = profile.typed(df, stats, {c: got.get(("whole", c)) for c in plain}, {c: v[: profile.SAMPLE] for c, v in sampled.items()})
+    of = lambda *of_types: [c for c, t in types.items() if t in of_types]
     numeric, texts = [c for c in of("numeric")], of("categorical", "text")
-    skewed = {r["column"]: round(r["skewness"], 3) for r in (profile.skew(df, numeric).collect() if numeric else []) if r["skewness"] is not None and abs(r["skewness"]) > 1}
+    skewed = {c: round(got["skew", c], 3) for c in numeric if got.get(("skew", c)) is not None and math.isfinite(got["skew", c]) and abs(got["skew", c]) > 1}
     outliers = {r["column"]: r["outliers"] for r in (profile.iqr_outliers(df, numeric).collect() if numeric else [])}
-    mixed = {r["column"]: r["not_castable"] for r in (profile.type_mismatch(df, texts).collect() if texts else []) if r["castable_share"] is not None and 0.2 <= r["castable_share"] < 0.95}
-    dates = {c: present - valid for c, (present, valid) in times.counted(df, of("date")).items()}
-    plain = [c for c in stats if profile.kind_of(df, c) != "time"]
-    lat, lon = profile.pick_coordinates(profile.geo_scores(df, plain).collect()) if plain else (None, None)
+    mixed = {}
+    for c in texts:
+        castable = (got["castable", c] or 0.0) * rows / present[c] if present[c] and kinds[c] == "text" else 1.0
+        if 0.2 <= castable < 0.95:
+            mixed[c] = present[c] - round((got["castable", c] or 0.0) * rows)
+    dates = {c: there - valid for c, (there, valid) in times.counted(df, of("date")).items()}
+    places = [{"column": c, **{k: got[k, c] for k in ("castable", "lat_share", "lon_share")}} for c in plain if kinds[c] != "time"]
+    lat, lon = profile.pick_coordinates(places)
     summary = dict.fromkeys(("valid_coordinate_pairs", "invalid_coordinate_pairs", "missing_coordinate_pairs", "invalid_latitude_values", "invalid_longitude_values"), 0) | {"bbox": None}
     if lat and lon:
         g = profile.geo_summary(df, lat, lon).first().asDict()
         summary = {"valid_coordinate_pairs": g["valid_pairs"], "invalid_coordinate_pairs": g["invalid_pairs"], "missing_coordinate_pairs": g["missing_pairs"], "invalid_latitude_values": g["invalid_latitude"], "invalid_longitude_values": g["invalid_longitude"], "bbox": {k: g[k] for k in ("min_lat", "max_lat", "min_lon", "max_lon")}}
-    shapes = {}
-    for c, values in profile.samples(df, texts, 500).items():
-        like = [v for v in values if v.strip().upper().startswith(tuple(profile.GEOMETRIES.split("|"))) and "(" in v]
-        if values and len(like) >= 0.6 * len(values):
-            shapes[c] = profile.geometry_counts(df, c).first()["invalid_geometries"]
+    likely = []
+    for c in texts:
+        like = [v for v in sampled.get(c, []) if v.strip().upper().startswith(tuple(profile.GEOMETRIES.split("|"))) and "(" in v]
+        if sampled.get(c) and len(like) >= 0.6 * len(sampled[c]):
+            likely.append(c)
+    shapes = profile.invalid_geometries(df, likely)
     summary |= {"has_geospatial_data": bool((lat and lon) or shapes), "latitude_column": lat, "longitude_column": lon, "geometry_columns": list(shapes), "invalid_geometry_values": sum(shapes.values())}
     health = []
     high = [c for c in texts if stats[c]["distinct_values"] > 50 and stats[c]["distinct_values"] > 0.5 * rows]
@@ -101,71 +142,85 @@ def build_profile(df: DataFrame) -> dict:
             ("missing values", s["missing"]), ("constant", c in constant), ("high cardinality", c in high), ("invalid dates", dates.get(c)), ("type mismatch", mixed.get(c)), ("skewed", c in skewed), ("outliers", outliers.get(c)),
             ("invalid coordinates", c in (lat, lon) and (summary["invalid_latitude_values"] if c == lat else summary["invalid_longitude_values"])), ("invalid geometries", shapes.get(c))) if on]
         status = "critical" if pct >= 30 or len(issues) >= 3 else "warning" if issues else "ok"
-        health.append({"column": c, "type": types[c], "missing_pct": pct, "unique_count": s["distinct_values"], "status": status, "issues": issues})
+        health.append({"column": c, "type": types[c], "missing_pct": pct, "unique_count": s["distinct_values"], "unique_exact": unique[c][1], "status": status, "issues": issues})
     return {
         "row_count": rows, "column_count": len(df.columns), "column_types": types, "missing_values": {c: {"count": s["missing"], "pct": round(100 * s["missing"] / rows, 2) if rows else 0.0} for c, s in stats.items()},
         "duplicate_rows": profile.duplicate_rows(df).first()[0], "constant_columns": constant, "high_cardinality_columns": high, "invalid_dates": dates, "skewed_numeric_columns": skewed,
         "outlier_counts": outliers, "type_mismatch_counts": mixed, "geospatial_summary": summary, "column_health": health}
 
 
-def build_anomalies(df: DataFrame, p: dict, config: Config, top_n: int) -> dict:
-    """Over ``df`` with ``row_index``: only breakdowns and the top rows reach the driver."""
-    types, g = p["column_types"], p["geospatial_summary"]
-    data = df.drop("row_index")
-    filled = [c for c in types if types[c] == "numeric" and p["missing_values"][c]["count"] < p["row_count"]]
-    kinds = {c: t for c, t in types.items() if t in ("categorical", "text")}
-    distinct = {h["column"]: h["unique_count"] for h in p["column_health"]}
-    spellings = [c for c in kinds if distinct[c] <= 200]
-    quality = {
-        "missing_values": sum(m["count"] for m in p["missing_values"].values()), "duplicates": p["duplicate_rows"],
-        "impossible_values": sum(r["impossible"] for r in points.impossible(data, filled).collect()) if filled else 0,
-        "inconsistent_categories": sum(context.inconsistent(data, c).first()[0] for c in spellings), "extreme_skew": len(p["skewed_numeric_columns"]), "invalid_dates": sum(p["invalid_dates"].values()),
-        "invalid_geospatial": sum(g[k] for k in ("invalid_coordinate_pairs", "missing_coordinate_pairs", "invalid_latitude_values", "invalid_longitude_values"))}
-    trained = min(p["row_count"], config.lof_rows) if p["row_count"] > config.lof_switch else p["row_count"]
-    base = {"total_rows": p["row_count"], "quality_anomalies": quality, "analysis_metadata": {"analysis_mode": "full", "approximate": p["row_count"] > config.lof_switch, "sampled_rows": trained, "sampled_ratio": round(trained / max(1, p["row_count"]), 6)}}
-    if not filled:
-        return base | {"suspicious_count": 0, "severity_breakdown": {"low": p["row_count"]}, "anomaly_type_breakdown": {}, "anomaly_category_breakdown": {}, "anomaly_groups": [], "time_series_events": [], "anomaly_score_distribution": [], "records": []}
-    order = times.best_time(df, [c for c, t in types.items() if t == "date"])
-    work = times.ordered(df, order) if order else df
-    contexts = [c for c, t in types.items() if t == "categorical" and 1 < distinct[c] <= config.context_values][: config.context_columns]
-    coordinates = (g["latitude_column"], g["longitude_column"]) if g["latitude_column"] and g["longitude_column"] else None
-    base_rows = analysis.series_base(work, "row_index", filled, order) if order else None
-    events = written(analysis.events_of(work, "row_index", filled, order, config, base_rows)) if order else None
-    every = written(analysis.judged(work, "row_index", filled, order, contexts, coordinates, config, events).select("row_index", "raw", "score", "severity", "types", "category", "categories", "affected", "action", "methods", "why", "beyond", "iso_norm", "lof_norm"))
-    # breakdowns are over all rows; only lists are over the visible ones
-    counted = analysis.breakdowns(every).collect()
-    sums = {r["name"]: r["n"] for r in counted if r["what"] == "type"}
-    categories = {c: sum(sums[t] for t in of) for c, of in analysis.CATEGORIES.items()} | {"data_quality": sum(quality.values())}
-    severities = {r["name"]: r["n"] for r in counted if r["what"] == "severity"}
-    found = analysis.visible(every)
-    first = [F.desc("score"), F.desc(F.size("types")), "row_index"]
-    records_of = df.select("row_index", analysis.record_of(df, ("row_index",)).alias("record"), (F.col(f"`{order}`") if order else F.lit(None)).cast("string").alias("time_text"))
-
-    def described(few: DataFrame) -> DataFrame:
-        """``few`` listed rows with their record, reasons and explanation; only ``few`` is broadcast."""
-        joined = records_of.join(F.broadcast(few), "row_index").withColumn("reasons", explain.reasons(config))
-        return joined.withColumn("explanation", explain.explanation(F.col("time_text") if order else None, order or ""))
-
-    groups = explain.groups(found, "row_index", quality, described)
-    rows = described(found.orderBy(*first).limit(top_n)).orderBy(*first).collect()
-    shown: list = []
-    if order:
-        listed = written(analysis.listed(events, filled, config))
-        places = {c: i for i, c in enumerate(filled)}
-        shown = sorted(explain.enriched(listed, base_rows, order, [c for c in filled if c != order]).collect(), key=lambda e: (places[e["column"]], analysis.KINDS.index(e["kind"]), e["pos"]))
-    told: dict[int, list[str]] = {}
-    for e in shown:
-        if len(told.setdefault(e["row_index"], [])) < 2:
-            told[e["row_index"]].append(e["message"])
-    records = []
-    for r in rows:
-        of_time = told.get(r["row_index"], [])
-        records.append({"key": r["row_index"], "score": r["score"], "severity": r["severity"], "category": r["category"], "categories": r["categories"], "types": r["types"], "methods": r["methods"], "reasons": r["reasons"], "time_details": of_time, "action": r["action"], "record": r["record"],
-                        "affected_columns": r["affected"], "explanation": r["explanation"] + (f" Series: {of_time[0]}." if of_time else "")})
-    return base | {
-        "suspicious_count": sum(x["count"] for x in groups if x["category"] != "data_quality"), "severity_breakdown": severities, "anomaly_type_breakdown": sums | {f"data_quality_{k}": n for k, n in quality.items()}, "anomaly_category_breakdown": categories,
-        "anomaly_groups": groups,
-        "time_series_events": [e.asDict() for e in shown], "anomaly_score_distribution": [r["score"] for r in every.orderBy(F.desc("raw"), "row_index").limit(400).collect()], "records": records}
+class Analysis:
+    """All that the detectors found in ``df`` (with ``row_index``). What they write on their way is deleted once the labelled rows are
+    written for ``owner``; a payload only lists them."""
+
+    def __init__(self, df: DataFrame, p: dict, config: Config, owner: Owner):
+        with owned(df.sparkSession):
+            self._judge(df, p, config, owner)
+
+    def _judge(self, df: DataFrame, p: dict, config: Config, owner: Owner) -> None:
+        self.df, self.p, self.config = df, p, config
+        types, g = p["column_types"], p["geospatial_summary"]
+        data = df.drop("row_index")
+        filled = [c for c in types if types[c] == "numeric" and p["missing_values"][c]["count"] < p["row_count"]]
+        kinds = {c: t for c, t in types.items() if t in ("categorical", "text")}
+        distinct = {h["column"]: h["unique_count"] for h in p["column_health"]}
+        spellings = [c for c in kinds if distinct[c] <= 200]
+        faulty = quality.summary(written(quality.by_column(data, filled, spellings, [c for c, t in types.items() if t == "date"], (g["latitude_column"], g["longitude_column"]) if g["latitude_column"] and g["longitude_column"] else None))).collect()  # seven rows
+        issues = {r["issue"]: {"count": r["n"], "columns": r["columns"]} for r in faulty}
+        counts = {k: v["count"] for k, v in issues.items()}
+        trained = min(p["row_count"], config.lof_rows) if p["row_count"] > config.lof_switch else p["row_count"]
+        base = {"total_rows": p["row_count"], "quality_anomalies": issues, "analysis_metadata": {"analysis_mode": "full", "approximate": p["row_count"] > config.lof_switch, "sampled_rows": trained, "sampled_ratio": round(trained / max(1, p["row_count"]), 6)}}
+        self.base, self.order, self.every, self.counts, self.filled = base, None, None, counts, filled
+        if not filled:
+            return
+        order = self.order = times.best_time(df, [c for c, t in types.items() if t == "date"])
+        work = times.ordered(df, order) if order else df
+        contexts = [c for c, t in types.items() if t == "categorical" and 1 < distinct[c] <= config.context_values][: config.context_columns]
+        coordinates = (g["latitude_column"], g["longitude_column"]) if g["latitude_column"] and g["longitude_column"] else None
+        base_rows = analysis.series_base(work, "row_index", filled, order) if order else None
+        events = written(analysis.events_of(work, "row_index", filled, order, config, base_rows)) if order else None
+        self.every = owner.written(analysis.judged(work, "row_index", filled, order, contexts, coordinates, config, events).select("row_index", "raw", "score", "severity", "types", "category", "categories", "affected", "action", "methods", "why", "beyond", "iso_norm", "lof_norm"))
+        self.shown: list = []
+        if order:
+            listed = written(analysis.listed(events, filled, config))
+            places = {c: i for i, c in enumerate(filled)}
+            self.shown = sorted(explain.enriched(listed, base_rows, order, [c for c in filled if c != order]).collect(), key=lambda e: (places[e["column"]], analysis.KINDS.index(e["kind"]), e["pos"]))
+
+    def payload(self, top_n: int) -> dict:
+        """Breakdowns over all rows, groups, events, and the ``top_n`` most suspicious rows: only these reach the driver."""
+        df, config, order, every, counts, shown, base = self.df, self.config, self.order, self.every, self.counts, self.shown if self.every is not None else [], self.base
+        p, data = self.p, self.df.drop("row_index")
+        if self.every is None:
+            return base | {"suspicious_count": 0, "severity_breakdown": {"low": p["row_count"]}, "anomaly_type_breakdown": {}, "anomaly_category_breakdown": {}, "anomaly_groups": [], "time_series_events": [], "anomaly_score_distribution": [], "records": []}
+        # breakdowns are over all rows; only lists are over the visible ones
+        counted = analysis.breakdowns(every).collect()
+        sums = {r["name"]: r["n"] for r in counted if r["what"] == "type"}
+        categories = {c: sum(sums[t] for t in of) for c, of in analysis.CATEGORIES.items()} | {"data_quality": sum(counts.values())}
+        severities = {r["name"]: r["n"] for r in counted if r["what"] == "severity"}
+        found = analysis.visible(every)
+        first = [F.desc("score"), F.desc(F.size("types")), "row_index"]
+        records_of = df.select("row_index", analysis.record_of(df, ("row_index",)).alias("record"), (F.col(f"`{order}`") if order else F.lit(None)).cast("string").alias("time_text"))
+
+        def described(few: DataFrame) -> DataFrame:
+            """``few`` listed rows with their record, reasons and explanation; only ``few`` is broadcast."""
+            joined = records_of.join(F.broadcast(few), "row_index").withColumn("reasons", explain.reasons(config))
+            return joined.withColumn("explanation", explain.explanation(F.col("time_text") if order else None, order or ""))
+
+        groups = explain.groups(found, "row_index", counts, described)
+        rows = described(found.orderBy(*first).limit(top_n)).orderBy(*first).collect()
+        told: dict[int, list[str]] = {}
+        for e in shown:
+            if len(told.setdefault(e["row_index"], [])) < 2:
+                told[e["row_index"]].append(e["message"])
+        records = []
+        for r in rows:
+            of_time = told.get(r["row_index"], [])
+            records.append({"key": r["row_index"], "score": r["score"], "severity": r["severity"], "category": r["category"], "categories": r["categories"], "types": r["types"], "methods": r["methods"], "reasons": r["reasons"], "time_details": of_time, "action": r["action"], "record": r["record"],
+                            "affected_columns": r["affected"], "explanation": r["explanation"] + (f" Series: {of_time[0]}." if of_time else "")})
+        return base | {
+            "suspicious_count": sum(x["count"] for x in groups if x["category"] != "data_quality"), "severity_breakdown": severities, "anomaly_type_breakdown": sums | {f"data_quality_{k}": n for k, n in counts.items()}, "anomaly_category_breakdown": categories,
+            "anomaly_groups": groups,
+            "time_series_events": [e.asDict() for e in shown], "anomaly_score_distribution": [r["score"] for r in every.orderBy(F.desc("raw"), "row_index").limit(400).collect()], "records": records}
 
 
 @dataclass
@@ -200,6 +255,11 @@ class Engine:
         name = url_filename(url, filename)
         return self.register(name, read_table(self.spark, staged, max_mb=self.config.max_mb))
 
+    def remove(self, dataset_id: str) -> None:
+        """Forgets a table and deletes what its results were made from."""
+        self.get(dataset_id).close()
+        del self._tables[dataset_id]
+
     def get(self, dataset_id: str) -> Dataset:
         if dataset_id not in self._tables:
             raise NotFound(dataset_id)

@@ -29,6 +29,8 @@ class Config:
     #: Up to so many rows all judge each other; larger tables are judged against lof_rows of theirs.
     lof_switch: int = 120_000
     lof_rows: int = 100_000
+    #: How profiles count distinct values: "exact", or "by need": sketches, and exact counts only where a threshold is near.
+    distinct: str = "exact"
     seed: int = 42
     top_n: int = 100
     #: Larger inputs are refused; 0 or less: none are.

@@ -4,9 +4,11 @@ aggregates over it; only samples of up to 300 values a column reach the driver."
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,16 +38,73 @@ def kind_of(df: DataFrame, name: str) -> str:
     return "number" if isinstance(t, (T.NumericType, T.BooleanType)) else "text"
 
 
+class Scan:
+    """The aggregates of several operators, in one scan."""
+
+    def __init__(self, df: DataFrame):
+        self.df, self.parts = df, {("rows",): F.count(F.lit(1))}
+
+    def add(self, *key: str, value) -> None:
+        self.parts[key] = value
+
+    def run(self) -> dict[tuple[str, ...], object]:
+        row = self.df.agg(*[x.alias(f"a{i}") for i, x in enumerate(self.parts.values())]).first()
+        return dict(zip(self.parts, row, strict=True))
+
+
+def is_missing(df: DataFrame, c: str):
+    return col(c).isNull() | F.isnan(col(c)) if isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType)) else col(c).isNull()
+
+
+def distinct(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``column`` and ``distinct_values`` (exact, missing ones are none). Each column is a scan of its own, pruned to it, and its values are
+    made distinct in each task before they meet: nothing is multiplied by the number of columns."""
+    parts = [df.select(F.when(~is_missing(df, c), col(c)).alias("v")).distinct().agg(F.lit(c).alias("column"), F.count("v").alias("distinct_values")) for c in columns]
+    return reduce(DataFrame.unionAll, parts)
+
+
+#: Size of a distinct sketch as a power of two, and the standard errors within which its count is taken as sure.
+SKETCH, ERRORS = 14, 4
+
+
+def distinct_sketch(df: DataFrame, c: str):
+    value = F.when(~is_missing(df, c), col(c).cast("bigint") if isinstance(df.schema[c].dataType, T.IntegralType) else col(c).cast("string"))
+    return F.hll_sketch_estimate(F.hll_sketch_agg(value, SKETCH))
+
+
+def distinct_by_need(df: DataFrame, estimates: dict[str, int], present: dict[str, int], whole: tuple[int, ...] = (1, 25, 30, 50, 200), shares: tuple[float, ...] = (0.5, 0.9)) -> dict[str, tuple[int, bool]]:
+    """Distinct values of each column, and whether they are exact. An estimate stays where its error bounds lie on one side of every
+    threshold of the analysis; only columns that straddle one are counted, in one job."""
+    off = ERRORS * 1.04 / 2 ** (SKETCH / 2)
+
+    def sure(c: str) -> bool:
+        low, high = estimates[c] * (1 - off), min(estimates[c] * (1 + off), present[c])
+        return high > max(whole) and low > max(whole) and not any(low <= s * present[c] <= high for s in shares)
+
+    out = {c: (min(n, present[c]), True) for c, n in estimates.items() if present[c] == 0}
+    unsure = [c for c in estimates if c not in out and not sure(c)]
+    out |= {c: (min(n, present[c]), False) for c, n in estimates.items() if c not in out and c not in unsure}
+    if unsure:
+        # a row for each value of these columns; most have few, which meet once for each task
+        cells = [F.struct(F.lit(i).alias("i"), _canonical(df, c).alias("v")) for i, c in enumerate(unsure)]
+        kinds = df.select(F.explode(F.array(*cells)).alias("s")).filter("s.v is not null").select("s.i", "s.v").distinct().groupBy("i").agg(F.count(F.lit(1)).alias("n"))
+        exact = {r["i"]: r["n"] for r in kinds.collect()}
+        out |= {c: (exact.get(i, 0), True) for i, c in enumerate(unsure)}
+    return out
+
+
+def _canonical(df: DataFrame, c: str):
+    """A text that is the same for equal values only; null for missing ones."""
+    floats = isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType))
+    return F.when(~is_missing(df, c), F.when(col(c) == 0, F.lit("0.0")).otherwise(col(c).cast("string")) if floats else col(c).cast("string"))
+
+
 def counts(df: DataFrame) -> DataFrame:
-    """One row for each column: ``column``, ``missing``, ``missing_pct``, ``distinct_values``."""
+    """One row for each column: ``column``, ``missing``, ``missing_pct``, ``distinct_values``, ``rows``."""
     names = _plain(df)
-    parts = [F.count(F.lit(1)).alias("n")]
-    for i, c in enumerate(names):
-        missing = col(c).isNull() | F.isnan(col(c)) if isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType)) else col(c).isNull()
-        parts += [F.count_if(missing).alias(f"m{i}"), F.count_distinct(F.when(~missing, col(c))).alias(f"d{i}")]
-    wide = df.agg(*parts)
-    rows = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"m{i}").alias("missing"), F.round(100 * F.col(f"m{i}") / F.col("n"), 2).alias("missing_pct"), F.col(f"d{i}").alias("distinct_values")) for i, c in enumerate(names)])
-    return wide.select("n", F.explode(rows).alias("r")).select("r.*", F.col("n").alias("rows"))
+    wide = df.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(is_missing(df, c)).alias(f"m{i}") for i, c in enumerate(names)])
+    rows = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"m{i}").alias("missing"), F.round(100 * F.col(f"m{i}") / F.col("n"), 2).alias("missing_pct")) for i, c in enumerate(names)])
+    return wide.select("n", F.explode(rows).alias("r")).join(F.broadcast(distinct(df, names)), F.col("r.column") == F.col("column")).select("r.column", "r.missing", "r.missing_pct", "distinct_values", F.col("n").alias("rows"))  # a row for each column
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
@@ -87,8 +146,35 @@ def invalid_dates(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def samples(df: DataFrame, columns: list[str], n: int = SAMPLE) -> dict[str, list[str]]:
-    """Up to ``n`` non-null values of each column as text."""
-    return {c: [r[0] for r in df.filter(col(c).isNotNull()).select(col(c).cast("string")).limit(n).collect()] for c in columns}
+    """Up to ``n`` non-null values of each column as text, the first that come: from the table's head, and for columns that are sparse there
+    from each task's first ones. Two jobs at most, whatever the number of columns."""
+    if not columns:
+        return {}
+    texts = df.select(*[col(c).cast("string").alias(f"c{i}") for i, c in enumerate(columns)])
+    head = texts.limit(2 * n).collect()
+    found = {c: [r[i] for r in head if r[i] is not None][:n] for i, c in enumerate(columns)}
+    sparse = [i for i, c in enumerate(columns) if len(found[c]) < n]
+    if not sparse or len(head) < 2 * n:
+        return found
+
+    def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left = dict.fromkeys(range(len(sparse)), n)
+        for b in batches:
+            for i in list(left):
+                values = b.column(i).drop_null().slice(0, left[i])
+                if len(values):
+                    yield pa.record_batch([pa.array([sparse[i]] * len(values), pa.int32()), values], names=["i", "v"])
+                    left[i] -= len(values)
+                    if not left[i]:
+                        del left[i]
+            if not left:
+                return
+
+    rows = texts.select(*[f"c{i}" for i in sparse]).mapInArrow(firsts, "i int, v string").select("i", "v", F.monotonically_increasing_id().alias("at"))
+    kept = rows.groupBy("i").agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("at", "v"))), lambda x: x["v"]), 1, n).alias("v"))  # n of each task and column
+    for r in kept.collect():
+        found[columns[r["i"]]] = r["v"]
+    return found
 
 
 def looks_date(name: str, values: list[str]) -> bool:
@@ -104,13 +190,28 @@ def looks_date(name: str, values: list[str]) -> bool:
     return hint or marked >= 0.6 or times.dropna().dt.year.between(1900, 2100).mean() >= 0.7
 
 
-def semantic_types(df: DataFrame, table: DataFrame | None = None) -> dict[str, str]:
-    """``date``, ``id-like``, ``numeric``, ``text`` or ``categorical`` for each plain column,
-    ``unsupported`` for nested ones. ``table`` is counts(df), if at hand."""
+def whole_share(df: DataFrame, c: str):
+    """The share of a number column's values that are whole."""
+    return F.avg(F.when(col(c).isNotNull(), (F.abs(F.pmod(col(c).cast("double"), F.lit(1.0))) < 1e-8).cast("int")))
+
+
+def semantic_types(df: DataFrame) -> dict[str, str]:
+    """``date``, ``id-like``, ``numeric``, ``text`` or ``categorical`` for each plain column, ``unsupported`` for nested ones."""
+    plain, scan = _plain(df), Scan(df)
+    for c in plain:
+        scan.add("missing", c, value=F.count_if(is_missing(df, c)))
+        scan.add("distinct", c, value=distinct_sketch(df, c))
+        if kind_of(df, c) == "number":
+            scan.add("whole", c, value=whole_share(df, c))
+    got = scan.run()
+    found = distinct_by_need(df, {c: got["distinct", c] for c in plain}, {c: got["rows",] - got["missing", c] for c in plain})
+    stats = {c: {"rows": got["rows",], "missing": got["missing", c], "distinct_values": found[c][0]} for c in plain}
+    return typed(df, stats, {c: got.get(("whole", c)) for c in plain}, samples(df, [c for c in plain if kind_of(df, c) != "time"]))
+
+
+def typed(df: DataFrame, stats: dict[str, dict], whole: dict[str, float | None], values: dict[str, list[str]]) -> dict[str, str]:
+    """The types from counts, shares of whole numbers and samples."""
     plain = _plain(df)
-    stats = {r["column"]: r for r in (table or counts(df)).collect()}
-    whole = df.agg(*[F.avg(F.when(col(c).isNotNull(), (F.abs(F.pmod(col(c).cast("double"), F.lit(1.0))) < 1e-8).cast("int"))).alias(c) for c in plain if kind_of(df, c) == "number"] or [F.lit(0)]).first()
-    values = samples(df, [c for c in plain if kind_of(df, c) != "time"])
     out = {}
     for f in df.schema.fields:
         c = f.name
@@ -138,12 +239,17 @@ def semantic_types(df: DataFrame, table: DataFrame | None = None) -> dict[str, s
     return out
 
 
+def as_number(df: DataFrame, c: str):
+    """Null for what isn't a number; only texts have to be parsed."""
+    return F.when(~is_missing(df, c), col(c).cast("double")) if kind_of(df, c) == "number" else number(col(c))
+
+
 def geo_scores(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """``column``, ``castable`` (share of all rows), ``lat_share``, ``lon_share`` (of castable ones) for each column."""
     names = columns or [c for c in _plain(df) if kind_of(df, c) != "time"]
     parts = []
     for i, c in enumerate(names):
-        x = number(col(c))
+        x = as_number(df, c)
         parts += [F.avg(x.isNotNull().cast("double")).alias(f"c{i}"), F.avg(x.between(-90, 90).cast("double")).alias(f"a{i}"), F.avg(x.between(-180, 180).cast("double")).alias(f"o{i}")]
     wide = df.agg(*parts)
     return wide.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.round(f"c{i}", 6).alias("castable"), F.round(f"a{i}", 6).alias("lat_share"), F.round(f"o{i}", 6).alias("lon_share")) for i, c in enumerate(names)])).alias("r")).select("r.*")
@@ -185,6 +291,16 @@ def geometry_counts(df: DataFrame, column: str) -> DataFrame:
     return df.agg(F.count_if(like).alias("geometries"), F.count_if(col(column).isNotNull() & ~like).alias("invalid_geometries"))
 
 
+def invalid_geometries(df: DataFrame, columns: list[str]) -> dict[str, int]:
+    """The invalid values of each geometry column, all in one scan."""
+    scan = Scan(df)
+    for c in columns:
+        value = F.upper(F.trim(col(c)))
+        scan.add(c, value=F.count_if(col(c).isNotNull() & ~(value.rlike(f"^({GEOMETRIES})") & value.contains("("))))
+    got = scan.run() if columns else {}
+    return {c: got[c,] for c in columns}
+
+
 def column_health(parts: list[DataFrame]) -> DataFrame:
     """``column``, ``issues`` and ``status`` from (column, issue) rows and their missing share."""
     rows = reduce(DataFrame.unionByName, parts)

@@ -43,7 +43,7 @@ def by_column(df: DataFrame, numeric: list[str], categories: list[str], dates: l
 
 
 def summary(parts: DataFrame) -> DataFrame:
-    """``issue``, ``n``, ``columns`` (names, comma-joined) of all seven issues, zeros included. ``parts`` is by_column(): a row for each column."""
-    found = parts.groupBy("issue").agg(F.sum("n").alias("n"), F.array_join(F.array_sort(F.collect_set(F.nullif("column", F.lit("")))), ",").alias("columns"))
+    """``issue``, ``n``, ``columns`` (names in order) of all seven issues, zeros included. ``parts`` is by_column(): a row for each column."""
+    found = parts.groupBy("issue").agg(F.sum("n").alias("n"), F.array_sort(F.collect_set(F.nullif("column", F.lit("")))).alias("columns"))
     every = parts.sparkSession.createDataFrame([(x,) for x in ISSUES], "issue string")
-    return every.join(F.broadcast(found), "issue", "left").select("issue", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("columns", F.lit("")).alias("columns"))  # seven rows
+    return every.join(F.broadcast(found), "issue", "left").select("issue", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("columns", F.array().cast("array<string>")).alias("columns"))  # seven rows

@@ -177,4 +177,4 @@ UNION ALL SELECT 'invalid_geospatial', count(*) FILTER (bad) + count(*) FILTER (
 def quality_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All seven issues with the columns that have them."""
     df = _placed_orders(spark, sf_dir)
-    return quality.summary(quality.by_column(df, ["item_qty", "disc_pct", "steep"], ["o_orderstatus", "code_mix", "const_col"], ["date_text", "o_orderdate"], ("latitude", "longitude")))
+    return quality.summary(quality.by_column(df, ["item_qty", "disc_pct", "steep"], ["o_orderstatus", "code_mix", "const_col"], ["date_text", "o_orderdate"], ("latitude", "longitude"))).withColumn("columns", F.array_join("columns", ","))

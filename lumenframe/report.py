@@ -19,7 +19,7 @@ def html_report(name: str, profile: dict, anomalies: dict) -> str:
         ("Severity", _table(["severity", "rows"], anomalies["severity_breakdown"].items())),
         ("Groups", _table(["category", "rows", "top score", "columns", "signals"], [[x["category"], x["count"], x["top_score"], ", ".join(c["name"] for c in x["top_affected_columns"]), ", ".join(s["name"] for s in x["signals"])] for x in anomalies["anomaly_groups"]])),
         ("Types", _table(["type", "rows"], anomalies["anomaly_type_breakdown"].items())),
-        ("Data quality", _table(["issue", "count"], anomalies["quality_anomalies"].items())),
+        ("Data quality", _table(["issue", "count", "columns"], [[k, v["count"], ", ".join(v["columns"])] for k, v in anomalies["quality_anomalies"].items()])),
         ("Coordinates", _table(["latitude", "longitude", "valid", "invalid", "missing"], [[g["latitude_column"], g["longitude_column"], g["valid_coordinate_pairs"], g["invalid_coordinate_pairs"], g["missing_coordinate_pairs"]]] if g["has_geospatial_data"] else [])),
         ("Events", _table(["column", "kind", "position", "time", "deviation", "threshold", "what happened"], [[e[k] for k in ("column", "kind", "pos", "timestamp", "deviation", "threshold", "message")] for e in anomalies["time_series_events"][:40]])),
         ("Missing values", _table(["column", "count", "%"], [[c, m["count"], m["pct"]] for c, m in missing if m["count"]])),

@@ -9,6 +9,10 @@ from collections import Counter
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .operators import times
+from .operators.profile import is_missing
+from .operators.quantiles import medians
+
 
 def _item(issue: str, columns: list[str], action: str, safe: bool, impact: str) -> dict:
     return {"issue": issue, "columns": columns, "recommended_action": action, "auto_fix_safe": safe, "expected_impact": impact}
@@ -97,19 +101,22 @@ def recommendations(profile: dict, anomalies: dict, expected: list[str] | None =
 
 def apply_fixes(df: DataFrame, plan: list[dict], profile: dict) -> DataFrame:
     """``df`` after the plan's safe steps: duplicates, constant columns, few missing rows, filled
-    medium gaps with a marking column."""
+    medium gaps with a marking column, and dates parsed, those that are none set to null. NaN is missing too."""
     for step in (p for p in plan if p["auto_fix_safe"]):
         cols, what = step["columns"], step["issue"]
         if "duplicate" in what:
             df = df.dropDuplicates()
         elif what == "constant columns":
             df = df.drop(*cols)
+        elif "invalid dates" in what:
+            for c in cols:
+                df = times.ordered(df, c)
         elif "missing" in what and cols:
             c = cols[0]
             if step["expected_impact"] == "low":
-                df = df.filter(F.col(f"`{c}`").isNotNull())
+                df = df.filter(~is_missing(df, c))
             else:
                 numeric = profile["column_types"].get(c) == "numeric"
-                value = df.agg(F.percentile(F.col(f"`{c}`").cast("double"), 0.5) if numeric else F.mode(f"`{c}`")).first()[0]
-                df = df.withColumn(f"{c}_was_missing", F.col(f"`{c}`").isNull()).withColumn(c, F.coalesce(F.col(f"`{c}`"), F.lit(value)))
+                value = medians(df, {c: F.col(f"`{c}`")})[c] if numeric else df.agg(F.mode(f"`{c}`")).first()[0]
+                df = df.withColumn(f"{c}_was_missing", is_missing(df, c)).withColumn(c, F.when(is_missing(df, c), F.lit(value)).otherwise(F.col(f"`{c}`")))
     return df

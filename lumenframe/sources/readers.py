@@ -7,6 +7,7 @@ import re
 from decimal import Decimal
 from urllib.parse import parse_qsl, unquote, urlsplit
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -132,13 +133,40 @@ def read_table(spark: SparkSession, path: str, multiline: bool = False, infer: b
 
 
 def with_row_index(df: DataFrame, name: str = "row_index") -> DataFrame:
-    """0-based place of each row in reading order: the rows of the partitions before, and its place in its
-    own. The table is written once, so that neither can change; no task sees all rows."""
+    """0-based place of each row: files in order of their paths, rows as they stand in them. Nothing is written where the rows come
+    straight from files; no task sees all rows."""
+    found = _by_file(df, name)
+    return found if found is not None else _by_partition(df, name)
+
+
+def _numbered(rows: DataFrame, keys: list[str], place, name: str, columns: list[str], least) -> DataFrame:
+    """``rows`` with the number of rows of all groups before theirs (by ``keys``, few: files or their splits), plus their place in their own."""
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), least.alias("__least"))
+    before = sizes.select(*keys, "__least", (F.sum("__n").over(Window.orderBy(*keys)) - F.col("__n")).alias("__before"))  # a row for each file or split
+    return rows.join(F.broadcast(before), keys).withColumn(name, (F.col("__before") + place).cast("bigint")).select(*[F.col(f"`{c}`") for c in columns], name)
+
+
+def _by_file(df: DataFrame, name: str) -> DataFrame | None:
+    """By what the scan knows of each row: in Parquet its place in the file, elsewhere the split that it comes from. None where
+    the rows don't come straight from files."""
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    for fields, place in ((("file_path", "row_index"), F.col("__row_index")), (("file_path", "file_block_start"), F.col("__id") - F.col("__least"))):
+        try:
+            rows = df.select(*columns, *[F.col(f"_metadata.{f}").alias(f"__{f}") for f in fields])
+            if "file_block_start" in fields:
+                rows = rows.withColumn("__id", F.monotonically_increasing_id())  # grows along a split
+                return _numbered(rows, ["__file_path", "__file_block_start"], place, name, df.columns, F.min("__id"))
+            return _numbered(rows, ["__file_path"], place, name, df.columns, F.lit(0))
+        except AnalysisException:
+            continue
+    return None
+
+
+def _by_partition(df: DataFrame, name: str) -> DataFrame:
+    """By partition, in reading order. The table is written once, so that a row's partition can't change."""
     placed = written(df.withColumn("__id", F.monotonically_increasing_id()))
-    part, place = F.shiftright("__id", 33), F.col("__id").bitwiseAND(F.lit(2**33 - 1))
-    sizes = placed.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"))
-    before = sizes.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))  # one row a partition
-    return placed.withColumn("__part", part).join(F.broadcast(before), "__part").withColumn(name, F.col("__before") + place).select(*[F.col(f"`{c}`") for c in df.columns], name)
+    rows = placed.withColumn("__part", F.shiftright("__id", 33))
+    return _numbered(rows, ["__part"], F.col("__id").bitwiseAND(F.lit(2**33 - 1)), name, df.columns, F.lit(0))
 
 
 def metadata(df: DataFrame, preview: int = 10) -> dict:

@@ -1,15 +1,19 @@
+import json
+import os
+from decimal import Decimal
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from lumenframe import rules
-from lumenframe.api import Engine, NotFound
+from lumenframe.api import Engine, NotFound, build_profile
 from lumenframe.config import DEFAULT, Config
 from lumenframe.functions import scalars
 from lumenframe.operators import context, models, neighbours, points, profile, quantiles, series, times
 from lumenframe.plans import analysis, explain
-from lumenframe.sources.readers import TableError, read_table, url_filename, with_row_index
+from lumenframe.sources.readers import TableError, clean_names, json_safe, read_table, url_filename, with_row_index
 from lumenframe.streaming.counters import frozen_limits, outside, windowed_counts
 
 
@@ -131,6 +135,92 @@ def test_engine(spark):
         d.anomalies(0)
 
 
+def jobs_of(spark, act):
+    tag = f"t{np.random.default_rng().integers(2**60)}"
+    spark.sparkContext.setJobGroup(tag, tag)
+    try:
+        act()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return len(spark.sparkContext.statusTracker().getJobIdsForGroup(tag))
+
+
+def test_profile_takes_as_many_jobs_for_few_as_for_many_columns(spark, tmp_path):
+    rng = np.random.default_rng(14)
+    wide = pd.DataFrame({f"{k}{i}": v() for i in range(6) for k, v in (("n", lambda: rng.normal(size=3000)), ("c", lambda: rng.choice(list("abc"), 3000)), ("d", lambda: np.repeat("05-Jan-2024", 3000)), ("s", lambda: np.where(rng.random(3000) < 0.97, None, "x")))})
+    spark.createDataFrame(wide.astype({c: object for c in wide if c[0] != "n"})).repartition(2).write.parquet(str(tmp_path / "w"))
+    df = spark.read.parquet(str(tmp_path / "w"))
+    need = Config(distinct="by need")  # exact counts of all columns take a scan for each
+    few = jobs_of(spark, lambda: build_profile(df.select("n0", "c0", "d0", "s0"), need))
+    assert jobs_of(spark, lambda: build_profile(df, need)) <= few + 2
+
+
+def test_distinct_by_need_gives_the_same_profile(spark):
+    rng = np.random.default_rng(15)
+    n = 20_000
+    data = pd.DataFrame({"one": 1, "thirty": rng.integers(0, 30, n), "half": rng.integers(0, n, n).astype(str), "key_id": np.arange(n) * 7, "text": [f"a long text of its own {i}" for i in range(n)], "few": rng.choice(["a", "b", None], n)})
+    df = spark.createDataFrame(data.astype({"few": object}).where(data.notna(), None))
+    exact, sketched = (build_profile(df, Config(distinct=d)) for d in ("exact", "by need"))
+    assert any(not h["unique_exact"] for h in sketched["column_health"])
+    for a, b in zip(exact["column_health"], sketched["column_health"], strict=True):
+        assert a["unique_exact"] and (a["unique_count"] == b["unique_count"] if b["unique_exact"] else abs(a["unique_count"] / b["unique_count"] - 1) < 0.03)
+        assert {**a, "unique_count": 0, "unique_exact": 0} == {**b, "unique_count": 0, "unique_exact": 0}
+    assert {k: v for k, v in exact.items() if k != "column_health"} == {k: v for k, v in sketched.items() if k != "column_health"}
+
+
+def test_tables_go_with_their_owner(spark, monkeypatch):
+    base = spark.conf.get("spark.checkpoint.dir")
+    left = lambda: {d for d in os.listdir(base) if d.startswith("owned-")}
+    before = left()
+    rows = [(i, float(i % 7), "ab"[i % 2], f"2024-01-{i % 28 + 1:02d}") for i in range(300)] + [(500 + i, 900.0 + 99 * i, "a", "2024-02-01") for i in range(6)]
+    d = Engine(spark, Config(trees=10)).register("t", spark.createDataFrame(rows, "row_key bigint, v double, kind string, day_text string"))
+    first = d.anomalies(3)
+    assert len(left() - before) == 1 and len(first["records"]) == 3  # what the lists are made from
+    monkeypatch.setattr(analysis, "judged", None)  # no detector runs again
+    assert len(d.anomalies(50)["records"]) > 3 and d.anomalies(3)["records"] == first["records"]
+    d.close()
+    assert left() == before
+
+
+def test_rows_are_numbered_by_file(spark, tmp_path):
+    for kind in ("parquet", "csv", "json"):
+        want = []
+        for i, size in enumerate((5, 400, 3)):  # not the order of sizes, by which scans are packed
+            frame = spark.range(1000 * i, 1000 * i + size).select(F.col("id"), F.concat(F.lit("t"), "id").alias("t")).coalesce(1)
+            frame.write.mode("append").format(kind).save(str(tmp_path / f"{kind}-{i}"))
+            part = next(f for f in os.listdir(tmp_path / f"{kind}-{i}") if f.startswith("part-"))
+            (tmp_path / kind).mkdir(exist_ok=True)
+            os.rename(tmp_path / f"{kind}-{i}" / part, tmp_path / kind / f"{i}-{part}")
+            want += [f"t{1000 * i + j}" for j in range(size)]
+        df = spark.read.schema("id bigint, t string").format(kind).load(str(tmp_path / kind))
+        before = set(os.listdir(spark.conf.get("spark.checkpoint.dir")))
+        got = with_row_index(df.select("t")).orderBy("row_index").collect()
+        assert [r["t"] for r in got] == want and [r["row_index"] for r in got] == list(range(len(want)))
+        assert set(os.listdir(spark.conf.get("spark.checkpoint.dir"))) == before  # nothing was written
+
+
+def test_names_and_previews():
+    assert clean_names([" a", "a", "a.1", "B", "b "]) == ["a", "a.2", "a.1", "B", "b.1"]
+    odd = {"x": float("nan"), "y": [Decimal("1.5"), b"\x01", None], "z": pd.Timestamp("2024-01-05"), "i": float("-inf")}
+    assert json_safe(odd) == {"x": None, "y": [1.5, "01", None], "z": "2024-01-05T00:00:00", "i": None}
+
+
+def test_places_are_judged_by_the_raw_table(spark):
+    rows = [(i, 40 + i % 9 / 10, -74.0, 1.0 if i % 4 else None) for i in range(200)] + [(200 + i, None, None, 2.0) for i in range(100)] + [(400, -33.0, 151.0, None)]
+    df = spark.createDataFrame(rows, "id bigint, latitude double, longitude double, v double")
+    got = analysis.judged(df, "id", ["latitude", "longitude", "v"], None, None, ("latitude", "longitude"), Config(trees=10)).filter(F.array_contains("types", "geospatial")).collect()
+    assert [r["id"] for r in got] == [400] and "times)" in got[0]["why"][0]["detail"] + got[0]["why"][-1]["detail"]
+    listed = analysis.suspicious(df, "id", ["latitude", "longitude", "v"], None, None, ("latitude", "longitude"), Config(trees=10), top_n=1).first()
+    assert json.loads(listed["record"]) == {"id": 400, "latitude": -33.0, "longitude": 151.0, "v": None}  # as it stands in the table
+
+
+def test_repairs_parse_dates_and_drop_missing(spark):
+    df = spark.createDataFrame([(float(i), "5-Jan-2024" if i else "none") for i in range(99)] + [(float("nan"), "6-Jan-2024")], "v double, day_text string")
+    p = build_profile(df)
+    out = rules.apply_fixes(df, rules.fix_plan(p, {"records": []}), p)
+    assert out.count() == 99 and dict(out.dtypes)["day_text"] == "timestamp" and out.filter("day_text is null").count() == 1
+
+
 def test_rules_without_issues():
     g = {"latitude_column": None, "longitude_column": None}
     p = {"column_types": {}, "missing_values": {}, "duplicate_rows": 0, "invalid_dates": {}, "constant_columns": [], "high_cardinality_columns": [], "skewed_numeric_columns": {}, "outlier_counts": {}, "type_mismatch_counts": {}, "geospatial_summary": g}
