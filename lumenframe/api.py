@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from . import rules
 from .config import DEFAULT, Config
-from .operators import profile, quality, times
+from .operators import profile, quality, sampling, times
 from .plans import analysis, explain
 from .report import html_report
 from .session import Owner, into, owned, written
@@ -74,6 +74,54 @@ class Dataset:
     def analyze(self, top_n: int | None = None, expected_columns: list[str] | None = None) -> dict:
         return {"dataset_id": self.id, "profile": self.profile(), "anomalies": self.anomalies(top_n, expected_columns)}
 
+    def sampled(self, top_n: int | None = None, expected_columns: list[str] | None = None, rows: int | None = None) -> dict:
+        """analyze() of a uniform sample of rows (config.sample_rows), for a first look at a huge table. Rows and missing cells are exact, from one scan of
+        the table; duplicates come from a sample of kinds; other counts are scaled by the share of rows, once, and ``intervals`` tells
+        how far off they may be. Shares, types, quantiles, scores and the listed rows are the sample's."""
+        spark, config = self.df.sparkSession, self.config
+        with owned(spark):
+            plain, scan = profile._plain(self.data), profile.Scan(self.data)
+            for c in plain:
+                scan.add("missing", c, value=F.count_if(profile.is_missing(self.data, c)))
+            exact = scan.run()
+            n = exact["rows",]
+            size = min(n, max(config.sample_least, rows or config.sample_rows))
+            part = written(sampling.hash_sample(self.df, "row_index", size, config.seed)) if size < n else self.df
+            p = build_profile(part.drop("row_index"), config)
+            owner = Owner(spark)
+            try:
+                a = Analysis(part, p, config, owner).payload(config.top_n if top_n is None else top_n)
+            finally:
+                owner.let_go()
+            copies = sampling.scaled_duplicates(self.data, n, size)
+        intervals: dict[str, tuple[int, int]] = {}
+
+        def up(path: str, hits: int) -> int:
+            found, low, high = sampling.scaled(hits, size, n)
+            intervals[path] = (low, high)
+            return found
+
+        def up_all(path: str, of: dict) -> dict:
+            return {k: up(f"{path}.{k}", v) for k, v in of.items()}
+
+        missing = {c: {"count": exact["missing", c], "pct": round(100 * exact["missing", c] / n, 2) if n else 0.0} for c in plain}
+        p = p | {"row_count": n, "missing_values": missing, "duplicate_rows": copies[0], "column_health": profile.with_missing(p["column_health"], {c: m["pct"] for c, m in missing.items()})}
+        p |= {k: up_all(k, p[k]) for k in ("invalid_dates", "outlier_counts", "type_mismatch_counts")}
+        g = p["geospatial_summary"]
+        p["geospatial_summary"] = g | up_all("geospatial_summary", {k: v for k, v in g.items() if k.endswith(("_pairs", "_values"))})
+        intervals["duplicate_rows"] = copies[1:]
+        # set by what the table says, not scaled again
+        known = {"missing_values": sum(m["count"] for m in missing.values()), "duplicates": copies[0], "extreme_skew": a["quality_anomalies"]["extreme_skew"]["count"]}
+        issues = {k: v | {"count": known[k] if k in known else up(f"quality_anomalies.{k}", v["count"])} for k, v in a["quality_anomalies"].items()}
+        types = {k: v for k, v in a["anomaly_type_breakdown"].items() if not k.startswith("data_quality_")}
+        a = a | {"total_rows": n, "quality_anomalies": issues, "suspicious_count": up("suspicious_count", a["suspicious_count"]), "severity_breakdown": up_all("severity_breakdown", a["severity_breakdown"])}
+        a["anomaly_type_breakdown"] = up_all("anomaly_type_breakdown", types) | {f"data_quality_{k}": v["count"] for k, v in issues.items()}
+        a["anomaly_category_breakdown"] = {c: min(n, sum(a["anomaly_type_breakdown"].get(t, 0) for t in of)) for c, of in analysis.CATEGORIES.items()} | {"data_quality": sum(v["count"] for v in issues.values())}
+        a["anomaly_groups"] = [x | {"count": sum(v["count"] for v in issues.values()) if x["category"] == "data_quality" else up(f"anomaly_groups.{x['category']}", x["count"]), "severity_breakdown": up_all(f"anomaly_groups.{x['category']}", x["severity_breakdown"])} for x in a["anomaly_groups"]]
+        a["analysis_metadata"] = {"analysis_mode": "sampled", "approximate": size < n, "sampled_rows": size, "sampled_ratio": round(size / max(1, n), 6), "intervals": intervals}
+        a |= {"recommendations": rules.recommendations(p, a, expected_columns), "auto_fix_plan": rules.fix_plan(p, a, expected_columns)}
+        return {"dataset_id": self.id, "profile": p, "anomalies": a}
+
     def report(self, top_n: int | None = None, expected_columns: list[str] | None = None) -> str:
         return html_report(self.name, self.profile(), self.anomalies(top_n, expected_columns))
 
@@ -139,10 +187,9 @@ def build_profile(df: DataFrame, config: Config = DEFAULT) -> dict:
     for c, s in stats.items():
         pct = round(100 * s["missing"] / rows, 2) if rows else 0.0
         issues = [n for n, on in (
-            ("missing values", s["missing"]), ("constant", c in constant), ("high cardinality", c in high), ("invalid dates", dates.get(c)), ("type mismatch", mixed.get(c)), ("skewed", c in skewed), ("outliers", outliers.get(c)),
+            (profile.MISSING, s["missing"]), ("constant", c in constant), ("high cardinality", c in high), ("invalid dates", dates.get(c)), ("type mismatch", mixed.get(c)), ("skewed", c in skewed), ("outliers", outliers.get(c)),
             ("invalid coordinates", c in (lat, lon) and (summary["invalid_latitude_values"] if c == lat else summary["invalid_longitude_values"])), ("invalid geometries", shapes.get(c))) if on]
-        status = "critical" if pct >= 30 or len(issues) >= 3 else "warning" if issues else "ok"
-        health.append({"column": c, "type": types[c], "missing_pct": pct, "unique_count": s["distinct_values"], "unique_exact": unique[c][1], "status": status, "issues": issues})
+        health.append({"column": c, "type": types[c], "missing_pct": pct, "unique_count": s["distinct_values"], "unique_exact": unique[c][1], "status": profile.status_of(pct, issues), "issues": issues})
     return {
         "row_count": rows, "column_count": len(df.columns), "column_types": types, "missing_values": {c: {"count": s["missing"], "pct": round(100 * s["missing"] / rows, 2) if rows else 0.0} for c, s in stats.items()},
         "duplicate_rows": profile.duplicate_rows(df).first()[0], "constant_columns": constant, "high_cardinality_columns": high, "invalid_dates": dates, "skewed_numeric_columns": skewed,

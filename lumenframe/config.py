@@ -31,6 +31,9 @@ class Config:
     lof_rows: int = 100_000
     #: How profiles count distinct values: "exact", or "by need": sketches, and exact counts only where a threshold is near.
     distinct: str = "exact"
+    #: Rows of a sampled analysis, and the fewest that it takes.
+    sample_rows: int = 120_000
+    sample_least: int = 20_000
     seed: int = 42
     top_n: int = 100
     #: Larger inputs are refused; 0 or less: none are.

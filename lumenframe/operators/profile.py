@@ -301,6 +301,23 @@ def invalid_geometries(df: DataFrame, columns: list[str]) -> dict[str, int]:
     return {c: got[c,] for c in columns}
 
 
+MISSING = "missing values"
+
+
+def status_of(missing_pct: float, issues: list[str]) -> str:
+    return "critical" if missing_pct >= 30 or len(issues) >= 3 else "warning" if issues else "ok"
+
+
+def with_missing(health: list[dict], missing_pct: dict[str, float]) -> list[dict]:
+    """A sample's health by column with the whole table's missing shares: the issue and the status follow them."""
+    out = []
+    for h in health:
+        pct = missing_pct.get(h["column"], h["missing_pct"])
+        issues = ([MISSING] if pct else []) + [x for x in h["issues"] if x != MISSING]
+        out.append(h | {"missing_pct": pct, "issues": issues, "status": status_of(pct, issues)})
+    return out
+
+
 def column_health(parts: list[DataFrame]) -> DataFrame:
     """``column``, ``issues`` and ``status`` from (column, issue) rows and their missing share."""
     rows = reduce(DataFrame.unionByName, parts)

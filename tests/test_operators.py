@@ -11,7 +11,7 @@ from lumenframe import rules
 from lumenframe.api import Engine, NotFound, build_profile
 from lumenframe.config import DEFAULT, Config
 from lumenframe.functions import scalars
-from lumenframe.operators import context, models, neighbours, points, profile, quantiles, series, times
+from lumenframe.operators import context, models, neighbours, points, profile, quantiles, sampling, series, times
 from lumenframe.plans import analysis, explain
 from lumenframe.sources.readers import TableError, clean_names, json_safe, read_table, url_filename, with_row_index
 from lumenframe.streaming.counters import frozen_limits, outside, windowed_counts
@@ -199,6 +199,27 @@ def test_rows_are_numbered_by_file(spark, tmp_path):
         assert set(os.listdir(spark.conf.get("spark.checkpoint.dir"))) == before  # nothing was written
 
 
+def test_sampled_analysis_is_within_its_intervals(spark):
+    n = 12_000
+    k = F.col("id")
+    df = spark.range(n).select((k * 3 % 5000 % 997).cast("double").alias("v"), F.when(k % 7 == 0, "no date").otherwise("2024-01-05").alias("day_text"), F.when(k % 3 == 0, F.concat(F.lit("x"), k % 9)).otherwise((k % 90).cast("string")).alias("mixed"),
+                               F.when(k % 11 != 0, (k % 13).cast("double")).alias("w"), F.floor(k / 3).alias("third"))
+    df = df.unionByName(df.filter("third % 4 = 0")).repartition(3)
+    d = Engine(spark, Config(trees=10, sample_least=1000)).register("t", df)
+    p, a = (d.sampled(5, rows=2000)[x] for x in ("profile", "anomalies"))
+    meta, total = a["analysis_metadata"], df.count()
+    assert (meta["analysis_mode"], meta["sampled_rows"], p["row_count"], a["total_rows"]) == ("sampled", 2000, total, total)
+    truth = {"invalid_dates.day_text": df.filter("day_text = 'no date'").count(), "type_mismatch_counts.mixed": df.filter("mixed like 'x%'").count(), "duplicate_rows": total - df.distinct().count()}
+    for path, value in truth.items():
+        low, high = meta["intervals"][path]
+        assert low <= value <= high and high - low < 0.5 * total
+    assert p["missing_values"]["w"]["count"] == df.filter("w is null").count() == a["quality_anomalies"]["missing_values"]["count"]
+    assert a["quality_anomalies"]["duplicates"]["count"] == p["duplicate_rows"] and all(low <= high for low, high in meta["intervals"].values())
+    assert next(h for h in p["column_health"] if h["column"] == "w")["missing_pct"] == p["missing_values"]["w"]["pct"]
+    assert sampling.scaled(5, 100, 100) == (5, 5, 5) and sampling.scaled(0, 100, 10_000)[:2] == (0, 0)
+    d.close()
+
+
 def test_names_and_previews():
     assert clean_names([" a", "a", "a.1", "B", "b "]) == ["a", "a.2", "a.1", "B", "b.1"]
     odd = {"x": float("nan"), "y": [Decimal("1.5"), b"\x01", None], "z": pd.Timestamp("2024-01-05"), "i": float("-inf")}
