@@ -19,6 +19,7 @@ from .plans import analysis, explain
 from .report import html_report
 from .session import Owner, into, owned, written
 from .sources.readers import capabilities, metadata, read_table, url_filename, with_row_index
+from .sources.sinks import write_json
 
 
 class NotFound(KeyError):
@@ -122,6 +123,10 @@ class Dataset:
         a |= {"recommendations": rules.recommendations(p, a, expected_columns), "auto_fix_plan": rules.fix_plan(p, a, expected_columns)}
         return {"dataset_id": self.id, "profile": p, "anomalies": a}
 
+    def write(self, path: str, top_n: int | None = None, expected_columns: list[str] | None = None) -> None:
+        """analyze() as JSON at ``path``."""
+        write_json(self.df.sparkSession, self.analyze(top_n, expected_columns), path)
+
     def report(self, top_n: int | None = None, expected_columns: list[str] | None = None) -> str:
         return html_report(self.name, self.profile(), self.anomalies(top_n, expected_columns))
 

@@ -14,6 +14,7 @@ from lumenframe.functions import scalars
 from lumenframe.operators import context, models, neighbours, points, profile, quantiles, sampling, series, times
 from lumenframe.plans import analysis, explain
 from lumenframe.sources.readers import TableError, clean_names, json_safe, read_table, url_filename, with_row_index
+from lumenframe.sources.sinks import checked
 from lumenframe.streaming.counters import frozen_limits, outside, windowed_counts
 
 
@@ -120,7 +121,7 @@ def test_readers(spark, tmp_path):
         url_filename("ftp://h.example/x.csv")
 
 
-def test_engine(spark):
+def test_engine(spark, tmp_path):
     rows = [(i, float(i % 7), "a" if i % 2 else "b ", f"{i % 90 + 1}") for i in range(200)] + [(500, 900.0, "B", "x")]
     df = spark.createDataFrame(rows, "row_key bigint, item_count double, kind string, mixed string")
     e = Engine(spark, Config(trees=20))
@@ -129,6 +130,11 @@ def test_engine(spark):
     assert got["profile"]["duplicate_rows"] == 1 and got["anomalies"]["records"][0]["record"].startswith('{"row_key":500')
     assert got["anomalies"]["auto_fix_plan"][0]["columns"] == ["absent"] and "&lt;t&gt;" in d.report(10)
     assert d.repaired().count() == 201
+    d.write(str(tmp_path / "out"), 10, ["absent"])
+    back = json.loads(spark.read.text(str(tmp_path / "out")).first()[0])
+    assert back["anomalies"]["records"][0]["affected_columns"] == got["anomalies"]["records"][0]["affected_columns"] and back["profile"]["row_count"] == 202
+    with pytest.raises(TableError, match="profile.row_count"):
+        checked({**got, "profile": {k: v for k, v in got["profile"].items() if k != "row_count"}})
     with pytest.raises(NotFound):
         e.get("none")
     with pytest.raises(ValueError):
