@@ -2,8 +2,8 @@
 
 Components become integers, ``floor(SCALE * x)``. A component's cell is its leading ``BITS``
 bits, so a vector's cells bound its product with a query from below and above. The first scan
-reads cells only: the k-th largest lower bound over all vectors is a score that the k-th
-result reaches. The second scan reads exact vectors in order of their lower bounds, as long
+makes the cells from the exact vectors as it reads them and keeps bounds only: the k-th largest lower bound over all vectors is a score that the k-th
+result reaches. There is no narrow file of cells yet. The second scan reads exact vectors in order of their lower bounds, as long
 as the upper bound can still reach the k-th score; the k best are then certain.
 
 Queries go to the tasks in lots of at most ``QUERY_BYTES``, whatever their number; each lot is
