@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Config
-from ..operators import models, points, quality
+from ..operators import models, points, quality, series
 from ..session import written
 from . import analysis, explain
 from .registry import query
@@ -153,6 +153,22 @@ def group_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return explain.samples_of_groups(analysis.visible(_labelled(spark, sf_dir)), "event_id").select("category", "event_id", "score")
 
 
+_FIGURES = """, e1 AS (SELECT event_id, pos, 'trend' AS kind, x, dmed AS base, abs(d - dmed) AS dev, greatest(6 * dmad, 2 * ds) AS lim FROM r3_load, sd_load WHERE abs(d - dmed) > greatest(6 * dmad, 2 * ds) AND pos > greatest(2, w // 3)
+ UNION ALL SELECT event_id, pos, 'seasonal', x, before, abs(x - before), greatest(m + 6 * mad_, 2.5 * s) FROM r1_load, se2, (SELECT mad AS mad_ FROM se3) WHERE before IS NOT NULL AND abs(x - before) > greatest(m + 6 * mad_, 2.5 * s)),
+e2 AS (SELECT e1.*, p.x AS prev, row_number() OVER (PARTITION BY kind ORDER BY e1.pos) AS r FROM e1 LEFT JOIN r1_load p ON p.pos = e1.pos - 1)
+SELECT event_id, kind, round(x, 6) AS value, round(base, 6) AS baseline, round(round(dev, 6) / nullif(round(lim, 6), 0), 6) AS threshold_ratio, CASE WHEN kind <> 'trend' THEN round(100 * (round(x, 6) - round(base, 6)) / nullif(abs(round(base, 6)), 0), 6) END AS pct_from_baseline,
+ round(prev, 6) AS prev_value, round(x - prev, 6) AS delta_from_prev, round(100 * (round(x, 6) - round(prev, 6)) / nullif(abs(round(prev, 6)), 0), 6) AS pct_from_prev FROM e2 WHERE r <= 120"""
+
+
+@query(PATH.rstrip() + _FIGURES)
+def trend_and_season_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The listed trend changes and seasonal breaks of the seasonal column, with their figures."""
+    base = analysis.series_base(_raw(spark, sf_dir), "event_id", COLUMNS, "ts")
+    found = series.Series(base.select("pos", "event_id", "load"), ["load"], series.window_size(base.count())).events(("trend", "seasonal"))
+    told = explain.enriched(written(analysis.listed(found, COLUMNS)), base, "ts", ["load"])
+    return told.select("event_id", "kind", *[F.round(c, 6).alias(c) for c in ("value", "baseline", "prev_value")], "threshold_ratio", "pct_from_baseline", "delta_from_prev", "pct_from_prev")
+
+
 def _placed_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
     return dirty_orders(spark, sf_dir).withColumns({

@@ -9,7 +9,7 @@ from ..config import DEFAULT
 from ..functions.scalars import severity
 from ..operators import context, geo, models, points, profile, series, times
 from ..session import written
-from . import analysis, explain, path_queries  # noqa: F401  (registers its queries)
+from . import analysis, explain, path_queries, source_queries  # noqa: F401  (two register their queries)
 from .registry import ORACLE_SQL, QUERIES, query  # noqa: F401
 from .views import DIRTY_GEO, DIRTY_ORDERS, POSITIONED, RUNS, SEASONAL, SPELLED, dirty_geo, dirty_orders, run_scores, seasonal_values, spelled_dates, table
 
