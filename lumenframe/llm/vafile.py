@@ -1,9 +1,10 @@
 """Exact top-k inner-product search with vector-approximation files.
 
 Components become integers, ``floor(SCALE * x)``. A component's cell is its leading ``BITS``
-bits, so a vector's cells bound its product with a query from below and above. The first scan
-makes the cells from the exact vectors as it reads them and keeps bounds only: the k-th largest lower bound over all vectors is a score that the k-th
-result reaches. There is no narrow file of cells yet. The second scan reads exact vectors in order of their lower bounds, as long
+bits below the vector's largest one, so a vector's cells bound its product with a query from below and above.
+The approximation file holds a byte for each component and is written once. The first scan reads that file
+only: the k-th largest lower bound over all vectors is a score that the k-th result reaches.
+The second scan takes exact vectors, in each block in order of their lower bounds, as long
 as the upper bound can still reach the k-th score; the k best are then certain.
 
 Queries go to the tasks in lots of at most ``QUERY_BYTES``, whatever their number; each lot is
@@ -55,6 +56,48 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.
                 yield keys[at], flat[(starts[at][:, None] + np.arange(size)).reshape(-1)].reshape(len(at), size)
 
 
+class Cells:
+    """A block of vectors as cells: ``corners`` (the lowest value of each component) and ``wide`` (by how
+    much a component of the vector can exceed it)."""
+
+    def __init__(self, keys: np.ndarray, cells: np.ndarray, shift: np.ndarray):
+        self.keys, self.corners = keys, cells.astype(np.int64) << shift.astype(np.int64)[:, None]
+        self.wide = (np.int64(1) << shift.astype(np.int64)) - 1
+        self.top = float(np.abs(self.corners).max(initial=0)) + float(self.wide.max(initial=0)) + 1
+
+    @classmethod
+    def of(cls, keys: np.ndarray, vectors: np.ndarray) -> Cells:
+        return cls(keys, *_cells(vectors))
+
+
+def _cells(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each component's cell (a signed byte) and the number of bits that each vector's cells leave out."""
+    bits = np.frexp(np.abs(vectors).max(axis=1, initial=0).astype(np.float64))[1]
+    shift = np.maximum(0, bits + 1 - BITS)
+    return (vectors >> shift.astype(np.int64)[:, None]).astype(np.int8), shift.astype(np.int8)
+
+
+def _approximated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of the approximation file."""
+    for keys, vectors in _blocks(batches):
+        cells, shift = _cells(vectors)
+        n, size = cells.shape
+        packed = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((np.arange(n + 1) * size).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(cells))])
+        yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(shift), packed], names=["key", "shift", "cells"])
+
+
+def _cell_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Cells]:
+    """Blocks of vectors of one length, from the approximation file."""
+    for b in batches:
+        for lo in range(0, b.num_rows, BLOCK_ROWS):
+            part = b.slice(lo, BLOCK_ROWS)
+            keys, shift, cells = part.column(0).to_numpy(zero_copy_only=False), part.column(1).to_numpy(zero_copy_only=False), part.column(2).to_pylist()
+            sizes = np.fromiter(map(len, cells), np.int64, len(cells))
+            for size in np.unique(sizes):
+                at = np.flatnonzero(sizes == size)
+                yield Cells(keys[at], np.frombuffer(b"".join([cells[i] for i in at]), np.int8).reshape(len(at), size), shift[at])
+
+
 class Lot:
     """Queries of one length with the k-th scores known so far."""
 
@@ -65,27 +108,23 @@ class Lot:
         self.minus = np.where(self.q < 0, self.q, 0).sum(1, dtype=np.float64)
         self.size = int(np.abs(self.q).max(initial=0))
 
-    def bounds(self, keys: np.ndarray, vectors: np.ndarray) -> Iterator[tuple[int, np.ndarray, int]]:
+    def bounds(self, block: Cells) -> Iterator[tuple[int, np.ndarray]]:
         """For each tile of queries: first query, the product with the cells' lower corners
-        (-inf for the query's own row) and the cells' width less one."""
-        top = int(np.abs(vectors).max(initial=0))
-        shift = max(0, top.bit_length() + 1 - BITS)
-        corners = (vectors >> shift) << shift
-        exact = vectors.shape[1] * max(1, self.size) * max(1, top + (1 << shift)) < 1 << 24
-        kind = np.float32 if exact else np.float64
-        corners = corners.T.astype(kind)
-        first, last = np.searchsorted(self.keys, keys, "left"), np.searchsorted(self.keys, keys, "right")
+        (-inf for the query's own row)."""
+        kind = np.float32 if block.corners.shape[1] * max(1, self.size) * block.top < 1 << 24 else np.float64
+        corners = block.corners.T.astype(kind)
+        first, last = np.searchsorted(self.keys, block.keys, "left"), np.searchsorted(self.keys, block.keys, "right")
         own = [(q, v) for v in np.flatnonzero(last > first) for q in range(first[v], last[v])]
         for lo in range(0, len(self.q), QUERY_TILE):
-            near = self.q[lo : lo + QUERY_TILE].astype(kind) @ corners
+            near = (self.q[lo : lo + QUERY_TILE].astype(kind) @ corners).astype(np.float64)
             for q, v in own:
                 if lo <= q < lo + QUERY_TILE:
                     near[q - lo, v] = -np.inf
-            yield lo, near, (1 << shift) - 1
+            yield lo, near
 
-    def slack(self, vectors: np.ndarray) -> float:
+    def slack(self, block: Cells) -> float:
         """What rounding can add to a bound; none while sums stay below 2^53."""
-        most = float(vectors.shape[1]) * self.size * (float(np.abs(vectors).max(initial=0)) * 2 + 1)
+        most = float(block.corners.shape[1]) * self.size * block.top
         return 0.0 if most < 2.0**52 else most * 2.0**-48
 
 
@@ -101,17 +140,18 @@ def _lots(packed: list[tuple[int, int, np.ndarray]], reach: np.ndarray | None) -
 def _lower_bounds(lots: dict[int, Lot], k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of a task's vectors, the k largest lower bounds of each query."""
     best: dict[int, np.ndarray] = {}
-    for keys, vectors in _blocks(batches):
-        lot = lots.get(vectors.shape[1])
+    for block in _cell_blocks(batches):
+        size = block.corners.shape[1]
+        lot = lots.get(size)
         if lot is None:
             continue
-        held = best.setdefault(vectors.shape[1], np.full((len(lot.q), k), -np.inf))
-        slack = lot.slack(vectors)
-        for lo, near, wide in lot.bounds(keys, vectors):
+        held = best.setdefault(size, np.full((len(lot.q), k), -np.inf))
+        slack = lot.slack(block)
+        for lo, near in lot.bounds(block):
             rows = slice(lo, lo + len(near))
-            if near.shape[1] > k:
-                near = np.partition(near, near.shape[1] - k, axis=1)[:, -k:]
-            low = near + (lot.minus[rows] * wide)[:, None] - slack
+            low = near + np.outer(lot.minus[rows], block.wide) - slack
+            if low.shape[1] > k:
+                low = np.partition(low, low.shape[1] - k, axis=1)[:, -k:]
             both = np.concatenate([held[rows], low], axis=1)
             held[rows] = np.partition(both, both.shape[1] - k, axis=1)[:, -k:]
     for size, held in best.items():
@@ -158,15 +198,17 @@ def _exact(lots: dict[int, Lot], k: int, batches: Iterator[pa.RecordBatch]) -> I
         if lot is None:
             continue
         held = best.setdefault(vectors.shape[1], _Best(len(lot.q), k))
-        slack = lot.slack(vectors)
-        for lo, near, wide in lot.bounds(keys, vectors):
+        block = Cells.of(keys, vectors)
+        slack, wide = lot.slack(block), block.wide
+        for lo, near in lot.bounds(block):
             rows = slice(lo, lo + len(near))
             least = np.maximum(lot.reach[rows], held.kth[rows])
-            extra = lot.plus[rows] * wide + slack
-            q, v = np.nonzero((near + extra[:, None] >= least[:, None]) & np.isfinite(near))
-            low = near[q, v]
+            high = near + np.outer(lot.plus[rows], wide) + slack
+            q, v = np.nonzero((high >= least[:, None]) & np.isfinite(near))
+            low = near[q, v] + lot.minus[rows][q] * wide[v]
             order = np.lexsort((-low, q))
-            q, v, high = q[order], v[order], (low + extra[q])[order]
+            q, v = q[order], v[order]
+            high = high[q, v]
             while len(q):  # the next 2k of each query, best bounds first; then what still can matter
                 starts = np.flatnonzero(np.r_[True, q[1:] != q[:-1]])
                 now = np.arange(len(q)) - np.repeat(starts, np.diff(np.r_[starts, len(q)])) < 2 * k
@@ -191,13 +233,15 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, key: str = "vec_id"
     queries = rows.filter("query").select("key", "v").distinct()
     n, widest = queries.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("v")), F.lit(1))).first()
     lots = max(1, -(-n * 8 * max(1, widest) // query_bytes))
-    found = []
+    found, cells = [], None
     for i in range(lots):
         # A lot holds query_bytes on average; its rows go to every task.
         got = sorted(queries.filter(F.pmod(F.xxhash64("key", "v"), F.lit(lots)) == i).collect())
         packed = [(p, r["key"], np.floor(SCALE * np.array(r["v"], np.float64)).astype(np.int64)) for p, r in enumerate(got)]
         first = spark.sparkContext.broadcast(packed)
-        bounds = rows.select("key", "v").mapInArrow(lambda b, s=first: _lower_bounds(_lots(s.value, None), k, b), "q bigint, lows array<double>")
+        if cells is None:
+            cells = durable(rows.select("key", "v").mapInArrow(_approximated, "key bigint, shift tinyint, cells binary"), "cells")
+        bounds = cells.mapInArrow(lambda b, s=first: _lower_bounds(_lots(s.value, None), k, b), "q bigint, lows array<double>")
         # k numbers from each task for a query: its own group, merged before and after the shuffle.
         kth = bounds.groupBy("q").agg(F.get(F.sort_array(F.flatten(F.collect_list("lows")), asc=False), F.lit(k - 1)).alias("kth")).filter("kth is not null")
         reach = np.full(len(packed), -np.inf)
