@@ -6,10 +6,12 @@ whole corpus: a term's occurrence within ``NEAR`` words of a mention, on the men
 co-occurrence. With n(t) occurrences of the term, n(t,c) of them near entity c, n(c) word
 places near c and N words in all, the disclosure is PMI(t;c) / IC(c), that is
 ``log2(n(t,c) N / (n(t) n(c))) / log2(N / n(c))``: 1 if the term occurs near c alone, 0 if it
-is independent of c. Terms of at least ``GENERALISE`` are generalised, of at least ``REMOVE``
-removed, wherever they occur. The estimate counts only if the places where term and
-entity meet are diverse: the perplexity of the term's neighbouring words there must reach
-``CONTEXTS``, so that copies of one passage prove nothing.
+is independent of c. Terms of at least ``GENERALISE`` are generalised (a class of words stands for
+them: name, acronym, code or term), of at least ``REMOVE`` removed, wherever they occur. The estimate counts only if term and
+entity meet in different documents: a meeting's context is the word of least hash in the rest of
+its document (where nothing is left, the term's neighbours), and the contexts' effective number, ``n^2 / sum(n_i^2)``,
+must reach ``CONTEXTS``. Copies of a document have one context, and near copies, which have most of their words
+in common, mostly the same; a signature under different documents has many.
 
 DataFrame functions only. Defined results: null and empty texts have no spans. Spans are in
 code points, the end exclusive. A term's span that meets a pattern's span is left out.
@@ -40,6 +42,8 @@ WORD = r"[\p{L}\p{N}]+"
 
 NEAR = 8
 CONTEXTS = 3.0
+#: So many of a document's word hashes, the least, are kept; a mention and what is near it cover fewer.
+LEAST = 64
 GENERALISE, REMOVE = 0.8, 0.95
 #: A table of terms up to this many rows is broadcast, a larger one joined by shuffling.
 BROADCAST_ROWS = 200_000
@@ -120,9 +124,9 @@ def _mentions(text: Column, kind: str) -> Column:
         left = _words(F.substring_index(F.get(gaps, i), "\n", -1))
         right = _words(F.substring_index(F.get(gaps, i + 1), "\n", 1))
         left = F.slice(left, F.greatest(F.size(left) - (NEAR - 1), F.lit(1)), F.lit(NEAR))
-        return F.struct(normalised(kind, m).alias("entity"), left.alias("left"), F.slice(right, F.lit(1), F.lit(NEAR)).alias("right"), valid(kind, m).alias("valid"))
+        return F.struct(normalised(kind, m).alias("entity"), left.alias("left"), F.slice(right, F.lit(1), F.lit(NEAR)).alias("right"), _words(m).alias("own"), valid(kind, m).alias("valid"))
 
-    none = F.array().cast("array<struct<entity:string,left:array<string>,right:array<string>,valid:boolean>>")
+    none = F.array().cast("array<struct<entity:string,left:array<string>,right:array<string>,own:array<string>,valid:boolean>>")
     hint = text.contains(HINTS[kind]) if kind == "email" else text.rlike(HINTS[kind])
     return F.when(hint, F.filter(F.transform(found, mention), lambda s: s["valid"])).otherwise(none)
 
@@ -136,16 +140,20 @@ def disclosing_terms(docs: DataFrame, text: str = "text", contexts: float = CONT
     reveal a protected entity, from all of ``docs``."""
     spark = docs.sparkSession
     texts = docs.filter(F.col(text).isNotNull()).select(F.col(text).cast("string").alias("t"))
-    near = texts.filter(F.col("t").rlike("[0-9@]")).select(F.explode(F.concat(*[_mentions(F.col("t"), k) for k in KINDS])).alias("m"))
+    near = texts.filter(F.col("t").rlike("[0-9@]")).select("t", F.concat(*[_mentions(F.col("t"), k) for k in KINDS]).alias("m")).filter(F.size("m") > 0)
+    least = F.slice(F.array_sort(F.array_distinct(F.transform(_words(F.col("t")), lambda w: F.xxhash64(w)))), 1, LEAST)
+    near = near.select("m", least.alias("least")).select(F.explode("m").alias("m"), "least")
+    around = F.transform(F.concat("m.left", "m.right", "m.own"), lambda w: F.xxhash64(w))
+    near = near.select("m", F.get(F.array_except("least", around), 0).alias("rest"))
 
     def placed(words: str) -> Column:
         w = F.col(words)
-        return F.transform(w, lambda x, i: F.struct(x.alias("term"), F.xxhash64(F.get(w, i - 1), F.get(w, i + 1)).alias("context")))
+        return F.transform(w, lambda x, i: F.struct(x.alias("term"), F.coalesce("rest", F.xxhash64(F.get(w, i - 1), F.get(w, i + 1))).alias("context")))
 
     pairs = near.select("m.entity", F.explode(F.concat(placed("m.left"), placed("m.right"))).alias("p")).select("entity", "p.term", "p.context")
     met = pairs.groupBy("entity", "term", "context").agg(F.count(F.lit(1)).alias("n"))
     n = F.sum("n")
-    met = durable(met.groupBy("entity", "term").agg(n.alias("n_tc"), F.pow(F.lit(2.0), F.log2(n) - F.sum(F.col("n") * F.log2("n")) / n).alias("contexts")), "met")
+    met = durable(met.groupBy("entity", "term").agg(n.alias("n_tc"), (n.cast("double") * n / F.sum(F.col("n").cast("double") * F.col("n"))).alias("contexts")), "met")
     word = F.col("term").rlike(r"\p{L}") & (F.length("term") >= 3)
     likely = met.filter(word & (F.col("contexts") >= contexts - 1e-9))
     terms = durable(likely.select("term").distinct(), "terms")
@@ -191,14 +199,19 @@ def with_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", spans:
     return joined.select(*rest, F.concat(F.col(base), *[of(a) for a in ACTIONS]).alias(spans))
 
 
+def general(term: Column) -> Column:
+    """The class of words that stands for a term."""
+    return F.when(term.rlike(r"\p{N}"), "[code]").when(term.rlike(r"^\p{Lu}{2,}$"), "[acronym]").when(term.rlike(r"^\p{Lu}"), "[name]").otherwise("[term]")
+
+
 def sanitised(text: Column, spans: Column) -> Column:
-    """The text with the spans' values replaced: ``[kind]`` for personal data, ``[term]`` for
-    generalised terms, nothing for removed ones. Of spans that overlap, the first goes."""
-    order = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    """The text with the spans' values replaced: ``[kind]`` for personal data, the class of
+    generalised terms (``[code]`` with digits, ``[acronym]``, ``[name]`` with a capital, else ``[term]``), nothing for removed ones. Of spans that overlap, the first goes."""
+    order = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), s["value"].alias("value"))))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
 
     def step(acc: Column, s: Column) -> Column:
-        put = F.when(s["kind"] == "removed", "").when(s["kind"] == "generalised", "[term]").otherwise(F.concat(F.lit("["), s["kind"], F.lit("]")))
+        put = F.when(s["kind"] == "removed", "").when(s["kind"] == "generalised", general(s["value"])).otherwise(F.concat(F.lit("["), s["kind"], F.lit("]")))
         between = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
         moved = F.struct(s["end"].alias("at"), F.concat(acc["parts"], F.array(between, put)).alias("parts"))
         return F.when(s["start"] >= acc["at"], moved).otherwise(acc)

@@ -23,14 +23,14 @@ def may_learn_quality(key: str = "doc_id") -> Column:
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pii.with_spans(table(spark, sf_dir, "documents").select("doc_id", "text"), spans="found")
+    found = pii.with_spans(table(spark, sf_dir, "documents").select("doc_id", "text"), spans="found").withColumn("clean", pii.sanitised(F.coalesce("text", F.lit("")), F.col("found")))
     base = F.filter("found", lambda s: s["kind"].isin(*pii.KINDS))
 
     def count(kind: str) -> Column:
         return F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
 
     counts = [count(k) for k in pii.KINDS]
-    return found.select("doc_id", *counts, F.sha2(pii.joined_spans(base), 256).alias("base_sha256"), pii.joined_spans(F.col("found")).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(pii.joined_spans(base), 256).alias("base_sha256"), pii.joined_spans(F.col("found")).alias("spans"), F.sha2("clean", 256).alias("sanitised_sha256"))
 
 
 def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
