@@ -65,6 +65,25 @@ def test_terms_that_reveal_are_found(spark):
     assert [s["kind"] for s in spans] == ["email", "removed"] and all(rows[0][1][s["start"] : s["end"]] == s["value"] for s in spans)
 
 
+def test_terms_of_signatures_and_lines_are_found(spark):
+    rng = np.random.default_rng(2)
+    some = lambda n: " ".join(f"w{i}x" for i in rng.integers(0, 400, n))
+    rows = [(i, f"{some(30)}\nregards Quillon Marbach mail qm@secret.org always\n{some(30)}") for i in range(40)]  # a fixed signature
+    rows += [(100 + i, f"{some(12)} Jane Doeling {some(2)} +49 30 1234567 {some(12)}") for i in range(40)]
+    rows += [(200 + i, f"{some(40)} regards mail always") for i in range(120)]
+    copy = some(60).split()
+    for i in range(60):  # copies of one document, a tenth of the words of each changed
+        mine = [w if rng.random() > 0.1 else some(1) for w in copy]
+        rows.append((400 + i, f"{' '.join(mine[:30])}\nwrite Copyman at c@other.net soon\n{' '.join(mine[30:])}"))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    terms = {r["term"]: r["action"] for r in pii.disclosing_terms(df).collect()}
+    assert set(terms) == {"Quillon", "Marbach", "Jane", "Doeling"}
+    found = pii.with_spans(df).select("doc_id", pii.sanitised(F.col("text"), F.col("spans")).alias("t"))
+    assert all("Jane" not in t and "Quillon" not in t for (t,) in found.select("t").collect())
+    made = spark.createDataFrame([("Anna",), ("NATO",), ("x7",), ("rare",)], "w string").select(pii.general(F.col("w")).alias("g")).collect()
+    assert [r["g"] for r in made] == ["[name]", "[acronym]", "[code]", "[term]"]
+
+
 def test_bpe_and_counts_are_the_librarys(spark, odd, none):
     from tokenizers import Tokenizer
 
@@ -94,6 +113,16 @@ def test_topk_is_exact(spark):
     assert vafile.top_k(df.limit(0), F.col("vec_id") % 100 == 0).count() == 0
 
 
+def test_cells_bound_products():
+    rng = np.random.default_rng(8)
+    for size in (1, 5, 40):
+        vectors = (rng.normal(size=(60, size)) * 10.0 ** rng.integers(0, 15, (60, 1))).astype(np.int64)
+        cells, shift = vafile._cells(vectors)
+        block = vafile.Cells(np.arange(60), cells, shift)
+        assert np.abs(cells).max() <= 1 << (vafile.BITS - 1)
+        assert (block.corners <= vectors).all() and (vectors <= block.corners + block.wide[:, None]).all()
+
+
 @here
 def test_language_on_held_out_rows(spark, odd, none):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
