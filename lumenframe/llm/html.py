@@ -9,9 +9,9 @@ trained in numpy on generated pages of many layouts, whose random words carry no
 Defined results: null and empty pages, and pages without a main block, have the empty text.
 Character references are decoded, white space inside a block becomes one space, blocks are
 joined in page order by one line feed. Scripts, styles, templates and comments hold no blocks.
-A head without its end tag ends before the first element or text that can't be in it. A hidden element
-that closes itself, or whose end tag the page doesn't hold, hides nothing; one whose end tag is
-missed where others of its name have theirs ends with its parent. A page of more than ``LOT_BLOCKS`` blocks is
+A comment without its end reaches to the page's end.
+A head without its end tag ends before the first element or text that can't be in it. Media and the like
+that close themselves, or have no end tag of their own (an end tag belongs to the nearest open start before it), hide nothing. A page of more than ``LOT_BLOCKS`` blocks is
 read in windows, with the states carried over, with the same labels. Equal rows give equal rows; other columns
 stay as they are, whatever their names, but ``html`` and an earlier ``text``.
 """
@@ -20,7 +20,6 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from html.parser import HTMLParser
@@ -31,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Places for the whole path, for its innermost two elements, for words and for sizes.
-PATH_PLACES, NEAR_PLACES, WORD_PLACES, SIZES = 256, 128, 64, 6
+PATH_PLACES, NEAR_PLACES, WORD_PLACES, SIZES = 256, 128, 64, 8
 PLACES = PATH_PLACES + NEAR_PLACES + WORD_PLACES + SIZES
 HIDDEN = 16
 #: Pages are labelled in lots of at most this many blocks, longer ones alone in windows of as many.
@@ -45,7 +44,10 @@ HIDDEN_TAGS = frozenset("script style template noscript head title svg math ifra
 HEAD_TAGS = frozenset("base link meta noscript script style template title".split())
 #: Hidden elements whose end tag authors leave out.
 OFTEN_OPEN = frozenset("template noscript svg math iframe object canvas audio video".split())
-_ENDS = re.compile(rf"</({'|'.join(sorted(OFTEN_OPEN))})(?=[\s>/])", re.IGNORECASE)
+_OFTEN_OPEN = re.compile(rf"<(/?)({'|'.join(sorted(OFTEN_OPEN))})(?=[\s>/])([^>]*)", re.IGNORECASE)
+_SKIPPED = re.compile(r"<!--|<(script|style)(?=[\s>/])", re.IGNORECASE)
+_COMMENT_END = re.compile(r"--!?>")
+_RAW_ENDS = {n: re.compile(rf"</{n}(?=[\s>/])", re.IGNORECASE) for n in ("script", "style")}
 #: A start tag of the key closes an open element of the value.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: An element that an implied end doesn't reach out of.
@@ -71,10 +73,10 @@ class Leaves(HTMLParser):
     """Collects ``blocks``: (text, path vector, places of the innermost two elements, share of
     its characters in links)."""
 
-    def __init__(self, ends: Counter[str]) -> None:
-        """``ends``: how many end tags of each often unclosed element are to come."""
+    def __init__(self, unclosed: set[tuple[int, int]]) -> None:
+        """``unclosed``: where start tags without their own end tag are (line, column)."""
         super().__init__(convert_charrefs=True)
-        self.ends = ends
+        self.unclosed = unclosed
         self.blocks: list[Block] = []
         self.open: list[tuple[str, np.ndarray, tuple[int, ...]]] = []
         self.count: dict[str, int] = {}
@@ -119,7 +121,7 @@ class Leaves(HTMLParser):
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         self.leave_head(tag)
-        if tag in OFTEN_OPEN and self.ends[tag] <= 0:
+        if tag in OFTEN_OPEN and self.getpos() in self.unclosed:
             return
         if tag in BLOCK_TAGS:
             self.flush()
@@ -148,8 +150,6 @@ class Leaves(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in OFTEN_OPEN:
-            self.ends[tag] -= 1
         if tag in BLOCK_TAGS:
             self.flush()
         if tag == "br":
@@ -170,8 +170,47 @@ class Leaves(HTMLParser):
                 self.in_links += len(data)
 
 
+def _shown(html: str) -> str:
+    """The page without comments, scripts and styles, in one pass."""
+    parts, at = [], 0
+    while m := _SKIPPED.search(html, at):
+        parts.append(html[at : m.start()])
+        if m[1]:
+            at = html.find(">", m.end()) + 1
+            if at and html[at - 2] != "/":
+                end = _RAW_ENDS[m[1].lower()].search(html, at)
+                at = html.find(">", end.end()) + 1 if end else 0
+        elif html.startswith((">", "->"), m.end()):
+            at = html.index(">", m.end()) + 1
+        else:
+            end = _COMMENT_END.search(html, m.end())
+            at = end.end() if end else 0
+        if not at:
+            return "".join(parts)
+    return "".join([*parts, html[at:]])
+
+
+def _unclosed(html: str) -> set[tuple[int, int]]:
+    """Line (from 1) and column (from 0) of the start tags of often open elements that no end tag belongs to."""
+    open_at: dict[str, list[int]] = {}
+    for m in _OFTEN_OPEN.finditer(html):
+        starts = open_at.setdefault(m[2].lower(), [])
+        if not m[1] and not m[3].endswith("/"):
+            starts.append(m.start())
+        elif m[1] and starts:
+            starts.pop()
+    found, line, last, seen = set(), 1, -1, 0
+    for at in sorted(i for starts in open_at.values() for i in starts):
+        line += html.count("\n", seen, at)
+        last = max(last, html.rfind("\n", seen, at))
+        found.add((line, at - last - 1))
+        seen = at
+    return found
+
+
 def leaf_blocks(html: str) -> list[Block]:
-    parser = Leaves(Counter(m.lower() for m in _ENDS.findall(html)))
+    html = _shown(html)
+    parser = Leaves(_unclosed(html))
     parser.feed(html)
     parser.close()
     parser.flush()
@@ -189,7 +228,7 @@ def features(blocks: list[Block], lo: int = 0, hi: int | None = None) -> np.ndar
         row[[PATH_PLACES + k for k in near]] = 1.0
         row[[PATH_PLACES + NEAR_PLACES + _place(w, WORD_PLACES) for w in set(words)]] = 0.25
         letters = len(text)
-        row[-SIZES:] = (np.log1p(letters) / 6, np.log1p(len(words)) / 5, linked, text.count(".") > 0, (lo + i) / len(blocks), text[-1] in ".!?…")
+        row[-SIZES:] = (np.log1p(letters) / 6, np.log1p(len(words)) / 5, linked, linked > 0.5, 2 * (linked > 0.8), text.count(".") > 0, (lo + i) / len(blocks), text[-1] in ".!?…")
     return out
 
 
@@ -398,8 +437,19 @@ class Maker:
         else:
             self.filler(EXTRA_NAMES, ["div", "ul", "p", "section"])
 
-    def main(self) -> None:
-        ends = [self.wrap(MAIN_NAMES, ["article", "article", "article", "main", "div", "div", "section"])]
+    def made_name(self) -> str:
+        """A name that a build tool made."""
+        return self.pick(["css-", "sc-", "_", "jsx-", ""]) + "".join(self.pick(list("abcdefghijkmnpqrstuvwxyz0123456789")) for _ in range(int(self.r.integers(3, 8))))
+
+    def main(self, bare: float = 0.15) -> None:
+        kind = self.r.random()
+        if kind < bare:  # straight in what is around it
+            ends = []
+        elif kind < bare + 0.25:
+            self.tag(f'<div class="{self.made_name()}">')
+            ends = ["</div>"]
+        else:
+            ends = [self.wrap(MAIN_NAMES, ["article", "article", "article", "main", "div", "div", "section"])]
         if self.some(0.3):
             ends.append(self.wrap(MAIN_NAMES, ["article", "div", "section"]))
         if self.some(0.8):
@@ -444,13 +494,23 @@ class Maker:
         if self.some(0.6):
             self.filler(HEAD_NAMES, ["header", "header", "div"])
         if self.some(0.75):
-            end = self.wrap(NAV_NAMES, ["nav", "nav", "div", "ul"])
+            end = self.wrap([self.made_name()] if self.some(0.15) else NAV_NAMES, ["nav", "nav", "div", "ul"])
             self.links(0)
             self.tag(end)
         while self.some(0.5):
             self.aside()
+        cells = self.some(0.15)
+        if cells:  # a table lays out the page
+            self.tag(self.pick(['<table><tr><td>', '<table width="100%"><tbody><tr><td class="left">', "<table><tr><td><ul>"]))
+            for _ in range(int(self.r.integers(1, 8))):
+                self.tag(self.pick(['<a href="#">', '<li><a href="#">', '<p><a href="#">']))
+                self.block(self.words(1, 3), 0)
+                self.tag("</a><hr>")
+            self.tag("</td><td>")
         if self.some(0.95):
-            self.main()
+            self.main(0.6 if cells else 0.15)
+        if cells:
+            self.tag("</td></tr></table>")
         while self.some(0.45):
             self.aside()
         if self.some(0.3):
