@@ -3,6 +3,7 @@
 import hashlib
 import os
 import re
+import time
 import zlib
 
 import numpy as np
@@ -170,6 +171,33 @@ def test_html_left_open():
     assert [t for t, *_ in html.leaf_blocks(f"<head>loose{body}")] == ["loose", *want]
 
 
+def test_html_comments_and_media_by_nesting():
+    shown = lambda page: [t for t, *_ in html.leaf_blocks(page)]
+    assert shown("<p>a</p><!-- x <p>b") == ["a"] and shown("<p>a<!-- x --!>b<!-->c<!--->d") == ["abcd"]
+    assert shown("<p>a<script>s = '<!--'</script>b<!-- <script> -->c<style>x") == ["abc"]
+    assert shown("<p>a<script src=x />b</p>") == ["ab"]
+    assert shown("<article>\n<svg><p>a</article>\n<div><svg><svg></svg>no</svg></div><p>b") == ["a", "b"]
+    began = time.time()
+    assert shown("<p>a" + "<!--" * 250_000) == ["a"] and shown("<svg>" * 200 + "a") == ["a"]
+    assert time.time() - began < 1
+
+
+def test_html_layouts_without_telling_names():
+    net, right = html.trained(), 0
+    for seed in range(100, 120):
+        rng = np.random.default_rng(seed)
+        n = int(rng.integers(8, 60))
+        a, b, c = (" ".join("".join(rng.choice(list("abcdefghijklmno"), int(rng.integers(2, 9)))) for _ in range(n)).capitalize() + "." for _ in range(3))
+        paragraphs = f"<p>{a}</p><p>{b}</p><p>{c}</p>"
+        made = "css-" + "".join(rng.choice(list("abcxyz0123456789"), 4))
+        pages = [
+            f"<html><body>{paragraphs}</body></html>", f'<body><nav><ul><li><a href="/">Home</a></ul></nav><div class="{made}">{paragraphs}</div><footer>&copy; x</footer></body>',
+            f'<body><table><tr><td><a href="/">Home</a><br><a href="/n">News</a></td><td>{paragraphs}</td></tr></table></body>', f"<body><article><svg>{paragraphs}</article><footer><svg></svg></footer></body>"]
+        right += sum(got == f"{a}\n{b}\n{c}" for got in html.main_texts(net, pages))
+    print("exact pages of 80:", right)
+    assert right >= 64
+
+
 def test_html_long_pages_in_windows(monkeypatch):
     net = html.trained()
     blocks = html.leaf_blocks("".join(html.Maker(s).page()[0] for s in range(700_000, 700_020)))
