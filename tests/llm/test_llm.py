@@ -343,6 +343,20 @@ def test_lines_that_are_not_similar_stay(spark):
     assert all(r["gone"] == 0 for r in got)
 
 
+def test_all_lines_of_a_crowded_block_are_compared(spark, monkeypatch):
+    rng = np.random.default_rng(17)
+    own = lambda: ["".join(rng.choice(list("abcdefghijklmnopqrstuvw"), 9)) for _ in range(6)]
+    rows = []
+    for i in range(40):  # six words that all lines quote, six own ones; the partner has a letter of each own word changed
+        words = own()
+        rows += [(2 * i, f"what every line quotes in full {' '.join(words)}"), (2 * i + 1, f"what every line quotes in full {' '.join(w[:4] + 'x' + w[5:] for w in words)}")]
+    df = spark.createDataFrame(rows, "doc_id int, text string")
+    for pairs, dealt in ((linededup.PAIRS, linededup.DEALT), (0, 7), (1000, 7)):
+        monkeypatch.setattr(linededup, "PAIRS", pairs)
+        monkeypatch.setattr(linededup, "DEALT", dealt)
+        assert {r["doc_id"] for r in linededup.without_duplicate_lines(df, removed="n").collect() if r["n"]} == set(range(1, 80, 2))
+
+
 def test_quoted_passages_and_keyless_rows(spark):
     passage = "a passage of a dozen words that many quite different lines quote in full"
     rng = np.random.default_rng(9)
