@@ -11,7 +11,7 @@ from lumenframe import rules
 from lumenframe.api import Engine, NotFound, build_profile
 from lumenframe.config import DEFAULT, Config
 from lumenframe.functions import scalars
-from lumenframe.operators import context, models, neighbours, points, profile, quantiles, sampling, series, times
+from lumenframe.operators import context, geo, models, neighbours, points, profile, quantiles, sampling, series, times
 from lumenframe.plans import analysis, explain
 from lumenframe.sources.readers import TableError, clean_names, json_safe, read_table, url_filename, with_row_index
 from lumenframe.sources.sinks import checked
@@ -66,6 +66,22 @@ def test_models_find_the_odd_one(spark):
     assert sampled > 1.5
 
 
+def test_places_are_parsed_once(spark, monkeypatch):
+    rows = [(i, 40 + i % 9 / 100, str(-74 + i % 7 / 100)) for i in range(200)] + [(200, float("nan"), "1"), (201, float("inf"), "1"), (202, 95.0, "1"), (203, None, "1"), (204, 40.0, "x"), (205, -33.9, " 151.2 ")]
+    df = spark.createDataFrame(rows, "id int, lat double, lon string")
+    plans, own = [], geo.quantiles
+
+    def seen(of, *rest):
+        plans.append(of._jdf.queryExecution().optimizedPlan().toString())
+        return own(of, *rest)
+
+    monkeypatch.setattr(geo, "quantiles", seen)
+    assert geo.distances(df, "lat", "lon").count() == 201
+    assert [r["id"] for r in geo.outliers(df, "lat", "lon").collect()] == [205]
+    assert len(plans) == 4 and not any("RLIKE" in p for p in plans)  # every scan of a search reads numbers, not texts
+    assert geo.outliers(df.limit(5), "lat", "lon").count() == 0
+
+
 def brute_lof(x, k):
     x = x.astype(np.float32).astype(float)
     d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
