@@ -6,7 +6,7 @@ scored in Arrow batches."""
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,6 +52,16 @@ def grow(data: np.ndarray, rng: np.random.Generator, limit: int) -> tuple[np.nda
     return tuple(np.array(a) for a in (feature, cut, left, right, path))
 
 
+def _levels(left: np.ndarray, right: np.ndarray) -> int:
+    """The steps to a tree's deepest leaf; children come after their parents."""
+    depth = np.zeros(len(left), dtype=int)
+    for i in range(len(left)):
+        for child in (left[i], right[i]):
+            if child != i:
+                depth[child] = depth[i] + 1
+    return int(depth.max())
+
+
 def isolation_scores(df: DataFrame, key: str, columns: list[str], config: Config = DEFAULT) -> DataFrame:
     """``df`` and ``iso_score`` (0..1; over 0.5 is unusual)."""
     pool = _matrix(hash_sample(df.select(col(key), *map(col, columns)), key, config.trees * config.tree_rows, config.seed).collect(), columns)
@@ -60,21 +70,21 @@ def isolation_scores(df: DataFrame, key: str, columns: list[str], config: Config
     for t in range(config.trees):
         rng = np.random.default_rng([config.seed, t])
         forest.append(grow(pool[rng.choice(len(pool), size, replace=False)], rng, int(np.ceil(np.log2(max(size, 2))))))
-    held = df.sparkSession.sparkContext.broadcast((forest, float(_mean_path(size)) or 1.0))
-
-    @F.pandas_udf("double")
-    def score(*values: pd.Series) -> pd.Series:
-        forest, usual = held.value
-        x = np.stack([v.to_numpy(dtype=np.float32) for v in values], axis=1)
-        total = np.zeros(len(x))
-        rows = np.arange(len(x))
-        for feature, cut, left, right, path in forest:
-            at = np.zeros(len(x), dtype=int)
-            while (inner := feature[at] >= 0).any():
-                goes = x[rows, np.maximum(feature[at], 0)] <= cut[at]
-                at = np.where(inner, np.where(goes, left[at], right[at]), at)
-            total += path[at]
-        return pd.Series(2.0 ** (-total / len(forest) / usual))
+    # leaves lead to themselves, so that all rows take as many steps as a tree has levels
+    steps = [(np.maximum(feature, 0), cut.astype(float), np.stack([right, left], axis=1).ravel(), _levels(left, right), path) for feature, cut, left, right, path in forest]
+    held = df.sparkSession.sparkContext.broadcast((steps, float(_mean_path(size)) or 1.0))
+
+    @F.arrow_udf("double")
+    def score(*values: pa.Array) -> pa.Array:
+        steps, usual = held.value
+        x = np.stack([v.to_numpy(zero_copy_only=False).astype(np.float32).astype(float) for v in values], axis=1)
+        total, flat, rows = np.zeros(len(x)), x.ravel(), np.arange(len(x)) * x.shape[1]
+        for feature, cut, child, levels, path in steps:
+            at = np.zeros(len(x), dtype=np.int64)
+            for _ in range(levels):
+                at = child.take(2 * at + (flat.take(rows + feature.take(at)) <= cut.take(at)))
+            total += path.take(at)
+        return pa.array(2.0 ** (-total / len(steps) / usual))
 
     return df.withColumn("iso_score", score(*[col(c).cast("double") for c in columns]))
 

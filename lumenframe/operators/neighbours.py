@@ -4,7 +4,10 @@ Space is cut into the cells of some pivots: each row belongs to its nearest one.
 cell; the distance of its k-th neighbour there bounds which other cells can hold a nearer one, by the cells' radii and by
 the planes between pivots. It visits those and no others, so the k neighbours are certain. Cells are brought together by
 shuffling; a cell that very many rows visit is dealt to several tasks. Reachability and density are joins over the neighbour table.
-The driver sees pivots and cell sizes only."""
+The driver sees pivots and cell sizes only.
+
+Rows that are judged against a bounded sample don't move: the sample with its densities, ``lof_rows`` rows at most, is
+broadcast like the trees of a forest, and each batch of rows looks its neighbours up in a tree of boxes."""
 
 from __future__ import annotations
 
@@ -23,6 +26,8 @@ from .sampling import hash_sample
 
 #: Cells; rows that one task compares with a cell's rows; distances that it holds at once.
 PIVOTS, VISITORS, HELD = 256, 20_000, 2_000_000
+#: Least rows of a leaf of a tree of boxes; visits to leaves that are compared at once.
+LEAF, VISITED = 32, 16_384
 
 
 def _points(column: pa.ChunkedArray | pa.Array, d: int) -> np.ndarray:
@@ -142,6 +147,120 @@ def nearest(queries: DataFrame, base: DataFrame, key: str, columns: list[str], k
     return both.select("key", F.slice(F.array_sort("near"), 1, k).alias("near"))
 
 
+class _Judges:
+    """Rows of a sample (points ``x`` in order of their keys, distances ``kd`` of their k-th neighbours, densities ``lrd``) in the leaves of a
+    tree of boxes, halved along their widest sides. ``factors`` is exact: a row visits all leaves that its k-th distance reaches."""
+
+    def __init__(self, x: np.ndarray, kd: np.ndarray, lrd: np.ndarray, k: int):
+        # of rows in one place only the first k + 1 can be neighbours: ties go to the smaller key
+        place = np.unique(x, axis=0, return_inverse=True)[1].reshape(-1)
+        by = np.argsort(place, kind="stable")
+        ends = np.flatnonzero(np.r_[True, np.diff(place[by]) > 0]) if len(by) else by
+        kept = np.arange(len(by)) - np.repeat(ends, np.diff(np.r_[ends, len(by)])) <= k
+        rank = np.sort(by[kept])
+        rank = rank[np.isfinite(x[rank]).all(1)]
+        self.k, self.levels = k, max(0, int(np.log2(max(1, len(rank) / max(LEAF, 2 * k + 2)))))
+        parts, self.cuts = [rank], []
+        for _ in range(self.levels):
+            halves, cuts = [], []
+            for part in parts:
+                side = int(np.argmax(np.ptp(x[part], axis=0)))
+                order = np.argpartition(x[part, side], len(part) // 2)
+                cuts.append((side, x[part[order[len(part) // 2]], side]))
+                halves += [part[order[: len(part) // 2]], part[order[len(part) // 2 :]]]
+            self.cuts.append((np.array([c[0] for c in cuts]), np.array([c[1] for c in cuts])))
+            parts = halves
+        self.rows = np.full((len(parts), max(1, max(map(len, parts)))), len(x))  # a leaf's rows by key; beyond them a row far away
+        for i, part in enumerate(parts):
+            self.rows[i, : len(part)] = np.sort(part)
+        self.x, self.kd, self.lrd = np.vstack([x, np.full((1, x.shape[1]), np.inf)]), np.append(kd, np.nan), np.append(lrd, np.nan)
+        low = np.array([x[p].min(0) if len(p) else np.full(x.shape[1], np.inf) for p in parts])
+        high = np.array([x[p].max(0) if len(p) else np.full(x.shape[1], np.inf) for p in parts])
+        self.boxes = [(low, high)]
+        for _ in range(self.levels):
+            low, high = np.minimum(low[::2], low[1::2]), np.maximum(high[::2], high[1::2])
+            self.boxes.insert(0, (low, high))
+
+    def _far(self, x: np.ndarray, own: np.ndarray, leaf: np.ndarray) -> np.ndarray:
+        """The distances of each of ``x`` from the rows of its ``leaf``, its own row infinitely far."""
+        rows = self.rows[leaf]
+        total = np.zeros(rows.shape)
+        for j in range(x.shape[1]):
+            total += (x[:, j, None] - self.x[:, j].take(rows)) ** 2
+        total[rows == own[:, None]] = np.inf
+        return np.sqrt(total)
+
+    def factors(self, x: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """The local outlier factor of each of ``x``; ``own`` is its place among the keys, or -1. 1 where there are no neighbours."""
+        out = np.ones(len(x))
+        known = np.flatnonzero(np.isfinite(x).all(1))
+        for lo in range(0, len(known), 1024):
+            out[known[lo : lo + 1024]] = self._factors(x[known[lo : lo + 1024]], own[known[lo : lo + 1024]])
+        return out
+
+    def _factors(self, x: np.ndarray, own: np.ndarray) -> np.ndarray:
+        n, leaf = len(x), np.zeros(len(x), dtype=np.int64)
+        for sides, values in self.cuts:
+            leaf = 2 * leaf + (x[np.arange(n), sides[leaf]] >= values[leaf])
+        near = self._far(x, own, leaf)
+        reach = np.partition(near, self.k - 1, axis=1)[:, self.k - 1] if near.shape[1] >= self.k else np.full(n, np.inf)
+        q, node = np.arange(n), np.zeros(n, dtype=np.int64)
+        for low, high in self.boxes[1:]:
+            q, node = np.repeat(q, 2), np.repeat(2 * node, 2)
+            node[1::2] += 1
+            total = np.zeros(len(q))
+            for j in range(x.shape[1]):
+                at = x[:, j].take(q)
+                total += np.maximum(np.maximum(low[:, j].take(node) - at, at - high[:, j].take(node)), 0.0) ** 2
+            go = np.sqrt(total) * (1 - 1e-9) - 1e-12 <= reach.take(q)
+            q, node = q[go], node[go]
+        found = []
+        for lo in range(0, len(q), VISITED):
+            of, leaves = q[lo : lo + VISITED], node[lo : lo + VISITED]
+            far = self._far(x[of], own[of], leaves)
+            pair, place = np.nonzero((far <= reach[of][:, None]) & np.isfinite(far))
+            found.append((of[pair], far[pair, place], self.rows[leaves[pair], place]))
+        q, far, row = (np.concatenate(c) for c in zip(*found))
+        by = np.argsort(far, kind="stable")
+        by = by[np.argsort(q[by].astype(np.uint16), kind="stable")]
+        q, far, row = q[by], far[by], row[by]
+        starts = np.searchsorted(q, np.arange(n))
+        place = np.arange(len(q)) - starts[q]
+        # where the k-th distance is also the next one's, the smaller keys come first
+        last = starts + self.k
+        tied = np.zeros(n, dtype=bool)
+        more = np.flatnonzero(np.bincount(q, minlength=n) > self.k)
+        tied[more] = far[last[more]] == far[last[more] - 1]
+        some = np.flatnonzero(tied[q])
+        if len(some):
+            by = some[np.lexsort((row[some], far[some], q[some]))]
+            far[some], row[some] = far[by], row[by]
+        few = place < self.k
+        q, far, row = q[few], far[few], row[few]
+        count = np.bincount(q, minlength=n)
+        dense = ~np.isnan(self.lrd[row])
+        with np.errstate(divide="ignore", invalid="ignore"):
+            own_density = 1 / (np.bincount(q, np.fmax(far, self.kd[row]), n) / count + 1e-10)
+            around = np.bincount(q[dense], self.lrd[row[dense]], n) / np.bincount(q[dense], minlength=n)
+            return np.where(np.isfinite(around), around / own_density, 1.0)
+
+
+def _judged(df: DataFrame, judges: DataFrame, key: str, columns: list[str], k: int) -> DataFrame:
+    """``df`` and ``lof`` by ``judges`` (``key``, ``x``, ``kd``, ``lrd``), a bounded sample."""
+    held = judges.toArrow().sort_by("key")
+    number = lambda c: held[c].combine_chunks().to_numpy(zero_copy_only=False).astype(float)
+    tree = _Judges(_points(held["x"], len(columns)), number("kd"), number("lrd"), k)
+    sent = df.sparkSession.sparkContext.broadcast((tree, held["key"].combine_chunks()))
+
+    @F.arrow_udf("double")
+    def lof(keys: pa.Array, *values: pa.Array) -> pa.Array:
+        tree, names = sent.value
+        own = pc.fill_null(pc.index_in(keys, value_set=names), -1).to_numpy(zero_copy_only=False)
+        return pa.array(tree.factors(np.stack([v.to_numpy(zero_copy_only=False) for v in values], axis=1), own))
+
+    return df.withColumn("lof", lof(col(key), *[col(c).cast("float").cast("double") for c in columns]))
+
+
 def local_outlier_factor(df: DataFrame, key: str, columns: list[str], config: Config = DEFAULT) -> DataFrame:
     """``df`` and ``lof``. Up to ``lof_switch`` rows judge each other; larger tables are judged against ``lof_rows`` of their rows
     (the smallest hashes). Ties between neighbours go to the smaller key; keys tell rows apart."""
@@ -159,10 +278,10 @@ def local_outlier_factor(df: DataFrame, key: str, columns: list[str], config: Co
         return pairs.join(reach, "nb").groupBy("key").agg((1 / (F.avg(F.greatest("d", "kd")) + 1e-10)).alias("lrd"))
 
     of_train = written(density(near))
-    judged, own = near, of_train
     if n > config.lof_switch:
-        judged = written(nearest(df, train, key, columns, k, config))
-        own = density(judged)
-    around = judged.select("key", F.explode("near").alias("p")).select("key", F.col("p.nb").alias("nb")).join(of_train.select(F.col("key").alias("nb"), F.col("lrd").alias("of")), "nb").groupBy("key").agg(F.avg("of").alias("of"))
-    factors = own.join(around, "key").select(F.col("key").alias(f"__{key}"), (F.col("of") / F.col("lrd")).alias("lof"))
+        point = F.array(*[col(c).cast("float").cast("double") for c in columns])
+        judges = train.select(col(key).alias("key"), point.alias("x")).join(reach.select(F.col("nb").alias("key"), "kd"), "key", "left").join(of_train, "key", "left")
+        return _judged(df, judges, key, columns, k)
+    around = near.select("key", F.explode("near").alias("p")).select("key", F.col("p.nb").alias("nb")).join(of_train.select(F.col("key").alias("nb"), F.col("lrd").alias("of")), "nb").groupBy("key").agg(F.avg("of").alias("of"))
+    factors = of_train.join(around, "key").select(F.col("key").alias(f"__{key}"), (F.col("of") / F.col("lrd")).alias("lof"))
     return df.join(factors, col(key) == F.col(f"`__{key}`"), "left").drop(f"__{key}").withColumn("lof", F.coalesce("lof", F.lit(1.0)))

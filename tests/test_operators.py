@@ -82,6 +82,28 @@ def test_places_are_parsed_once(spark, monkeypatch):
     assert geo.outliers(df.limit(5), "lat", "lon").count() == 0
 
 
+@pytest.mark.parametrize("shape", ["normal", "grid", "copies", "few"])
+def test_rows_are_judged_in_place(spark, shape, monkeypatch):
+    rng = np.random.default_rng(21)
+    x = {"normal": rng.normal(size=(900, 3)), "grid": rng.integers(0, 6, (900, 3)), "copies": np.vstack([np.ones((450, 2)), rng.integers(0, 30, (450, 2))]), "few": rng.normal(size=(60, 2))}[shape].astype(np.float32).astype(float)
+    columns = list("abc")[: x.shape[1]]
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "id bigint, " + ", ".join(f"{c} double" for c in columns)).repartition(5)
+    config = Config(lof_switch=50, lof_rows=len(x) // 2)
+    train = sorted(r["id"] for r in models.hash_sample(df, "id", config.lof_rows, config.seed).collect())
+    k = 20
+    far = lambda y, z: np.sqrt(sum((y[:, None, j] - z[None, :, j]) ** 2 for j in range(x.shape[1])))
+    d = far(x, x[train])
+    d[train, np.arange(len(train))] = np.inf
+    near = np.argsort(d, axis=1, kind="stable")[:, :k]
+    dist = np.take_along_axis(d, near, 1)
+    lrd = 1 / (np.maximum(dist, dist[train, -1][near]).mean(1) + 1e-10)
+    searches, own = [], neighbours.nearest
+    monkeypatch.setattr(neighbours, "nearest", lambda q, *a, **b: searches.append(q.count()) or own(q, *a, **b))
+    got = {r["id"]: r["lof"] for r in models.local_outlier_factor(df, "id", columns, config).collect()}
+    assert np.allclose([got[i] for i in range(len(x))], lrd[train][near].mean(1) / lrd, rtol=1e-6)
+    assert searches == [len(train)]  # only rows of the sample are moved to meet each other
+
+
 def brute_lof(x, k):
     x = x.astype(np.float32).astype(float)
     d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
