@@ -12,6 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from lumenframe.llm import bpe, decontam, filteraudit, html, language, linededup, pii, quality, runs, simhash, suffixdedup, tokencount, vafile
+from lumenframe.llm.common import durable as durable_table
 from lumenframe.llm.queries import ORACLE_SQL, QUERIES, tokenizer_path
 
 SF = "/root/testdata/sf0.001"
@@ -357,6 +358,36 @@ def test_all_lines_of_a_crowded_block_are_compared(spark, monkeypatch):
         assert {r["doc_id"] for r in linededup.without_duplicate_lines(df, removed="n").collect() if r["n"]} == set(range(1, 80, 2))
 
 
+def test_only_candidates_leave_their_block_and_shuffles_go(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    passages = [" ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvw"), 7)) for _ in range(6)) for _ in range(8)]
+    rows = [(i, " ".join(passages[j] for j in rng.choice(8, 4, replace=False))) for i in range(60)]
+    made, was = [], linededup.Scratch.durable
+
+    def durable(self, df, label="t"):
+        table = was(self, df, label)
+        if label in ("lists", "pairs"):
+            made.append((label, table.collect()))
+        return table
+
+    monkeypatch.setattr(linededup.Scratch, "durable", durable)
+    linededup.duplicate_lines(spark.createDataFrame(rows, "doc_id int, text string"))
+    of = {(r["id"], r["view"]): (r["least"], set(r["keys"])) for label, table in made if label == "lists" for r in table}
+    pairs = [(r["a"], r["b"]) for label, table in made if label == "pairs" for r in table]
+    assert pairs and len(set(pairs)) == len(pairs)
+    for a, b in pairs:
+        assert any((a, v) in of and (b, v) in of and len(of[a, v][1] & of[b, v][1]) >= max(of[a, v][0], of[b, v][0]) for v in (0, 1))
+
+    held = lambda: spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks().mkString(" ").count("shuffle_")
+    before = held()
+    durable_table(spark.range(1000).groupBy(F.col("id") % 7).count())
+    for _ in range(50):  # they go in the background
+        if held() <= before:
+            break
+        time.sleep(0.1)
+    assert held() <= before and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
 def test_quoted_passages_and_keyless_rows(spark):
     passage = "a passage of a dozen words that many quite different lines quote in full"
     rng = np.random.default_rng(9)
