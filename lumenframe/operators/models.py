@@ -62,6 +62,57 @@ def _levels(left: np.ndarray, right: np.ndarray) -> int:
     return int(depth.max())
 
 
+#: A tree of up to so many cells (of the grid that its cuts make) is read from a table of them, others are walked.
+CELLS = 1 << 15
+
+
+def _walk(x: np.ndarray, feature: np.ndarray, cut: np.ndarray, child: np.ndarray, levels: int) -> np.ndarray:
+    """The leaf of each of ``x``; leaves lead to themselves, so that all rows take as many steps as a tree has levels."""
+    at, flat, rows = np.zeros(len(x), dtype=np.int64), x.ravel(), np.arange(len(x)) * x.shape[1]
+    for _ in range(levels):
+        at = child.take(2 * at + (flat.take(rows + feature.take(at)) <= cut.take(at)))
+    return at
+
+
+class _Paths:
+    """The path lengths of a forest. Which way a value goes at a cut depends on its rank among all cuts of its column alone, so
+    that is looked up once; a tree's own ranks, then its cell and path, follow from tables."""
+
+    def __init__(self, forest: list[tuple[np.ndarray, ...]], width: int):
+        inner = [feature >= 0 for feature, *_ in forest]
+        self.cuts = [np.unique(np.concatenate([cut[on & (feature == f)] for on, (feature, cut, *_) in zip(inner, forest)])).astype(float) for f in range(width)]
+        self.trees = []
+        for feature, cut, left, right, path in forest:
+            child, levels = np.stack([right, left], axis=1).ravel(), _levels(left, right)
+            own = [np.unique(cut[feature == f]).astype(float) for f in range(width)]
+            shape = [len(c) + 1 for c in own]
+            if np.prod(shape, dtype=float) > CELLS:
+                self.trees.append((np.maximum(feature, 0), cut.astype(float), child, levels, path))
+                continue
+            place = np.zeros(len(cut))
+            for f, c in enumerate(own):
+                place[feature == f] = np.searchsorted(c, cut[feature == f])
+            cells = np.stack([g.ravel() for g in np.meshgrid(*map(np.arange, shape), indexing="ij")], axis=1).astype(float)
+            strides = np.cumprod([1, *shape[:0:-1]])[::-1]
+            ranks = [(np.searchsorted(np.searchsorted(all_, c), np.arange(len(all_) + 1)) * n).astype(np.uint16) for all_, c, n in zip(self.cuts, own, strides)]
+            self.trees.append((ranks, path[_walk(cells, np.maximum(feature, 0), place, child, levels)]))
+
+    def total(self, x: np.ndarray) -> np.ndarray:
+        """The sum over all trees, in their order."""
+        rank = [np.searchsorted(c, x[:, f]) for f, c in enumerate(self.cuts)]
+        total = np.zeros(len(x))
+        for tree in self.trees:
+            if len(tree) == 2:
+                ranks, path = tree
+                cell = ranks[0].take(rank[0])
+                for r, at in zip(ranks[1:], rank[1:]):
+                    cell = cell + r.take(at)
+                total += path.take(cell)
+            else:
+                total += tree[-1].take(_walk(x, *tree[:-1]))
+        return total
+
+
 def isolation_scores(df: DataFrame, key: str, columns: list[str], config: Config = DEFAULT) -> DataFrame:
     """``df`` and ``iso_score`` (0..1; over 0.5 is unusual)."""
     pool = _matrix(hash_sample(df.select(col(key), *map(col, columns)), key, config.trees * config.tree_rows, config.seed).collect(), columns)
@@ -70,21 +121,13 @@ def isolation_scores(df: DataFrame, key: str, columns: list[str], config: Config
     for t in range(config.trees):
         rng = np.random.default_rng([config.seed, t])
         forest.append(grow(pool[rng.choice(len(pool), size, replace=False)], rng, int(np.ceil(np.log2(max(size, 2))))))
-    # leaves lead to themselves, so that all rows take as many steps as a tree has levels
-    steps = [(np.maximum(feature, 0), cut.astype(float), np.stack([right, left], axis=1).ravel(), _levels(left, right), path) for feature, cut, left, right, path in forest]
-    held = df.sparkSession.sparkContext.broadcast((steps, float(_mean_path(size)) or 1.0))
+    held = df.sparkSession.sparkContext.broadcast((_Paths(forest, len(columns)), float(_mean_path(size)) or 1.0))
 
     @F.arrow_udf("double")
     def score(*values: pa.Array) -> pa.Array:
-        steps, usual = held.value
+        paths, usual = held.value
         x = np.stack([v.to_numpy(zero_copy_only=False).astype(np.float32).astype(float) for v in values], axis=1)
-        total, flat, rows = np.zeros(len(x)), x.ravel(), np.arange(len(x)) * x.shape[1]
-        for feature, cut, child, levels, path in steps:
-            at = np.zeros(len(x), dtype=np.int64)
-            for _ in range(levels):
-                at = child.take(2 * at + (flat.take(rows + feature.take(at)) <= cut.take(at)))
-            total += path.take(at)
-        return pa.array(2.0 ** (-total / len(steps) / usual))
+        return pa.array(2.0 ** (-paths.total(x) / len(paths.trees) / usual))
 
     return df.withColumn("iso_score", score(*[col(c).cast("double") for c in columns]))
 

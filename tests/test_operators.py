@@ -482,3 +482,28 @@ def test_row_index_is_the_reading_order(spark):
     assert got.columns == ["n", "a b", "row_index"]
     assert [r["row_index"] for r in got.orderBy("n").collect()] == list(range(800))
     assert with_row_index(df.limit(0)).count() == 0
+
+
+def test_forest_paths_from_tables_are_those_of_walks(monkeypatch):
+    rng = np.random.default_rng(4)
+    for width in (1, 2, 5):
+        pool = rng.normal(size=(256, width)).astype(np.float32)
+        pool[:40] = pool[0]
+        forest = [models.grow(pool, np.random.default_rng(i), 8) for i in range(12)] + [models.grow(pool[:1], rng, 8)]
+        cuts = np.concatenate([f[1] for f in forest])
+        x = np.concatenate([pool.astype(float), rng.normal(size=(500, width)) * 3, rng.choice(cuts, (500, width)), np.full((1, width), np.nan), np.full((1, width), np.inf)])
+        walked = sum(np.array([_leaf(r, f) for r in x]) for f in forest)
+        for cells in (0, 200, models.CELLS):
+            monkeypatch.setattr(models, "CELLS", cells)
+            paths = models._Paths(forest, width)
+            assert np.array_equal(paths.total(x), walked)
+        monkeypatch.undo()
+        assert width > 2 or all(len(tree) == 2 for tree in models._Paths(forest, width).trees)  # no walks for few columns
+
+
+def _leaf(row, tree):
+    feature, cut, left, right, path = tree
+    at = 0
+    while feature[at] >= 0:
+        at = left[at] if row[feature[at]] <= cut[at] else right[at]
+    return path[at]
