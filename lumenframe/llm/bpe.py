@@ -21,6 +21,8 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import in_small_batches
+
 NONE = 1 << 62
 #: Fixed value: the byte-level pre-token pattern that belongs to such vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -196,6 +198,7 @@ def with_tokens(df: DataFrame, path: str, text: str = "text", ids: str = "token_
     """All columns of ``df``, ``ids`` (binary: the token ids as little-endian unsigned 32-bit
     integers, as training shards hold them) and, where named, ``decoded`` (the text that
     those ids decode to). Columns of ``df`` with these names are replaced."""
+    in_small_batches(df.sparkSession)
     source = vocabulary(df.sparkSession, path)
     added = [ids] + ([decoded] if decoded else [])
     rest = [c for c in df.columns if c.lower() not in {a.lower() for a in added}]

@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_small_batches
+
 BUCKETS = 1 << 18
 LONGEST_GRAM = 4
 LONGEST_REPEAT = 8
@@ -154,6 +156,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     known = known.groupBy(F.col(key).alias("k")).agg(F.max(label).alias("y"))
     # Labels of absent documents don't use up the sample: keys meet before the choice.
     there = docs.select(F.col(key).alias("k")).distinct()
+    in_small_batches(docs.sparkSession)
     chosen = known.join(there, "k", "left_semi").orderBy(F.xxhash64("k"), "k").limit(sample_rows)
     texts = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
     # At most sample_rows keys: small enough to broadcast.
@@ -171,6 +174,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
 def with_scores(docs: DataFrame, model: Model, text: str = "text", score: str = "score") -> DataFrame:
     """All columns of ``docs`` and ``score`` (replaced if there)."""
+    in_small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)  # fixed size: two arrays of BUCKETS
     rest = [c for c in docs.columns if c.lower() != score.lower()]
     slim = docs.select(F.col(f"`{text}`").cast("string").alias("__text"), *[F.col(f"`{c}`").alias(f"__{i}") for i, c in enumerate(rest)])

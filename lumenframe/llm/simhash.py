@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, durable, fresh
+from .common import components, durable, fresh, in_small_batches
 
 RADIUS = 3
 SHINGLE_WORDS = 3
@@ -59,6 +59,7 @@ def with_fingerprint(docs: DataFrame, key: str = "doc_id", text: str = "text") -
             fps = [fingerprint(t.as_py()) for t in texts]
             yield pa.record_batch([b.column(0), pa.array(fps, pa.int64())], names=[key, "fp"])
 
+    in_small_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(key, F.col(text).cast("string").alias("__text")).mapInArrow(run, f"`{key}` {kind}, fp bigint")
 

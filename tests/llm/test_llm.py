@@ -7,6 +7,7 @@ import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -388,6 +389,39 @@ def test_only_candidates_leave_their_block_and_shuffles_go(spark, monkeypatch):
     assert held() <= before and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
 
 
+def test_candidates_that_cannot_be_similar_stay_in_their_block(spark, monkeypatch):
+    rng = np.random.default_rng(23)
+    own = lambda n: [" ".join("".join(rng.choice(list("abcdefghijklmnop"), 6)) for _ in range(n)) for _ in range(60)]
+    passage, short = own(14)[0], "in every short line"
+    rows = [(i, f"{a} {passage} {b}") for i, (a, b) in enumerate(zip(own(9), own(9), strict=True))] + [(i + 60, f"{short} {a}") for i, a in enumerate(own(3))]
+    rows += [(i + 120, rows[i][1] + " x") for i in range(0, 120, 20)]
+    made, was = [], linededup.Scratch.durable
+
+    def durable(self, df, label="t"):
+        table = was(self, df, label)
+        if label == "pairs":
+            made.append(table.count())
+        return table
+
+    monkeypatch.setattr(linededup.Scratch, "durable", durable)
+    got = linededup.without_duplicate_lines(spark.createDataFrame(rows, "doc_id int, text string"), removed="n").collect()
+    assert {r["doc_id"] for r in got if r["n"]} == {i + 120 for i in range(0, 120, 20)}
+    assert len(made) > 1 and sum(made[1:]) <= len(rows), made  # those after the first centres
+
+
+def test_batches_to_python_are_small(spark):
+    conf, docs = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.range(3000, numPartitions=1).select(F.col("id").alias("doc_id"), F.lit(PROSE).alias("text"))
+    before = spark.conf.get(conf)
+    try:
+        for stated, want in ((10000, 1000), (0, 1000), (300, 300)):
+            spark.conf.set(conf, str(stated))
+            assert simhash.with_fingerprint(docs).count() == 3000
+            largest = docs.select("doc_id").mapInArrow(lambda batches: (pa.record_batch([pa.array([b.num_rows])], names=["n"]) for b in batches), "n bigint").agg(F.max("n")).first()[0]
+            assert largest == want
+    finally:
+        spark.conf.set(conf, before)
+
+
 def test_quoted_passages_and_keyless_rows(spark):
     passage = "a passage of a dozen words that many quite different lines quote in full"
     rng = np.random.default_rng(9)
