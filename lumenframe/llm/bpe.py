@@ -32,7 +32,7 @@ PLAIN_PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^{SP
 #: Encoded pre-tokens that a Python worker remembers (two generations of this many,
 #: and as many chunks), and
 #: the longest pre-token, in characters, that it remembers.
-REMEMBERED, LONGEST_REMEMBERED = 250_000, 48
+REMEMBERED, LONGEST_REMEMBERED = 60_000, 48
 
 
 def byte_alphabet() -> dict[str, int]:

@@ -422,6 +422,17 @@ def test_batches_to_python_are_small(spark):
         spark.conf.set(conf, before)
 
 
+def test_a_worker_remembers_a_bounded_number_of_pieces():
+    with open(tokenizer_path(), encoding="utf-8") as f:
+        coder = bpe.Bpe(f.read())
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = [a + b + c + d for a in letters for b in letters for c in letters for d in letters[:15]]
+    for lo in range(0, len(words), 10000):
+        text = " ".join(words[lo : lo + 10000])
+        assert coder.decode(coder.encode(text)) == text
+    assert len(words) > 260_000 and sum(len(d) for d in (coder.young, coder.old, coder.chunks, coder.old_chunks)) <= 240_000
+
+
 def test_quoted_passages_and_keyless_rows(spark):
     passage = "a passage of a dozen words that many quite different lines quote in full"
     rng = np.random.default_rng(9)
