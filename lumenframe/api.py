@@ -220,8 +220,9 @@ class Analysis:
         faulty = quality.summary(written(quality.by_column(data, filled, spellings, [c for c, t in types.items() if t == "date"], (g["latitude_column"], g["longitude_column"]) if g["latitude_column"] and g["longitude_column"] else None))).collect()  # seven rows
         issues = {r["issue"]: {"count": r["n"], "columns": r["columns"]} for r in faulty}
         counts = {k: v["count"] for k, v in issues.items()}
-        trained = min(p["row_count"], config.lof_rows) if p["row_count"] > config.lof_switch else p["row_count"]
-        base = {"total_rows": p["row_count"], "quality_anomalies": issues, "analysis_metadata": {"analysis_mode": "full", "approximate": p["row_count"] > config.lof_switch, "sampled_rows": trained, "sampled_ratio": round(trained / max(1, p["row_count"]), 6)}}
+        against = 0 < config.lof_switch < p["row_count"]
+        trained = min(p["row_count"], config.lof_rows) if against else p["row_count"]
+        base = {"total_rows": p["row_count"], "quality_anomalies": issues, "analysis_metadata": {"analysis_mode": "full", "approximate": against, "sampled_rows": trained, "sampled_ratio": round(trained / max(1, p["row_count"]), 6)}}
         self.base, self.order, self.every, self.counts, self.filled = base, None, None, counts, filled
         if not filled:
             return

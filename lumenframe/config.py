@@ -26,8 +26,8 @@ class Config:
     tree_rows: int = 256
     neighbours: int = 20
     lof_limit: float = 1.5
-    #: Up to so many rows all judge each other; larger tables are judged against lof_rows of theirs.
-    lof_switch: int = 120_000
+    #: 0: all rows judge each other, however many they are. Else up to so many do; larger tables are judged against lof_rows of theirs.
+    lof_switch: int = 0
     lof_rows: int = 100_000
     #: How profiles count distinct values: "exact", or "by need": sketches, and exact counts only where a threshold is near.
     distinct: str = "exact"

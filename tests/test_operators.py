@@ -135,6 +135,46 @@ def test_neighbours_equal_brute_force(spark, shape, monkeypatch):
     assert np.allclose([factors[i] for i in range(len(x))], lof, rtol=1e-6)
 
 
+@pytest.mark.parametrize("shape", ["normal", "copies", "ties", "skewed", "one_place"])
+def test_all_rows_judge_each_other_across_cells(spark, shape, monkeypatch):
+    rng = np.random.default_rng(31)
+    x = {"normal": rng.normal(size=(1500, 2)), "copies": np.repeat(rng.normal(size=(40, 2)), 25, axis=0), "ties": rng.integers(0, 14, (1500, 2)).astype(float), "skewed": np.exp(3 * rng.normal(size=(1200, 3))), "one_place": np.ones((70, 2))}[shape]
+    x = x[rng.permutation(len(x))]
+    rows = [(f"k{i:05}", *map(float, r)) for i, r in enumerate(x)]
+    odd = [("n1", None, 1.0), ("n2", float("nan"), 1.0), ("n3", float("inf"), 1.0)]
+    columns = list("abc")[: x.shape[1]]
+    df = spark.createDataFrame(rows + [(*r, 1.0)[: 1 + len(columns)] for r in odd], "id string, " + ", ".join(f"{c} double" for c in columns)).repartition(5)
+    lof = brute_lof(x, 20)[1]
+    for cell, visitors in ((1 << 14, 20_000), (30, 7), (6, 20_000)):  # the last: cells of fewer rows than a row has neighbours
+        monkeypatch.setattr(neighbours, "CELL", cell)
+        monkeypatch.setattr(neighbours, "VISITORS", visitors)
+        got = {r["id"]: r["lof"] for r in models.local_outlier_factor(df, "id", columns).collect()}
+        assert len(got) == len(rows) + 3 and all(got[k] == 1.0 for k in ("n1", "n2", "n3"))
+        assert np.allclose([got[r[0]] for r in rows], lof, rtol=1e-6), (cell, visitors)
+
+
+def test_factors_do_not_switch_with_the_size_of_a_table(spark):
+    # beyond 120 000 rows, and with two far places of 15 rows each, of which a sample would hold fewer
+    base = spark.range(121_000).select("id", F.pmod(F.xxhash64("id"), F.lit(1000)).cast("double").alias("a"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1000)).cast("double").alias("b"))
+    far = spark.range(30).select((F.col("id") + 121_000).alias("id"), (F.lit(1e5) + F.col("id") % 2 * 1e4).alias("a"), F.lit(1e5).alias("b"))
+    df = base.unionByName(far)
+    got = {r["id"]: r["lof"] for r in models.local_outlier_factor(df, "id", ["a", "b"]).filter("id >= 121000 or id % 40000 = 7").collect()}
+    x = np.array([(r["a"], r["b"]) for r in df.orderBy("id").collect()])
+    k, held = 20, {}
+
+    def near(i):
+        if i not in held:
+            d = np.sqrt(((x[i] - x) ** 2).sum(1))
+            d[i] = np.inf
+            at = np.argsort(d, kind="stable")[:k]
+            held[i] = at, d[at]
+        return held[i]
+
+    density = lambda i: 1 / (np.mean([max(d, near(j)[1][-1]) for j, d in zip(*near(i))]) + 1e-10)
+    some = [121_000, 121_001, 7, 40_007]
+    assert np.allclose([got[i] for i in some], [np.mean([density(j) for j in near(i)[0]]) / density(i) for i in some], rtol=1e-6)
+
+
 def test_types(spark):
     df = spark.createDataFrame([(i, f"2024-01-{i % 28 + 1:02d}", "x" * 30 + " y", i % 3 == 0, [1], float(i % 5)) for i in range(60)], "my_id int, day_text string, note string, flag boolean, nested array<int>, v double")
     assert profile.semantic_types(df) == {"my_id": "id-like", "day_text": "date", "note": "text", "flag": "numeric", "nested": "unsupported", "v": "numeric"}
