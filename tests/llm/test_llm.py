@@ -333,6 +333,21 @@ def test_long_lines_are_compared_whole(spark):
     assert got == {1: 0, 2: 1, 3: 0}
 
 
+def test_lines_are_decided_by_characters_whatever_their_length_and_words(spark):
+    rng = np.random.default_rng(29)
+    word = lambda n: "".join(rng.choice(list("abcdefghijklmnopqrstuvw"), n))
+    changed = lambda w: w[:4] + "x" + w[5:]
+    ends, few = [word(3000), word(30_000)], [word(9) for _ in range(40)]
+    rows = [(1, " ".join(few)), (2, " ".join(few[:16] + [changed(w) for w in few[16:]]))]  # three fifths of the words differ, a sixteenth of the characters
+    for i, end in enumerate(ends):  # one word of which says nothing of the others' length
+        many = [word(6) for _ in range(2400)]
+        rows += [(10 * i + 11, " ".join([*many, end])), (10 * i + 12, " ".join([*(changed(w) if j % 12 == 0 else w for j, w in enumerate(many)), end]))]
+        rows += [(10 * i + 13, " ".join([*many[:1400], *(word(6) for _ in range(1000)), word(len(end))]))]
+    assert min(len(text) for i, text in rows if i > 10) > linededup.EXACT
+    got = {r["doc_id"]: r["gone"] for r in linededup.without_duplicate_lines(spark.createDataFrame(rows, "doc_id int, text string"), removed="gone").collect()}
+    assert got == {1: 0, 2: 1, 11: 0, 12: 1, 13: 0, 21: 0, 22: 1, 23: 0}
+
+
 def test_lines_that_are_not_similar_stay(spark):
     rng = np.random.default_rng(13)
     some = lambda n: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), n))
@@ -359,6 +374,20 @@ def test_all_lines_of_a_crowded_block_are_compared(spark, monkeypatch):
         assert {r["doc_id"] for r in linededup.without_duplicate_lines(df, removed="n").collect() if r["n"]} == set(range(1, 80, 2))
 
 
+def test_crowded_keys_lose_no_pair(spark, monkeypatch):
+    rng = np.random.default_rng(37)
+    pool = [" ".join("".join(rng.choice(list("abcdef"), 3)) for _ in range(3)) for _ in range(12)]
+    lines = [" ".join(pool[j] for j in rng.choice(12, int(rng.integers(1, 6)))) for _ in range(150)]
+    rows = [(2 * i + j, line if j == 0 else line[:-1] + "x") for i, line in enumerate(lines) for j in (0, 1)]
+    df, found = spark.createDataFrame(rows, "doc_id int, text string"), []
+    monkeypatch.setattr(linededup, "PAIRS", 1000)  # all pairs at once
+    for crowded, dealt in ((10**6, 1000), (2, 1000), (0, 3)):
+        monkeypatch.setattr(linededup, "CROWDED", crowded)
+        monkeypatch.setattr(linededup, "DEALT", dealt)
+        found.append(sorted((r["doc_id"], r["n"]) for r in linededup.without_duplicate_lines(df, removed="n").collect()))
+    assert found[0] == found[1] == found[2] and sum(n for _, n in found[0]) >= 150
+
+
 def test_only_candidates_leave_their_block_and_shuffles_go(spark, monkeypatch):
     rng = np.random.default_rng(3)
     passages = [" ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvw"), 7)) for _ in range(6)) for _ in range(8)]
